@@ -2,8 +2,24 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped_to: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once for an application."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped_to:
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        name = os.path.join(tempfile.mkdtemp(), "millrace")
+        sc.addPyFile(shutil.make_archive(name, "zip", root, "millrace"))
+        _shipped_to.add(sc.applicationId)
+
 
 def local_session(cores: str = "8", shuffle: int = 8, memory: str = "8g") -> SparkSession:
     """A local session with the settings the library is tested under."""
