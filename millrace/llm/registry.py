@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import simhash, substring_dedup
 
-QUERIES = {"op10_simhash": simhash.op10_simhash}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op9_substring_dedup": substring_dedup.op9_substring_dedup,
+    "op10_simhash": simhash.op10_simhash,
+}
+ORACLES: dict[str, str] = {"op9_substring_dedup": substring_dedup.ORACLE_SQL}
