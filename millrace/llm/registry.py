@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import simhash, substring_dedup
+from . import contamination, substring_dedup, simhash
 
 QUERIES = {
+    "op1_decontamination": contamination.op1_decontamination,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_simhash": simhash.op10_simhash,
 }
-ORACLES: dict[str, str] = {"op9_substring_dedup": substring_dedup.ORACLE_SQL}
+ORACLES: dict[str, str] = {
+    "op1_decontamination": contamination.ORACLE_SQL,
+    "op9_substring_dedup": substring_dedup.ORACLE_SQL,
+}
