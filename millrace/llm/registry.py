@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import contamination, substring_dedup, simhash
+from . import contamination, packing, sharding, simhash, substring_dedup
 
 QUERIES = {
     "op1_decontamination": contamination.op1_decontamination,
+    "op2_packing": packing.op2_packing,
+    "op4_sharding": sharding.op4_sharding,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_simhash": simhash.op10_simhash,
 }
