@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import contamination, packing, sharding, simhash, substring_dedup
+from . import contamination, packing, quality, sharding, simhash, substring_dedup
 
 QUERIES = {
     "op1_decontamination": contamination.op1_decontamination,
     "op2_packing": packing.op2_packing,
     "op4_sharding": sharding.op4_sharding,
+    "op6_quality": quality.op6_quality,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_simhash": simhash.op10_simhash,
 }
 ORACLES: dict[str, str] = {
     "op1_decontamination": contamination.ORACLE_SQL,
+    "op6_quality": quality.ORACLE_SQL,
     "op9_substring_dedup": substring_dedup.ORACLE_SQL,
 }
