@@ -228,7 +228,7 @@ def ranked(rows: DataFrame, order: list[str], per_bucket: int = 20_000) -> DataF
     before = Window.partitionBy("length").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = store(spark, counts.select("length", "__bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__base")), "pack-base")
     inner = rows.withColumn("__n", F.row_number().over(Window.partitionBy("length", "__bucket").orderBy(*order)) - 1)
-    return inner.join(base, ["length", "__bucket"]).withColumn("rank", F.col("__base") + F.col("__n")).drop("__bucket", "__base", "__n")
+    return inner.join(base.hint("merge"), ["length", "__bucket"]).withColumn("rank", F.col("__base") + F.col("__n")).drop("__bucket", "__base", "__n")
 
 
 def place(rows: DataFrame, size: int, order: list[str]) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import contamination, packing, quality, sharding, simhash, substring_dedup
+from . import contamination, packing, quality, secrets, sharding, simhash, substring_dedup, toxicity
 
 QUERIES = {
     "op1_decontamination": contamination.op1_decontamination,
     "op2_packing": packing.op2_packing,
     "op4_sharding": sharding.op4_sharding,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_quality": quality.op6_quality,
+    "op8_secrets": secrets.op8_secrets,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_simhash": simhash.op10_simhash,
 }
