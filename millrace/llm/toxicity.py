@@ -100,6 +100,7 @@ def fit(
     ridge: float = 2e-4,
     most_features: int = FEATURES,
     steps: int = 300,
+    least_chi: float = 6.6,
 ) -> Model:
     """texts: each text's distinct features; labels: 0 or 1. Deterministic."""
     y = labels.astype(float)
@@ -116,7 +117,7 @@ def fit(
     chi = (pos - expect) ** 2 / np.maximum(expect * (1 - y.mean()), 1e-9)
     chi[has < 3] = 0
     chosen = np.argsort(-chi, kind="stable")[:most_features]
-    chosen = chosen[chi[chosen] > 6.6]  # one in a hundred by chance
+    chosen = chosen[chi[chosen] > least_chi]
     given = [word_features(t) for t in (IDENTITY_TERMS if terms is None else terms)]
     named = np.searchsorted(keys, np.concatenate(given)) if given else np.zeros(0, np.int64)
     named = named[(named < len(keys))]
@@ -144,7 +145,7 @@ def fit(
     swap_row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows]) if rows else np.zeros(0, np.int64)
     swap_col = np.array([c for r in rows for c in r[0]], np.int64)
     swap_val = np.array([v for r in rows for v in r[1]])
-    weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())) ** 0.5
+    weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))  # both labels weigh the same
     w, b = np.zeros(len(keys)), flat.intercept
     m, v = np.zeros(len(keys) + 1), np.zeros(len(keys) + 1)
     for t in range(1, steps + 1):
