@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import contamination, packing, quality, secrets, sharding, simhash, substring_dedup, toxicity
+from . import contamination, packing, quality, secrets, sharding, simhash, substring_dedup, toxicity, warc
 
 QUERIES = {
     "op1_decontamination": contamination.op1_decontamination,
     "op2_packing": packing.op2_packing,
+    "op3_warc": warc.op3_warc,
     "op4_sharding": sharding.op4_sharding,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_quality": quality.op6_quality,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op1_decontamination": contamination.ORACLE_SQL,
+    "op3_warc": warc.ORACLE_SQL,
     "op6_quality": quality.ORACLE_SQL,
     "op9_substring_dedup": substring_dedup.ORACLE_SQL,
 }
