@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import contamination, packing, quality, secrets, sharding, simhash, substring_dedup, toxicity, warc
+from . import contamination, lattice, packing, quality, secrets, sharding, simhash, substring_dedup, toxicity, warc
 
 QUERIES = {
     "op1_decontamination": contamination.op1_decontamination,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_sharding": sharding.op4_sharding,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_quality": quality.op6_quality,
+    "op7_lattice": lattice.op7_lattice,
     "op8_secrets": secrets.op8_secrets,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_simhash": simhash.op10_simhash,
