@@ -56,6 +56,14 @@ def free(spark: SparkSession, df: DataFrame) -> None:
             drop_path(spark, f"{shared_root(spark)}/{rel}")
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """``name``, with underscores before it until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 # ---------------------------------------------------------------- words
 
 #: Bytes that words may hold. Every byte of a non-ASCII character is one.

@@ -135,12 +135,20 @@ def cascade(rules: list[Rule], of: Callable[[str], Column]) -> Column:
     return out
 
 
+def verdict(docs: DataFrame, rules: list[Rule] | None = None, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Column:
+    """For rows of ``docs``: the name of the first rule that rejects, else null."""
+    order = [r for r, _, _ in profile(docs, rules or DEFAULT_RULES, text_col, sample_rows)]
+    return judged(F.col(text_col), lambda of: cascade(order, of))
+
+
 def judge(docs: DataFrame, rules: list[Rule] | None = None, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``docs`` with rejected_by string (null: kept)."""
-    if "rejected_by" in docs.columns:
-        raise ValueError("column rejected_by is added by this operator")
-    order = [r for r, _, _ in profile(docs, rules or DEFAULT_RULES, text_col, sample_rows)]
-    return docs.withColumn("rejected_by", judged(F.col(text_col), lambda of: cascade(order, of)))
+    return docs.withColumn("rejected_by", verdict(docs, rules, text_col, sample_rows))
+
+
+def keep(docs: DataFrame, rules: list[Rule] | None = None, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of ``docs`` that no rule rejects, with their columns."""
+    return docs.where(verdict(docs, rules, text_col, sample_rows).isNull())
 
 
 BASE_COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -154,12 +162,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         # the base columns are asked for anyhow; the other measures stay lazy
         base = F.struct(*[of(c).alias(c) for c in BASE_COLUMNS])
 
-        def verdict(b: Column) -> Column:
+        def result(b: Column) -> Column:
             known = lambda name: b[name] if name in BASE_COLUMNS else of(name)
             failed = BASE_RULES[0].rejects(known) | BASE_RULES[1].rejects(known)
             return F.struct(*[b[c].alias(c) for c in BASE_COLUMNS], failed.alias("base_failed"), cascade(order, known).isNull().alias("kept"))
 
-        return let(base, lambda b: verdict(b))
+        return let(base, lambda b: result(b))
 
     return docs.select("doc_id", judged(F.col("text"), row).alias("r")).select("doc_id", "r.*")
 

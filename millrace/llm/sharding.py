@@ -14,8 +14,8 @@ are equal in id and text stay together.
 Results for odd input: a null text has size 1 and the checksum of the empty
 text, and is written as null; null ids are hashed like any value; repeated rows
 each take a slot; an empty table writes no shard and gives an empty result;
-other columns are carried along, and names that clash with the added columns
-(shard, slot) are refused with an error.
+other columns are carried along, but ones named shard or slot give way to the
+added columns.
 """
 
 from __future__ import annotations
@@ -28,10 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import work_path
-
-ADDED = ("shard", "slot", "__bucket", "__order")
-
+from .common import fresh, work_path
 
 def record_hash(id_col: str, text_col: str, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
@@ -53,8 +50,8 @@ def write_shards(
 ) -> DataFrame:
     """Writes ``docs`` as Parquet, a folder a shard, and returns the written table
     with shard int and slot long (a shard's rows from 0 without gaps)."""
-    if clash := set(ADDED) & set(docs.columns):
-        raise ValueError(f"columns {sorted(clash)} are added by this operator")
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("shard", "slot")])
+    bucket_col, order_col = fresh("__bucket", docs.columns), fresh("__order", docs.columns)
     spark = docs.sparkSession
     path = path or work_path(spark, "shards")
     h = record_hash(id_col, text_col, seed)
@@ -79,15 +76,15 @@ def write_shards(
             return
         t = pa.Table.from_batches(held)
         del held
-        number = t.column("__bucket")[0].as_py()
+        number = t.column(bucket_col)[0].as_py()
         rank = base[number] + np.arange(t.num_rows)
         t = t.take(pa.array(fisher_yates(t.num_rows, seed, number))).select(names)
         shard = np.searchsorted(cut, rank, "right") - 1
         t = t.append_column("shard", pa.array(shard.astype(np.int32))).append_column("slot", pa.array(rank - cut[shard]))
         yield from t.to_batches(max_chunksize=2000)
 
-    dealt = docs.withColumns({"__bucket": bucket, "__order": h}).repartitionById(buckets, F.col("__bucket"))
-    ordered = dealt.sortWithinPartitions("__order", id_col, text_col)
+    dealt = docs.withColumns({bucket_col: bucket, order_col: h}).repartitionById(buckets, F.col(bucket_col))
+    ordered = dealt.sortWithinPartitions(order_col, id_col, text_col)
     out = T.StructType([*schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
     ordered.mapInArrow(run, out).write.partitionBy("shard").parquet(path)
     return spark.read.schema(out).parquet(path)

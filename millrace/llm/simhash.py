@@ -281,11 +281,11 @@ def _compare(rings: Rings):
     return run
 
 
-def links(spark: SparkSession, fps: DataFrame, budget: int = 3, split: int = 4096) -> DataFrame:
+def links(spark: SparkSession, fps: DataFrame, budget: int = 3, split: int = 4096, segments: int = SEGMENTS) -> DataFrame:
     """(a, b): links between different fingerprints of at most ``budget``
     differing bits, enough to span every component. ``fps`` has column fp, each
     value once."""
-    rings = Rings(budget)
+    rings = Rings(budget, segments)
     zero = F.lit(0)
     keyed = store(spark, fps.select("fp").mapInArrow(_first_rows(rings), "tag int, key long, fp long"), "simhash-keys")
     sizes = store(spark, keyed.groupBy("tag", "key").count().where("count > 1"), "simhash-sizes")
@@ -347,13 +347,13 @@ def components(spark: SparkSession, edges: DataFrame, most_rounds: int = 60) ->
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, budget: int = 3, split: int = 4096
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, budget: int = 3, split: int = 4096, segments: int = SEGMENTS
 ) -> DataFrame:
     """(id_col, fp long, component_id): one row per row of ``docs``."""
     spark = docs.sparkSession
     each = store(spark, fingerprints(docs, id_col, text_col, shingle), "simhash-docs")
     one = store(spark, each.groupBy("fp").agg(F.min(id_col).alias("least_id")), "simhash-fps")
-    found = components(spark, store(spark, links(spark, one, budget, split), "simhash-links"))
+    found = components(spark, store(spark, links(spark, one, budget, split, segments), "simhash-links"))
     rooted = one.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     of_fp = store(spark, rooted.select("fp", "root").join(ids, "root").select("fp", "component_id"), "simhash-of")
