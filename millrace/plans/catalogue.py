@@ -6,5 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from . import browse, capture, chunks, stateful
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+for _module in (chunks, capture, browse, stateful):
+    QUERIES.update(_module.QUERIES)
+    ORACLES.update(_module.ORACLES)
