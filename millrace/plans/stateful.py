@@ -1,2 +1,79 @@
-QUERIES = {}
-ORACLES = {}
+"""Queries of keyed sequential operators, snapshots in time and pages."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.sequential import sequential
+from ..sources.documents import generic_pages
+from ..streaming import steps
+from ..session import table
+from .capture import average_hash, gray
+
+
+def change_detect(spark: SparkSession, d: str) -> DataFrame:
+    h = average_hash(F.slice(gray(F.col("embedding")), 1, 64))
+    frames = table(spark, d, "embeddings").select("label", "vec_id", h.alias("hash"))
+    return sequential(frames, ["label"], ["vec_id"], steps.change_step(), "distance int, changed boolean").select("label", "vec_id", "distance", "changed")
+
+
+def debounce(spark: SparkSession, d: str) -> DataFrame:
+    """Events of a user at least five minutes after the last accepted one."""
+    e = table(spark, d, "events").select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("at"))
+    return sequential(e, ["user_id"], ["at", "event_id"], steps.interval_step(300), "accepted boolean").select("user_id", "event_id", "accepted")
+
+
+def near_ring(spark: SparkSession, d: str) -> DataFrame:
+    """Turns that nearly repeat one of the last accepted of their conversation."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", "text", (F.col("turn") * 30.0).alias("at"))
+    return sequential(c, ["conv_id"], ["turn"], steps.ring_step(), "duplicate boolean").select("conv_id", "turn", "duplicate")
+
+
+def ocr_append(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as frames of recognised text, ten to a path."""
+    t = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 10).alias("path"), "doc_id", "text")
+    out = sequential(t, ["path"], ["doc_id"], steps.append_step(), "action string, n_added long, stored_hash string")
+    return out.select("path", "doc_id", "action", "n_added", "stored_hash")
+
+
+def window_diff(spark: SparkSession, d: str) -> DataFrame:
+    """Created, destroyed and renamed windows between hourly snapshots.
+
+    A window is a user, its title the kind of its last event in the hour.
+    """
+    hour = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600)
+    snap = table(spark, d, "events").groupBy(hour.alias("hour"), "user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("title"))
+    before = snap.select((F.col("hour") + 1).alias("hour"), "user_id", F.col("title").alias("old_title"))
+    both = snap.join(before, ["hour", "user_id"], "full")
+    kind = F.when(F.col("old_title").isNull(), "created").when(F.col("title").isNull(), "destroyed").when(F.col("title") != F.col("old_title"), "title_changed")
+    return both.withColumn("change", kind).where("change IS NOT NULL").groupBy("hour", "change").agg(F.count("*").alias("n"), F.sum("user_id").alias("ids"))
+
+
+def generic_page(spark: SparkSession, d: str) -> DataFrame:
+    p = generic_pages(table(spark, d, "pages"))
+    return p.select("page_id", "title", F.length("content").cast("bigint").alias("n_chars"), F.sha2("content", 256).alias("content_hash"))
+
+
+QUERIES = {
+    "change_detect": change_detect,
+    "debounce": debounce,
+    "near_ring": near_ring,
+    "ocr_append": ocr_append,
+    "window_diff": window_diff,
+    "generic_page": generic_page,
+}
+
+ORACLES = {
+    "debounce": """
+WITH RECURSIVE e AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT user_id, n, ts AS last, true AS accepted FROM e WHERE n = 1
+  UNION ALL SELECT e.user_id, e.n, CASE WHEN e.ts - r.last >= INTERVAL 5 MINUTE THEN e.ts ELSE r.last END, e.ts - r.last >= INTERVAL 5 MINUTE
+  FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+SELECT user_id, event_id, accepted FROM r JOIN e USING (user_id, n)""",
+    "window_diff": """
+WITH s AS (SELECT floor(epoch(ts) / 3600)::BIGINT AS hour, user_id, arg_max(event_type, (ts, event_id)) AS title FROM events GROUP BY ALL),
+b AS (SELECT hour + 1 AS hour, user_id, title AS old FROM s),
+j AS (SELECT hour, user_id, CASE WHEN old IS NULL THEN 'created' WHEN title IS NULL THEN 'destroyed' WHEN title <> old THEN 'title_changed' END AS change FROM s FULL JOIN b USING (hour, user_id))
+SELECT hour, change, count(*) AS n, sum(user_id)::BIGINT AS ids FROM j WHERE change IS NOT NULL GROUP BY ALL""",
+}
