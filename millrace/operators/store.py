@@ -97,18 +97,18 @@ def commit(spark: SparkSession, root: str, tables: dict[str, DataFrame]) -> str:
     version = uuid.uuid4().hex
     for name, df in tables.items():
         df.write.parquet(f"{root}/{version}/{name}")
-    jvm, new, fs = _files(spark, f"{root}/_CURRENT.{version}")
+    jvm, new, fs = _files(spark, f"{root}/CURRENT.{version}")
     out = fs.create(new, True)
     out.write(bytearray(version.encode()))
     out.close()
-    _, current, _ = _files(spark, f"{root}/_CURRENT")
+    _, current, _ = _files(spark, f"{root}/CURRENT")
     fs.delete(current, False)
     fs.rename(new, current)
     return version
 
 
 def current(spark: SparkSession, root: str, name: str) -> DataFrame:
-    version = spark.read.text(f"{root}/_CURRENT").first()[0]
+    version = spark.read.text(f"{root}/CURRENT").first()[0]
     return spark.read.parquet(f"{root}/{version}/{name}")
 
 

@@ -27,11 +27,13 @@ TITLES = [
     "Checkout - Shop - Opera", "GitHub pull request", "", "login.example.org", "Word count",
 ]
 
-_KEY = F.col("o_orderkey")
+
+def _key() -> Column:
+    return F.col("o_orderkey")
 
 
 def _built(spark: SparkSession, d: str) -> DataFrame:
-    k = _KEY.cast("string")
+    k = _key().cast("string")
     urls = [
         ("gdocs", F.concat(F.lit("https://docs.google.com/document/d/doc_"), k, F.lit("/edit?usp=sharing"))),
         ("gsheets", F.concat(F.lit("https://docs.google.com/spreadsheets/d/sh-"), k, F.lit("/edit#gid="), k)),
@@ -47,7 +49,7 @@ def _built(spark: SparkSession, d: str) -> DataFrame:
         ("chrome", F.concat(F.lit("not a url "), k)),
     ]
     n = F.lit(len(urls))
-    at = F.pmod(_KEY, n).cast("int")
+    at = F.pmod(_key(), n).cast("int")
     t = table(spark, d, "orders").select("o_orderkey")
     return t.select(
         "o_orderkey", F.get(F.array(*[F.lit(s) for s, _ in urls]), at).alias("source"), F.get(F.array(*[u for _, u in urls]), at).alias("url")
@@ -91,32 +93,32 @@ def synth_url(spark: SparkSession, d: str) -> DataFrame:
 
 def ocr_url(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "orders")
-    title = F.concat(_pick(_KEY, TITLES), F.when(_KEY % 3 == 0, F.concat(F.lit(" #"), _KEY.cast("string"))).otherwise(""))
+    title = F.concat(_pick(_key(), TITLES), F.when(_key() % 3 == 0, F.concat(F.lit(" #"), _key().cast("string"))).otherwise(""))
     return t.select("o_orderkey", canonical.ocr_url(F.lit("chrome"), title).alias("url"), canonical.clean_window_title(title).alias("title"))
 
 
 def source_type(spark: SparkSession, d: str) -> DataFrame:
-    bundle = F.when(_KEY % 7 != 0, _pick(_KEY, BUNDLES))
+    bundle = F.when(_key() % 7 != 0, _pick(_key(), BUNDLES))
     return table(spark, d, "orders").select(
         "o_orderkey",
         canonical.source_type(bundle, F.lit("My Own App")).alias("source_type"),
-        canonical.ocr_source(bundle, _pick(_KEY, TITLES)).alias("ocr_source"),
-        canonical.app_source(_pick(_KEY, TITLES)).alias("app_source"),
+        canonical.ocr_source(bundle, _pick(_key(), TITLES)).alias("ocr_source"),
+        canonical.app_source(_pick(_key(), TITLES)).alias("app_source"),
     )
 
 
 def extractor_choice(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "orders").select(canonical.extractor_choice(_pick(_KEY, BUNDLES)).alias("extractor"))
+    t = table(spark, d, "orders").select(canonical.extractor_choice(_pick(_key(), BUNDLES)).alias("extractor"))
     return t.groupBy("extractor").agg(F.count("*").alias("n"))
 
 
 def app_block(spark: SparkSession, d: str) -> DataFrame:
-    b = _pick(_KEY, BUNDLES)
+    b = _pick(_key(), BUNDLES)
     return table(spark, d, "orders").select(
         "o_orderkey",
         privacy.always_blocked(b).alias("always"),
         privacy.app_blocked(b).alias("blocked"),
-        privacy.capture_blocked(b, _pick(_KEY, TITLES)).alias("no_capture"),
+        privacy.capture_blocked(b, _pick(_key(), TITLES)).alias("no_capture"),
     )
 
 

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PAYLOAD = T.StructType.fromDDL(
-    "source string, url string, content string, title string, author string, channel string, app_name string, bundle_id string, timestamp bigint"
+PAYLOAD = T.StructType(
+    [T.StructField(n, T.StringType()) for n in ("source", "url", "content", "title", "author", "channel", "app_name", "bundle_id")]
+    + [T.StructField("timestamp", T.LongType())]
 )
 REQUIRED = ("source", "url", "content")
 
