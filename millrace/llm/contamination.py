@@ -301,7 +301,8 @@ def covered(spans: Column) -> Column:
 
 def merge_spans(spans: Column) -> Column:
     """One list of merged spans from a list of such lists."""
-    pairs = F.flatten(F.transform(spans, lambda s: F.transform(F.sequence(F.lit(1), F.size(s), F.lit(2)), lambda i: F.array(F.get(s, i - 1), F.get(s, i)))))
+    full = F.filter(spans, lambda s: F.size(s) > 0)
+    pairs = F.flatten(F.transform(full, lambda s: F.transform(F.sequence(F.lit(1), F.size(s), F.lit(2)), lambda i: F.array(F.get(s, i - 1), F.get(s, i)))))
     pairs = F.sort_array(pairs)
     last = lambda a: F.element_at(a, -1)
     step = lambda a, p: F.when(

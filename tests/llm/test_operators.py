@@ -1,0 +1,398 @@
+"""Each operator against a brute-force version on a small table of odd rows, and on an empty one."""
+
+import array
+import collections
+import math
+import re
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from millrace.llm import contamination, lattice, packing, quality, registry, secrets, sharding, simhash, substring_dedup, toxicity, warc
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+ITEM_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def key(row):
+    return tuple(str(x) for x in row)
+
+
+def test_contamination(spark, odd_docs, odd_rows):
+    by_id = dict(odd_rows)
+    items = [(1, " ".join(by_id[4].split()[35:60])), (1, "one"), (None, by_id[12]), (2, None), (3, "no such words here"), (4, "W1 w2"), (5, " ".join(by_id[9].split()[100:113]))]
+    bench = spark.createDataFrame([(*x, "extra") for x in items], "item_id long, text string, doc_id string")
+
+    def brute(width=13):
+        wins = collections.defaultdict(set)
+        for i, t in items:
+            w = ITEM_WORD.findall((t or "").translate(LOWER))
+            for p in range(max(1, len(w) - width + 1)) if w else ():
+                wins[tuple(w[p : p + width])].add("" if i is None else str(i))
+        out = []
+        for d, t in odd_rows:
+            w, hit, found = ITEM_WORD.findall((t or "").translate(LOWER)), set(), set()
+            for win, own in wins.items():
+                for p in range(len(w) - len(win) + 1):
+                    if tuple(w[p : p + len(win)]) == win:
+                        hit |= set(range(p, p + len(win)))
+                        found |= own
+            out.append((d, len(w), len(hit), sorted(found), bool(hit) and 20 * len(hit) >= len(w)))
+        return sorted(out, key=key)
+
+    for batch in (1 << 20, 60):  # one batch, and several that are merged
+        got = contamination.contaminated(odd_docs, bench, batch_bytes=batch)
+        assert sorted([(r.doc_id, r.n_words, r.n_hit, list(r["items"]), r.contaminated) for r in got.collect()], key=key) == brute()
+    assert contamination.contaminated(odd_docs.limit(0), bench).count() == 0
+    assert contamination.contaminated(odd_docs, bench.limit(0)).where("n_hit > 0 OR contaminated").count() == 0
+
+
+def test_proximity(spark):
+    docs = spark.createDataFrame([(1, "alpha x x beta y gamma"), (2, "gamma alpha beta"), (3, "alpha beta"), (4, "beta " * 5 + "alpha x x x x x x x gamma"), (5, None)], "doc_id long, text string")
+    index = contamination.build_index(docs)
+    phrase = np.frombuffer(next(iter(contamination.windows([(1, "alpha beta gamma")], 13))), np.uint64)
+    p = contamination.Phrases([phrase], [["1"]], contamination.frequencies(index, np.unique(phrase)))
+    near = {r.id for r in contamination.search(index, p, "long", within=5).collect() if r.spans}
+    assert near == {1, 2}
+    assert not [r for r in contamination.search(index, p, "long").collect() if r.spans]
+
+
+def test_packing(spark, odd_docs, odd_rows):
+    from tokenizers import Tokenizer
+
+    path = packing.default_vocabulary()
+    tk = Tokenizer.from_file(path)
+    size = 64
+    out = packing.pack(odd_docs, path, size=size).collect()
+    want = []
+    for d, t in odd_rows:
+        ids = [*tk.encode(t or "", add_special_tokens=False).ids, 0]
+        want += [(d, n, a, array.array("I", ids[a : a + size]).tobytes()) for n, a in enumerate(range(0, len(ids), size))]
+    assert sorted([(r.doc_id, r.piece, r.start, bytes(r.ids)) for r in out], key=key) == sorted(want, key=key)
+    bins = collections.defaultdict(list)
+    for r in out:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for own in bins.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= size
+    assert packing.pack(odd_docs.limit(0), path, digest=F.crc32("ids").alias("c")).count() == 0
+
+
+def test_tokens_equal_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = packing.default_vocabulary()
+    tk, cache = Tokenizer.from_file(path), packing.WordCache(path)
+    for t in ["It's DON'T (we'll) x_y", "a\x1cb \x85c", "<|endoftext|> a<|endoftext|>b", "é ẹ́ İstanbul ΣΑΣ", "12٣4,5... --- ß", "日本 語　x", "'s 's't"]:
+        assert cache.encode(t) == np.array(tk.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
+
+
+def test_best_fit_fills_and_places_each_once():
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        sizes = rng.integers(1, 65, rng.integers(1, 400)).tolist()
+        hist = collections.Counter(sizes)
+        bins, seen = collections.defaultdict(list), collections.Counter()
+        for r in packing.best_fit(dict(hist), 64):
+            for i in range(r.count):
+                bins[r.first + i // r.each].append((r.offset + i % r.each * r.length, r.length))
+                seen[(r.length, r.rank + i)] += 1
+        assert seen == collections.Counter((n, i) for n, c in hist.items() for i in range(c))
+        for own in bins.values():
+            at = 0
+            for offset, length in sorted(own):
+                assert offset == at
+                at += length
+            assert at <= 64
+        free: list[int] = []  # plain best-fit decreasing
+        for s in sorted(sizes, reverse=True):
+            fit = [f for f in free if f >= s]
+            if fit:
+                free.remove(min(fit))
+            free.append((min(fit) if fit else 64) - s)
+        assert len(bins) == len(free)
+
+
+def test_warc_round_trip(spark):
+    rows = [(1, "http://a.org/x", "same", 0), (2, "http://a.org/x", "same", 0), (2, "http://a.org/x", "same", 0), (3, "https://b.a.org/y?z", "other", 0), (None, "http://n", "same", 0), (5, None, None, 0), (6, "::bad::", "", 0)]
+    rows += [(100 + i, f"http://h{i % 3}.org:8080/{i}", "é" * i, 0) for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest int")
+    a = warc.write(pages, block_lines=4, archive_bytes=2000)
+    top = collections.defaultdict(int)
+    for p, _, h, _ in rows:
+        top[h or ""] = max(top[h or ""], p or 0)
+    want = []
+    for p, u, h, _ in rows:
+        raw = (h or "").encode()
+        to = top[h or ""] if p is not None and p < top[h or ""] else None
+        want.append((p, u or "", None if to else raw, len(raw), warc.digest_of(raw), "revisit" if to else "response", to))
+    got = [(r.page_id, r.url, None if r.payload is None else bytes(r.payload), r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read(a).collect()]
+    assert sorted(got, key=key) == sorted(want, key=key)
+    look = warc.Lookup(a)
+    for u in {r[1] for r in rows if r[1]}:
+        assert sorted(str(c[1]) for c in look.captures(u)) == sorted(str(r[0]) for r in rows if r[1] and warc.surt(r[1]) == warc.surt(u))
+    assert [p for _, _, p in look.records("http://h1.org:8080/7")] == [("é" * 7).encode()] and look.captures("http://absent/") == []
+    assert warc.read(warc.write(pages.limit(0))).count() == 0
+    assert warc.surt("HTTP://www.B.a.org:80/p?q") == "org,a,b)/p?q"
+
+
+def test_sharding(spark, odd_docs, odd_rows):
+    out = sharding.write_shards(odd_docs, shards=4, bucket_bytes=4000)
+    rows = out.collect()
+    assert sorted([(r.doc_id, r.text) for r in rows], key=key) == sorted(odd_rows, key=key)
+    slots = collections.defaultdict(list)
+    for r in rows:
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    again = sharding.write_shards(odd_docs.repartition(2), shards=4, bucket_bytes=4000)
+    place = lambda df: sorted([(r.doc_id, r.text, r["shard"], r["slot"]) for r in df.collect()], key=key)
+    assert place(out) == place(again)
+    assert place(out) != place(sharding.write_shards(odd_docs, shards=4, bucket_bytes=4000, seed=1))
+    assert sharding.write_shards(odd_docs.limit(0)).count() == 0
+
+
+def test_toxicity_learns_and_is_fair(spark):
+    rng = np.random.default_rng(3)
+    words = [f"word{i}" for i in range(300)]
+    rows, labels = [], []
+    for i in range(600):
+        bad = i % 4 == 0
+        text = [words[j] for j in rng.integers(0, 300, 40)]
+        if bad:
+            text[5] = f"vile{i % 7}"
+        if rng.random() < (0.6 if bad else 0.1):
+            text[9] = "muslims"
+        rows.append((i, " ".join(text), "x"))
+        labels.append((i, int(bad), 9))
+    rows += [(None, "vile1", "x"), (7001, None, "x"), (7002, "", "x"), (5, "vile2 x", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    lab = spark.createDataFrame([*labels, (1, None, 0), (None, 1, 0)], "doc_id long, toxic int, text int")
+    plain = toxicity.learn(docs, lab, ~toxicity.held_out(), fairness=0.0)
+    fair = toxicity.learn(docs, lab, ~toxicity.held_out(), fairness=5.0)
+    gap = lambda m: abs(m.logits(*_packed("muslims")) - m.logits(*_packed("christians")))[0]
+    assert gap(fair) < 0.5 * gap(plain)
+    got = toxicity.score(docs, fair)
+    held = got.where(toxicity.held_out()).join(lab.select("doc_id", "toxic"), "doc_id").collect()
+    assert np.mean([(r.score >= 0.7) == bool(r.toxic) for r in held]) > 0.97
+    assert got.count() == len(rows) and got.where("score IS NULL OR score < 0 OR score > 1").count() == 0
+    nothing = toxicity.learn(docs, lab.limit(0), ~toxicity.held_out())
+    assert {r.score for r in toxicity.score(docs, nothing).collect()} == {0.5}
+    assert toxicity.score(docs.limit(0), fair).count() == 0
+
+
+def _packed(text):
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return raw, np.array([0, len(raw)])
+
+
+def test_quality(spark, odd_docs, odd_rows):
+    got = quality.judge(odd_docs).collect()
+    verdict = {(r.doc_id, r.text): r.rejected_by for r in got}
+    assert verdict[(11, "x " * 300)] is not None and verdict[(6, None)] == verdict[(7, "")] and verdict[(7, "")] is not None
+    assert verdict[(1, dict(odd_rows)[1])] is None
+    kept = quality.keep(odd_docs)
+    assert kept.columns == odd_docs.columns and kept.count() == sum(r.rejected_by is None for r in got)
+    order = quality.cascade(quality.DEFAULT_RULES[::-1], quality.measures(F.col("text"), quality.words_of(F.col("text"))).__getitem__)
+    flipped = odd_docs.where("text IS NOT NULL").select("doc_id", "text", order.alias("r")).collect()
+    assert all((r.r is None) == (verdict[(r.doc_id, r.text)] is None) for r in flipped)  # the order never changes the verdict
+    assert quality.judge(odd_docs.limit(0)).count() == 0
+
+
+def test_lattice(spark, odd_docs, odd_rows):
+    import sentencepiece
+
+    path = lattice.default_vocabulary()
+    held = F.coalesce(F.col("doc_id") % 3 == 0, F.lit(False))
+    got = sorted(lattice.likelihood(odd_docs, held, path, rounds=1, block_bytes=3000, per_range=300).collect(), key=key)
+    train = [t for d, t in odd_rows if not (d is not None and d % 3 == 0)]
+    c = collections.Counter(w for t in train for w in WORD.findall((t or "").translate(LOWER)))
+    n, v = sum(c.values()) + len(train), len(c) + 1
+    want = []
+    for d, t in odd_rows:
+        w = WORD.findall((t or "").translate(LOWER))
+        base = sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w) + math.log10((len(train) + 1) / (n + v + 1))
+        want.append((d, d is not None and d % 3 == 0, len(w) + 1, sum(x in c for x in w) + 1, n, base))
+    assert [tuple(r)[:5] for r in got] == [x[:5] for x in sorted(want, key=key)]
+    assert np.allclose([r.base_score for r in got], [x[5] for x in sorted(want, key=key)])
+    assert lattice.likelihood(odd_docs.limit(0), held, path).count() == 0
+    # the recursion against all segmentations of short words, and expected counts against them
+    v_, sp = lattice.vocabulary_of(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    piece = {sp.id_to_piece(i): i for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
+
+    def paths(s):
+        if not s:
+            return [[]]
+        out = [[*(v_.bytes_[b] for b in s[0].encode()), *rest] for rest in paths(s[1:])]
+        return out + [[piece[s[:k]], *rest] for k in range(1, len(s) + 1) if s[:k] in piece for rest in paths(s[k:])]
+
+    for w in ("the", "één", "中", "zq1"):
+        raw = np.frombuffer(w.encode(), np.uint8)
+        _, lat = next(lattice.Words(raw, np.array([0, len(raw)])).lattices(v_))
+        logs = [sum(v_.prior[i] for i in p) for p in paths("▁" + w)]
+        total = np.logaddexp.reduce(logs)
+        assert np.isclose(lat.marginal(v_.prior)[0], total)
+        out, exp = np.zeros(len(v_.prior)), np.zeros(len(v_.prior))
+        lat.expected(v_.prior, np.array([2]), out)
+        for p, lp in zip(paths("▁" + w), logs, strict=True):
+            for i in p:
+                exp[i] += 2 * math.exp(lp - total)
+        assert np.allclose(out, exp)
+
+
+def test_fitting_raises_the_likelihood(spark, odd_docs):
+    score = lambda k: sum(r.score for r in lattice.likelihood(odd_docs, F.lit(False), lattice.default_vocabulary(), rounds=k).collect())
+    assert score(0) < score(1) < score(2)
+
+
+@pytest.mark.parametrize(
+    "text,found",
+    [
+        ("password = hunter22", [("assign", 0, 19)]),
+        ("x AKIA" + "A" * 16 + " AKIAB", [("access", 2, 22)]),
+        ("k = 'pl4inV4lue!9'\ndb_password = k", [("literal", 5, 17)]),
+        ('cfg["client_secret"] = "s3cr3tS3cr3t!"', [("literal", 24, 37)]),
+        ("<apiKey>Ab12Cd34Ef56</apiKey>", [("literal", 8, 20)]),
+        ("passphrase: 'Zx9' + 'Yw8Vv7'", [("literal", 13, 16), ("literal", 21, 27)]),
+        ("token_url = 'https://x.example/y1'", []),
+        ("name = 'Ab12Cd34Ef56'", []),
+        ("auth_token := ${TOKEN_FROM_ENV}", []),
+        ("", []),
+        (None, []),
+        ("ſecret=abcdefgh", []),
+    ],
+)
+def test_secret_spans(text, found):
+    assert secrets.spans(text) == found
+
+
+def test_a_dropped_match_uses_up_its_text():
+    assert secrets.base_spans("token=token:abcdefgh") == []
+
+
+def test_secret_operator(spark):
+    rows = [(1, "a password=abcdef1 b", 1), (None, None, 2), (2, "", 3), (1, "a password=abcdef1 b", 1), (3, "z" * 200_000 + "=" + "y" * 200_000, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans int")
+    got = secrets.redact(docs)
+    assert got.columns == docs.columns and sorted(str(r.text)[:30] for r in got.collect())[:4] == ["", "None", "a [SECRET] b", "a [SECRET] b"]
+    assert secrets.find(docs).count() == 5 and secrets.find(docs.limit(0)).count() == 0
+
+
+def test_substring_dedup(spark, odd_docs, odd_rows):
+    width = 12
+    words = [WORD.findall(t or "") for _, t in odd_rows]
+    ids = [math.inf if d is None else d for d, _ in odd_rows]
+    least = {}
+    for d, w in zip(ids, words, strict=True):
+        for p in range(len(w) - width + 1):
+            k = tuple(w[p : p + width])
+            least[k] = min(least.get(k, math.inf), d)
+    want = []
+    for (d, _), i, w in zip(odd_rows, ids, words, strict=True):
+        gone = {q for p in range(len(w) - width + 1) if least[tuple(w[p : p + width])] < i for q in range(p, p + width)}
+        want.append((d, len(w), len(gone), " ".join(x for q, x in enumerate(w) if q not in gone)))
+    got = substring_dedup.remove_repeats(odd_docs, window=width, block_bytes=2500, per_range=500).collect()
+    assert sorted([(r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got], key=key) == sorted(want, key=key)
+    assert all(sum(r.intervals[1::2]) - sum(r.intervals[::2]) == r.n_removed for r in got)
+    assert substring_dedup.remove_repeats(odd_docs.limit(0)).count() == 0
+
+
+def brute_components(fps, budget):
+    v = sorted(set(fps))
+    parent = list(range(len(v)))
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(v)):
+        for j in range(i):
+            if (v[i] ^ v[j]).bit_count() <= budget:
+                parent[max(top(i), top(j))] = min(top(i), top(j))
+    return {f: v[top(i)] for i, f in enumerate(v)}
+
+
+def test_simhash(spark, odd_docs, odd_rows):
+    def fp(t):
+        w = WORD.findall((t or "").translate(LOWER))
+        sh = [" ".join(w[k : k + 3]) for k in range(max(1, len(w) - 2))] if w else []
+        h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in sh]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    fps = [fp(t) for _, t in odd_rows]
+    comp = brute_components(fps, 3)
+    least = {}
+    for (d, _), f in zip(odd_rows, fps, strict=True):
+        if d is not None:
+            least[comp[f]] = min(least.get(comp[f], d), d)
+    got = simhash.near_duplicates(odd_docs).collect()
+    want = [(d, f, least.get(comp[f])) for (d, _), f in zip(odd_rows, fps, strict=True)]
+    assert sorted([(r.doc_id, r.fp % 2**64, r.component_id) for r in got], key=key) == sorted(want, key=key)
+    assert simhash.near_duplicates(odd_docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("budget,segments,split", [(3, 16, 4096), (3, 16, 8), (6, 32, 8)])
+def test_links_span_all_components(spark, budget, segments, split):
+    """Dense clusters and chains; small ``split`` forces second rings and blocks."""
+    rng = np.random.default_rng(budget + split)
+    fps = set()
+    for _ in range(4):
+        centre = int(rng.integers(0, 2**63))
+        for _ in range(40):
+            f = centre
+            for b in rng.integers(0, 64, rng.integers(0, 5)):
+                f ^= 1 << int(b)
+            fps.add(f)
+    df = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp long")
+    edges = [(r.a % 2**64, r.b % 2**64) for r in simhash.links(spark, df, budget, split, segments).collect()]
+    assert all((a ^ b).bit_count() <= budget for a, b in edges)
+    parent = {f: f for f in fps}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        parent[max(top(a), top(b))] = min(top(a), top(b))
+    want = brute_components(fps, budget)
+    groups = lambda m: {frozenset(f for f in fps if m(f) == r) for r in {m(f) for f in fps}}
+    assert groups(top) == groups(want.get)
+
+
+def test_star_components(spark):
+    rng = np.random.default_rng(5)
+    edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 30)] + [tuple(map(int, rng.integers(200, 260, 2))) for _ in range(40)]
+    got = {r.node: r.root for r in simhash.components(spark, spark.createDataFrame(edges, "a long, b long")).collect()}
+    parent = {x: x for e in edges for x in e}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        parent[max(top(a), top(b))] = min(top(a), top(b))
+    assert got == {x: top(x) for x in parent if any(x in e and e[0] != e[1] for e in edges)}
+
+
+def test_the_chain_filter_prunes():
+    rings = simhash.Rings(3)
+    rng = np.random.default_rng(1)
+    key0 = int(rings.keys[0])
+    fp = np.unique((rng.integers(0, 2**63, 2000).astype(np.uint64) & np.uint64(~key0 & 0xFFFFFFFFFFFFFFFF)))
+    tally = np.zeros(len(rings.chains) + 2, np.int64)
+    simhash.forest(fp, np.full(len(fp), len(fp)), [np.full(len(fp), m[0]) for m in rings.chains], 3, tally=tally)
+    assert tally[1] < tally[0] / 50 and tally[-1] <= tally[2] <= tally[1]
+
+
+def test_every_operator_has_a_query():
+    numbers = sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES)
+    assert numbers == list(range(1, 11)) and set(registry.ORACLES) <= set(registry.QUERIES)
