@@ -38,24 +38,6 @@ def store(spark: SparkSession, df: DataFrame, name: str, partition_by: tuple[str
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Removes a path of the shared folder that no later step reads."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def free(spark: SparkSession, df: DataFrame) -> None:
-    """Removes the files behind a table made by ``store``."""
-    files = df.inputFiles()
-    if files:
-        root = shared_root(spark).removeprefix("file:").rstrip("/")
-        at = files[0].find(root.lstrip("/"))
-        rel = files[0][at + len(root.lstrip("/")) + 1 :].split("/")[0]
-        if at >= 0 and rel:
-            drop_path(spark, f"{shared_root(spark)}/{rel}")
-
-
 def fresh(name: str, columns: list[str]) -> str:
     """``name``, with underscores before it until no column has it."""
     taken = {c.lower() for c in columns}
@@ -143,6 +125,16 @@ def word_spans(data: np.ndarray, bounds: np.ndarray, table: np.ndarray) -> tuple
     return start, end, np.searchsorted(start, bounds)
 
 
+def planes(a: np.ndarray) -> bytes:
+    """Bytes by their place in the number: in sorted or small numbers long runs that compress."""
+    return a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes()
+
+
+def from_planes(raw: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
 def text_chunks(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cuts a batch into runs of rows of about ``most`` bytes of text.
 
@@ -163,8 +155,3 @@ def text_chunks(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iter
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
         yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
-
-
-def int_column(batch: pa.RecordBatch, column: str, null: int) -> np.ndarray:
-    """An integer column with ``null`` in the place of nulls."""
-    return batch.column(column).cast(pa.int64()).fill_null(null).to_numpy(zero_copy_only=False)

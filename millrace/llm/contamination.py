@@ -35,21 +35,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, spans_hash, store, text_chunks, word_spans
+from .common import ALNUM, LOWER, from_planes, planes, spans_hash, store, text_chunks, word_spans
 
 SEGMENT = "segment long, ids binary, first binary, terms binary, counts binary, gaps binary"
 
 
-def planes(a: np.ndarray) -> bytes:
-    """Bytes by their place in the number: long runs that compress."""
-    return a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes()
-
-
-def from_planes(raw: bytes, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
-
-
 def term_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of each text, and where each text's words begin."""
     low = LOWER[data]

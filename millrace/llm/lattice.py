@@ -36,8 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, NON_SPACE, powers, scramble, spans_hash, store, text_chunks, word_spans
-from .substring_dedup import from_planes, planes
+from .common import LOWER, NON_SPACE, from_planes, planes, powers, scramble, spans_hash, store, text_chunks, word_spans
 
 BOUNDARY = 0x2581
 _ROLL = 0xD1B54A32D192ED03

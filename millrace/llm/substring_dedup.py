@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NON_SPACE, powers, scramble, spans_hash, store, text_chunks, word_spans
+from .common import NON_SPACE, from_planes, planes, powers, scramble, spans_hash, store, text_chunks, word_spans
 
 NO_ID = np.iinfo(np.int64).max
 _ROLL = 0xD6E8FEB86659FD93
@@ -84,15 +84,6 @@ class Block:
         return np.cumsum(depth[:-1]) > 0
 
 
-def planes(a: np.ndarray) -> bytes:
-    return a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes()
-
-
-def from_planes(raw: bytes, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
-
-
 BLOCK = "block long, n_words long, texts binary"
 
 
