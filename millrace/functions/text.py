@@ -86,15 +86,14 @@ def truncate_lines(text: Column, most: int = 4) -> Column:
 def without_noise(text: Column) -> Column:
     """Recognised text without lines that are menus, tabs and the like."""
 
-    def keep(line: Column) -> Column:
-        t = strip(line)
+    def keep(t: Column) -> Column:
         n = F.length(t)
         letters = F.length(F.regexp_replace(t, r"[^\p{L}\p{N}]+", ""))
         noise = F.exists(F.array(*map(F.lit, rules.NOISE)), lambda p: t.contains(p))
         short = F.exists(F.array(*map(F.lit, rules.SHORT_NOISE)), lambda p: t.contains(p))
         return (n >= 3) & ~((letters / F.greatest(n, F.lit(1)) < 0.5) & (n < 20)) & ~noise & ~((n < 30) & short)
 
-    kept = F.array_join(F.filter(F.split(text, "\r\n|\n|\r"), keep), "\n")
+    kept = F.array_join(F.filter(F.split(text, "\r\n|\n|\r"), lambda x: let(strip(x), lambda t: keep(t))), "\n")
     return strip(F.regexp_replace(F.regexp_replace(kept, "\n{3,}", "\n\n"), " {2,}", " "))
 
 
@@ -104,11 +103,12 @@ def ocr_title(window_title: Column, text: Column, clean: Callable[[Column], Colu
 
 
 def is_meaningful(text: Column) -> Column:
-    n, lower = F.length(text), F.lower(text)
+    n = F.length(text)
     printable = F.length(F.regexp_replace(text, r"(?U)[^\p{L}\p{N}\s.,!?;:'\"\-()\[\]{}]+", ""))
     letters = F.length(F.regexp_replace(text, r"[^\p{L}]+", ""))
-    skipped = F.exists(F.array(*map(F.lit, rules.UNMEANING)), lambda p: lower.contains(p))
-    return F.coalesce((F.octet_length(text) >= 2) & (F.octet_length(text) <= 5000) & (printable / n >= 0.8) & (letters >= 2) & ~skipped, F.lit(False))
+    skipped = let(F.lower(text), lambda lower: F.exists(F.array(*map(F.lit, rules.UNMEANING)), lambda p: lower.contains(p)))
+    fits = (F.octet_length(text) >= 2) & (F.octet_length(text) <= 5000)
+    return F.when(fits, (printable / n >= 0.8) & (letters >= 2) & ~skipped).otherwise(False)
 
 
 def new_content(existing: Column, incoming: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import canonical, privacy, rules, text
 from ..operators import chunking
-from ..session import table
+from ..session import spread, table
 
 
 def content_hash(spark: SparkSession, d: str) -> DataFrame:
@@ -15,12 +15,12 @@ def content_hash(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_words(spark: SparkSession, d: str) -> DataFrame:
-    c = chunking.word_chunks(table(spark, d, "documents").select("doc_id", "text"))
+    c = chunking.word_chunks(spread(table(spark, d, "documents").select("doc_id", "text")))
     return c.select("doc_id", "chunk_index", "total_chunks", "token_count", F.sha2("chunk_text", 256).alias("text_hash"))
 
 
 def chunk_stats(spark: SparkSession, d: str) -> DataFrame:
-    c = chunking.word_chunks(table(spark, d, "documents").select("doc_id", "source", "text"))
+    c = chunking.word_chunks(spread(table(spark, d, "documents").select("doc_id", "source", "text")))
     return c.groupBy("source").agg(
         F.countDistinct("doc_id").alias("n_docs"), F.count("*").alias("n_chunks"), F.sum("token_count").cast("bigint").alias("n_tokens"), F.max("token_count").cast("bigint").alias("largest")
     )
@@ -55,31 +55,31 @@ def chunk_tabular(spark: SparkSession, d: str) -> DataFrame:
 
 
 def line_noise(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "documents")
+    t = spread(table(spark, d, "documents").select("doc_id", "text"))
     out = text.without_noise(F.col("text"))
     return t.select("doc_id", F.sha2(out, 256).alias("clean_hash"), F.length(out).cast("bigint").alias("clean_chars"))
 
 
 def truncated(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("text")
-    return table(spark, d, "documents").select(
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select(
         "doc_id", text.preview(c).alias("preview"), text.truncate_text(c).alias("short"), text.truncate_text(c, 40).alias("shorter"), F.sha2(text.truncate_lines(c, 2), 256).alias("lines_hash")
     )
 
 
 def redact_router(spark: SparkSession, d: str) -> DataFrame:
     out = privacy.redact_router(F.col("text"), cards=False, emails=True, phones=True)
-    return table(spark, d, "documents").select("doc_id", F.sha2(out, 256).alias("redacted_hash"), (out != F.col("text")).alias("changed"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.sha2(out, 256).alias("redacted_hash"), (out != F.col("text")).alias("changed"))
 
 
 def redact_cards(spark: SparkSession, d: str) -> DataFrame:
     out = privacy.redact_cards(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.sha2(out, 256).alias("redacted_hash"), (out != F.col("text")).alias("changed"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.sha2(out, 256).alias("redacted_hash"), (out != F.col("text")).alias("changed"))
 
 
 def redact_ocr(spark: SparkSession, d: str) -> DataFrame:
     out = privacy.redact_ocr(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.sha2(out, 256).alias("redacted_hash"), (out != F.col("text")).alias("changed"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.sha2(out, 256).alias("redacted_hash"), (out != F.col("text")).alias("changed"))
 
 
 def luhn(spark: SparkSession, d: str) -> DataFrame:
@@ -88,7 +88,7 @@ def luhn(spark: SparkSession, d: str) -> DataFrame:
 
 
 def meaningful(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", text.is_meaningful(F.col("text")).alias("meaningful"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", text.is_meaningful(F.col("text")).alias("meaningful"))
 
 
 QUERIES = {

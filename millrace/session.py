@@ -40,3 +40,13 @@ def local_session(cores: str = "8", shuffle: int = 8, memory: str = "8g") -> Spa
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the named Parquet tables under ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out to all cores if its files make fewer partitions than that.
+
+    For work that costs far more than moving the rows once. Large inputs have
+    more partitions than cores and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
