@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import contamination, packing, quality, secrets, simhash
-from millrace.llm.common import fresh, store
+from millrace.llm.common import clear, fresh, mark, store
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +68,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's table. A stage's own tables go once its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    began = mark()
     for name, stage in STAGES:
         docs = store(spark, stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        clear(spark, began, keep=1)
     return docs

@@ -27,6 +27,10 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Intermediate tables in the order of writing, for ``clear``.
+_written: list[str] = []
+
+
 def store(spark: SparkSession, df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Writes ``df`` to the shared folder and returns the written table.
 
@@ -34,10 +38,27 @@ def store(spark: SparkSession, df: DataFrame, name: str, partition_by: tuple[str
     task of ``df`` runs a second time.
     """
     path = work_path(spark, name)
+    _written.append(path)
     df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """A point in the row of intermediate tables, for ``clear``."""
+    return len(_written)
+
+
+def clear(spark: SparkSession, since: int, keep: int = 0) -> None:
+    """Removes the intermediate tables written since a mark, but for the last
+    ``keep``. Nothing may still be waiting to be worked out from them."""
+    jvm = spark.sparkContext._jvm
+    gone = _written[since : len(_written) - keep]
+    for path in gone:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _written[since : len(_written) - keep] = []
+
+
 def fresh(name: str, columns: list[str]) -> str:
     """``name``, with underscores before it until no column has it."""
     taken = {c.lower() for c in columns}

@@ -8,7 +8,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from millrace.llm import packing, secrets
+from millrace.llm import common, packing, secrets
 from millrace.llm.common import store
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -132,3 +132,10 @@ def test_stages_keep_nulls_and_repeats_apart(spark, sf_dir):
     for name, stage in corpus_pipeline.STAGES:
         n = stage(spark, docs, d).count()
         assert n == {"quality rules": 0, "near duplicates": 2, "decontamination": 5, "secret scan": 5, "best-fit packing": 5}[name], name
+
+
+def test_run_leaves_only_its_result(spark, sf_dir):
+    d, _ = sf_dir
+    before = list(common._written)
+    out = corpus_pipeline.run(spark, d)
+    assert out.count() > 0 and len(common._written) == len(before) + 1
