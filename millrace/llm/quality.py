@@ -118,7 +118,9 @@ DEFAULT_RULES = [*BASE_RULES, *MORE_RULES]
 def profile(docs: DataFrame, rules: list[Rule], text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
     """Each rule with its seconds and the share it rejects on the sample, in the
     order in which to run them."""
-    sample = store(docs.sparkSession, docs.select(text_col).limit(sample_rows), "quality-sample")
+    # take() reads partitions until it has the rows; a limit would move that many of every partition
+    first = docs.select(F.col(text_col).cast("string").alias(text_col)).take(sample_rows)
+    sample = store(docs.sparkSession, docs.sparkSession.createDataFrame(first, f"`{text_col}` string"), "quality-sample")
     seen = []
     for rule in rules:
         began = time.perf_counter()
