@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import contamination, packing, quality, secrets, simhash
+from millrace.llm import contamination, packing, quality, resemblance, secrets
 from millrace.llm.common import clear, fresh, mark, store
 
 
@@ -24,12 +24,11 @@ def numbered(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, str]:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first row of each group of near duplicates: fingerprints of five-word
-    shingles that differ in at most six of 64 bits, which is a similarity of
-    0.8 or more. Texts without words are one group."""
+    """The first row of each group of near duplicates: texts whose sets of
+    five-word shingles have a Jaccard similarity of 0.8 or more, all such pairs.
+    Texts without words are one group."""
     rows, row = numbered(spark, docs)
-    found = simhash.near_duplicates(rows, id_col=row, shingle=5, budget=6, segments=32)
-    keep = store(spark, found.where(F.col(row) == F.col("component_id")).select(row), "pipeline-kept")
+    keep = store(spark, resemblance.first_of_groups(rows, id_col=row, shingle=5), "pipeline-kept")
     return rows.join(keep, row, "left_semi").select(*docs.columns)
 
 
