@@ -1,8 +1,10 @@
 """Secret scans: fixed patterns plus an assignment-aware lexer.
 
 The lexer reads source and configuration syntax (``name = "x"``, ``name: x``,
-``"name": "x"``, ``cfg['name'] => 'x'``, ``<name>x</name>``) into pairs of a
-target name and a value of literals and names joined by ``+``. Names that were
+``"name": "x"``, ``cfg['name'] => 'x'``, ``<name>x</name>``, with a type as in
+``name: str = "x"`` or ``name string = "x"``) into pairs of a target name and a
+value of literals and names joined by ``+``. A type that names a secret counts
+like a name (``SecretStr``, or ``env: db_pass = "x"``). Names that were
 given a literal before are replaced by it, in the order of the text, so that a
 constant that flows into ``db_password`` is found where it was written. The
 literals of a pair are scored by the sensitivity of the target's name, part by
@@ -53,8 +55,15 @@ def base_spans(text: str) -> list[Span]:
 # ---------------------------------------------------------------- lexer
 
 _TERM = r"""(?:"((?:\\.|[^"\\\n])*+)"|'((?:\\.|[^'\\\n])*+)'|`((?:\\.|[^`\\\n])*+)`|([^\s"'`;,(){}\[\]<>+]++))"""
+_ARGS = r"""(?:\[(?:[^\[\]\n"'`=]|\[[^\[\]\n"'`=]*+\])*+\]|<(?:[^<>\n"'`=]|<[^<>\n"'`=]*+>)*+>)"""
+_ONE_TYPE = r"[&*]*+(?:'[a-z_]++[ ])?(?:mut[ ])?[A-Za-z_$][A-Za-z0-9_.$:]*+" + _ARGS + r"*+[?!]?"
+#: What may stand between a name and its =: a type after a colon, or one of Go's types for text.
+_TYPED = (
+    rf"[?!]?[ \t]*+:[ \t]*+({_ONE_TYPE}(?:[ \t]*+[|&][ \t]*+{_ONE_TYPE})*+)[ \t]*+=(?![=>~])"
+    r"|[ \t]++(?:\*|\[[0-9]*+\])*+(?:string|byte|rune|any|interface\{\})[ \t]*+=(?![=>~])"
+)
 _PAIR = re.compile(
-    r"""(?<![A-Za-z0-9_.$-])([A-Za-z_$][A-Za-z0-9_.$-]*+)["'`]?[\])]*+[ \t]*+(?:=>|:=|[:=](?![=/]))[ \t]*+""" + _TERM
+    r"""(?<![A-Za-z0-9_.$-])([A-Za-z_$][A-Za-z0-9_.$-]*+)["'`]?[\])]*+(?:""" + _TYPED + r"""|[ \t]*+(?:=>|:=|=(?!=)|:(?!=|//)))[ \t]*+""" + _TERM
 )
 _MORE = re.compile(r"[ \t]*\+[ \t]*" + _TERM)
 _ELEMENT = re.compile(r"<([A-Za-z_][A-Za-z0-9_.-]*+)>([^<\n]++)</\1>")
@@ -114,7 +123,7 @@ def literal_spans(text: str) -> list[Span]:
         at = 0
         while m := _PAIR.search(text, at):
             parts: list[tuple[str, int, int]] = []
-            at, value, group = m.end(), m, 2
+            at, value, group = m.end(), m, 3
             while True:
                 word, a, b, bare = _term(value, group)
                 if bare and _NAME.fullmatch(word) and word in known:
@@ -127,6 +136,8 @@ def literal_spans(text: str) -> list[Span]:
                 at = value.end()
             known[m[1]] = parts
             meet(m[1], parts)
+            if m[2]:
+                meet(m[2], parts)
     if "</" in text:
         for m in _ELEMENT.finditer(text):
             meet(m[1], [(m[2], *m.span(2))])
