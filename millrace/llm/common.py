@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -9,26 +10,32 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder, as in tests.
+#: Used only in local mode, as in tests, where the session names no shared folder.
 LOCAL_DEFAULT = "/tmp/checkpoints/millrace"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; sets a local one where none is set."""
+    """The folder of ``spark.checkpoint.dir``. Where none is set, local mode gets
+    one of its own, and a cluster an error: its machines share no local folder."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all machines of {master} share")
         root = LOCAL_DEFAULT
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
-def work_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+#: Intermediate tables, archives and shards in the order of writing, for ``clear``.
+_written: list[str] = []
 
 
-#: Intermediate tables in the order of writing, for ``clear``.
-_written: list[str] = []
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _written.append(path)
+    return path
 
 
 def store(spark: SparkSession, df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
@@ -38,7 +45,6 @@ def store(spark: SparkSession, df: DataFrame, name: str, partition_by: tuple[str
     task of ``df`` runs a second time.
     """
     path = work_path(spark, name)
-    _written.append(path)
     df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -16,8 +16,10 @@ length are dropped after matching): assign, access and hex, see ``base_spans``.
 
 Results for odd input: a null or empty text has no spans (and stays as it is
 when redacted); null ids and repeated rows pass through, each row judged by
-itself; texts of any length are scanned whole, in time linear in their length;
-an empty table gives an empty result; for ``redact`` other columns are carried
+itself; texts of any length are scanned whole, in time and memory linear in
+their length (a constant is kept as references to what it was made of, never
+written out, and what its text is like is told from a table of at most 256
+counts, where characters share a count by their low byte); an empty table gives an empty result; for ``redact`` other columns are carried
 along whatever their names, ``find`` reads the two named ones only.
 """
 
@@ -25,8 +27,11 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -69,9 +74,12 @@ _MORE = re.compile(r"[ \t]*\+[ \t]*" + _TERM)
 _ELEMENT = re.compile(r"<([A-Za-z_][A-Za-z0-9_.-]*+)>([^<\n]++)</\1>")
 _NAME = re.compile(r"[A-Za-z_$][A-Za-z0-9_.$-]*")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
-_PLACEHOLDER = re.compile(
-    r"(?i)(.)\1*|<.*>|\$\{?.*\}?|%.*%|\{\{.*\}\}|(change|replace|insert).*|your.*|my.*|example.*|sample.*|dummy.*|test.*|todo.*|none|null|nil|true|false|undefined|password|secret|token"
-)
+_STARTS = r"<.*>|\$\{?.*\}?|%.*%|\{\{.*\}\}|(change|replace|insert).*|your.*|my.*|example.*|sample.*|dummy.*|test.*|todo.*"
+#: Of long texts only the beginning and the end are looked at, which is all that these ask for.
+_LONG_PLACEHOLDER = re.compile(rf"(?is){_STARTS}")
+_PLACEHOLDER = re.compile(rf"(?is)(.)\1*|{_STARTS}|none|null|nil|true|false|undefined|password|secret|token")
+_SPACE = re.compile(r"\s")
+_KINDS_OF = [re.compile(p) for p in (r"[0-9]", r"[a-z]", r"[A-Z]", r"[^A-Za-z0-9]")]
 
 SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "pass": 0.8, "secret": 1.0, "secrets": 1.0, "token": 1.0,
@@ -91,15 +99,91 @@ def name_score(name: str) -> float:
     return score * (0.3 if parts and parts[-1] in HARMLESS or "public" in parts else 1.0)
 
 
+#: Longest stand-in that is known by the whole of its text, and the longest beginning of one.
+_HEAD = 16
+#: Lengths past any use are all alike.
+_LONG = 1e300
+
+
+class Shape:
+    """What a text is like: enough to score it, and enough of both to score two texts in a row."""
+
+    __slots__ = ("length", "head", "tail", "spaced", "kinds", "counts")
+
+    def __init__(self, length: float, head: str, tail: str, spaced: bool, kinds: int, counts: dict[int, float]):
+        self.length, self.head, self.tail, self.spaced, self.kinds, self.counts = length, head, tail, spaced, kinds, counts
+
+    @staticmethod
+    def of(text: str) -> Shape:
+        kinds = sum(1 << i for i, p in enumerate(_KINDS_OF) if p.search(text))
+        counts: dict[int, float] = {}
+        for c, n in Counter(text).items():
+            counts[ord(c) & 255] = counts.get(ord(c) & 255, 0) + n
+        return Shape(len(text), text[:_HEAD], text[-2:], bool(_SPACE.search(text)), kinds, counts)
+
+    def then(self, other: Shape) -> Shape:
+        """The shape of this text followed by the other."""
+        length = min(self.length + other.length, _LONG)
+        head = self.head if self.length >= _HEAD else (self.head + other.head)[:_HEAD]
+        tail = other.tail if other.length >= 2 else (self.tail + other.tail)[-2:]
+        counts = dict(self.counts)
+        for c, n in other.counts.items():
+            counts[c] = min(counts.get(c, 0) + n, _LONG)
+        return Shape(length, head, tail, self.spaced or other.spaced, self.kinds | other.kinds, counts)
+
+    def stand_in(self) -> bool:
+        # a long text's middle decides nothing: its beginning and its end stand for it
+        text = self.head if self.length <= _HEAD else self.head + self.tail
+        return len(self.counts) == 1 or bool((_PLACEHOLDER if self.length <= _HEAD else _LONG_PLACEHOLDER).fullmatch(text))
+
+    def score(self) -> float:
+        """Likeness to a secret: 0 for short, spaced or stand-in values, then by bits a character."""
+        if self.length < 6 or self.spaced or self.stand_in():
+            return 0.0
+        total = sum(self.counts.values())
+        bits = -sum(c / total * math.log2(c / total) for c in self.counts.values())
+        return min(1.0, bits / 2.5) * (0.45 if self.kinds.bit_count() == 1 and self.length < 16 else 1.0)
+
+
 def literal_score(value: str) -> float:
-    """Likeness to a secret: 0 for short, spaced or stand-in values, then by
-    bits a character."""
-    if len(value) < 6 or re.search(r"\s", value) or _PLACEHOLDER.fullmatch(value):
-        return 0.0
-    n = len(value)
-    bits = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    mixed = bool(re.search(r"[0-9]", value)) + bool(re.search(r"[a-z]", value)) + bool(re.search(r"[A-Z]", value)) + bool(re.search(r"[^A-Za-z0-9]", value))
-    return min(1.0, bits / 2.5) * (0.45 if mixed == 1 and n < 16 else 1.0)
+    return Shape.of(value).score()
+
+
+class Value:
+    """A literal at its place, or several values in a row. Values are shared, never copied."""
+
+    __slots__ = ("text", "start", "end", "parts", "shape", "told")
+
+    def __init__(self, text: str = "", start: int = 0, end: int = 0, parts: tuple[Value, ...] = ()):
+        self.text, self.start, self.end, self.parts = text, start, end, parts
+        self.shape: Shape | None = None
+        self.told = False
+
+    def known_shape(self) -> Shape:
+        """Worked out once for every value that this one is made of."""
+        todo = [self]
+        while todo:
+            v = todo[-1]
+            if v.shape is not None:
+                todo.pop()
+            elif not v.parts:
+                v.shape = Shape.of(v.text)
+            elif missing := [p for p in v.parts if p.shape is None]:
+                todo += missing
+            else:
+                v.shape = reduce(Shape.then, [p.shape for p in v.parts])
+        return self.shape
+
+    def tell(self, out: list[Span]) -> None:
+        """Adds the places of the literals; what was told before is not told again."""
+        todo = [self]
+        while todo:
+            v = todo.pop()
+            if not v.told:
+                v.told = True
+                todo += v.parts
+                if not v.parts and v.end > v.start:
+                    out.append(("literal", v.start, v.end))
 
 
 def _term(m: re.Match, group: int) -> tuple[str, int, int, bool]:
@@ -111,46 +195,51 @@ def _term(m: re.Match, group: int) -> tuple[str, int, int, bool]:
 
 
 def literal_spans(text: str) -> list[Span]:
-    known: dict[str, list[tuple[str, int, int]]] = {}
+    known: dict[str, Value] = {}
     out: list[Span] = []
 
-    def meet(name: str, parts: list[tuple[str, int, int]]) -> None:
+    def meet(name: str, value: Value) -> None:
         s = name_score(name)
-        if s and s * literal_score("".join(p[0] for p in parts)) >= THRESHOLD:
-            out.extend(("literal", a, b) for _, a, b in parts if b > a)
+        if s and s * value.known_shape().score() >= THRESHOLD:
+            value.tell(out)
 
     if "=" in text or ":" in text:
         at = 0
         while m := _PAIR.search(text, at):
-            parts: list[tuple[str, int, int]] = []
-            at, value, group = m.end(), m, 3
+            parts: list[Value] = []
+            at, term, group = m.end(), m, 3
             while True:
-                word, a, b, bare = _term(value, group)
-                if bare and _NAME.fullmatch(word) and word in known:
-                    parts += known[word]
-                else:
-                    parts.append((word, a, b))
-                value, group = _MORE.match(text, at), 1
-                if value is None:
+                word, a, b, bare = _term(term, group)
+                named = known.get(word) if bare and _NAME.fullmatch(word) else None
+                parts.append(Value(word, a, b) if named is None else named)
+                term, group = _MORE.match(text, at), 1
+                if term is None:
                     break
-                at = value.end()
-            known[m[1]] = parts
-            meet(m[1], parts)
+                at = term.end()
+            value = parts[0] if len(parts) == 1 else Value(parts=tuple(parts))
+            known[m[1]] = value
+            meet(m[1], value)
             if m[2]:
-                meet(m[2], parts)
+                meet(m[2], value)
     if "</" in text:
         for m in _ELEMENT.finditer(text):
-            meet(m[1], [(m[2], *m.span(2))])
+            meet(m[1], Value(m[2], *m.span(2)))
     return out
 
 
 def spans(text: str | None) -> list[Span]:
-    """All spans by start, then by kind."""
+    """All spans by start, then by kind. A literal within a pattern's span is left out."""
     if not text:
         return []
     base = sorted(base_spans(text), key=lambda s: s[1])
-    taken = [(a, b) for _, a, b in base]
-    added = {s for s in literal_spans(text) if not any(a <= s[1] and s[2] <= b for a, b in taken)} if "=" in text or ":" in text or "</" in text else set()
+    added: set[Span] = set()
+    if "=" in text or ":" in text or "</" in text:
+        starts = [s[1] for s in base]
+        reach = list(accumulate((s[2] for s in base), max))
+        for s in literal_spans(text):
+            before = bisect_right(starts, s[1])
+            if not before or reach[before - 1] < s[2]:
+                added.add(s)
     return sorted([*base, *added], key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 

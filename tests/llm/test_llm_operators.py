@@ -193,18 +193,37 @@ def _packed(text):
 
 
 def test_quality(spark, odd_docs, odd_rows):
-    got = quality.judge(odd_docs).collect()
-    verdict = {(r.doc_id, r.text): r.rejected_by for r in got}
+    judged = quality.judge(odd_docs)
+    assert judged.columns == [*odd_docs.columns, "_rejected_by"]
+    got = judged.collect()
+    assert {r.rejected_by for r in got} == {"c"}  # the table's own column stays
+    verdict = {(r.doc_id, r.text): r._rejected_by for r in got}
     assert verdict[(11, "x " * 300)] is not None and verdict[(6, None)] == verdict[(7, "")] and verdict[(7, "")] is not None
     assert verdict[(1, dict(odd_rows)[1])] is None
     kept = quality.keep(odd_docs)
-    assert kept.columns == odd_docs.columns and kept.count() == sum(r.rejected_by is None for r in got)
+    assert kept.columns == odd_docs.columns and kept.count() == sum(r._rejected_by is None for r in got)
     order = quality.cascade(quality.DEFAULT_RULES[::-1], quality.measures(F.col("text"), quality.words_of(F.col("text"))).__getitem__)
     flipped = odd_docs.where("text IS NOT NULL").select("doc_id", "text", order.alias("r")).collect()
     assert all((r.r is None) == (verdict[(r.doc_id, r.text)] is None) for r in flipped)  # the order never changes the verdict
     assert quality.judge(odd_docs.limit(0)).count() == 0
 
 
+def test_rules_go_by_rejection_per_cost_of_what_is_left():
+    rules = [quality.Rule(n, None) for n in "abc"]
+    # a and b reject the same texts, c others: once a is chosen, b rejects nothing more
+    verdicts = {0b011: 40, 0b100: 20, 0: 40}
+    assert [i for i, _ in quality.ordered(rules, [1.0, 2.0, 4.0], verdicts)] == [0, 2, 1]
+    assert [i for i, _ in quality.ordered(rules, [8.0, 2.0, 0.5], verdicts)] == [2, 1, 0]
+    assert [i for i, _ in quality.ordered(rules, [1.0, 1.0, 1.0], {})] == [0, 1, 2]
+
+
+def test_the_order_of_rules_is_stable(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    orders = {tuple(r.name for r, _, _ in quality.profile(docs, quality.DEFAULT_RULES)) for _ in range(3)}
+    assert {o[0] for o in orders} <= {"few_words", "symbols"}
+    assert quality.profile(docs.limit(0), quality.DEFAULT_RULES)[0][0] is quality.DEFAULT_RULES[0]
+
+
 def test_lattice(spark, odd_docs, odd_rows):
     import sentencepiece
 
