@@ -1,3 +1,3 @@
-"""millrace: content ingestion, redaction, deduplication and browsing on Spark."""
+"""millrace: captured texts on Spark: canonical paths, redaction, deduplication, chunks and browsing."""
 
 __version__ = "0.1.0"

@@ -1,4 +1,4 @@
-"""Structured Streaming forms of ingestion and the keyed operators."""
+"""Structured Streaming forms of payload parsing and the keyed operators."""
 
 from __future__ import annotations
 
