@@ -158,35 +158,77 @@ def test_sharding(spark, odd_docs, odd_rows):
     assert sharding.write_shards(odd_docs.limit(0)).count() == 0
 
 
-def test_toxicity_learns_and_is_fair(spark):
+def made_labels(n=900):
+    """Toxic texts name one group far more often than others do; neutral mentions exist too."""
     rng = np.random.default_rng(3)
     words = [f"word{i}" for i in range(300)]
     rows, labels = [], []
-    for i in range(600):
+    for i in range(n):
         bad = i % 4 == 0
         text = [words[j] for j in rng.integers(0, 300, 40)]
-        if bad:
+        if bad and rng.random() < 0.9:
             text[5] = f"vile{i % 7}"
-        if rng.random() < (0.6 if bad else 0.1):
+        if rng.random() < (0.8 if bad else 0.05):
             text[9] = "muslims"
+        elif rng.random() < 0.2:
+            text[9] = "christians"
         rows.append((i, " ".join(text), "x"))
         labels.append((i, int(bad), 9))
-    rows += [(None, "vile1", "x"), (7001, None, "x"), (7002, "", "x"), (5, "vile2 x", "x")]
+    return rows, labels
+
+
+def test_toxicity_learns_and_is_fair(spark):
+    rows, labels = made_labels()
+    rows += [(None, "vile1", "x"), (7001, None, "x"), (7002, "", "x"), (5, "vile2 x", "x"), (9, "long " * 50_000, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
     lab = spark.createDataFrame([*labels, (1, None, 0), (None, 1, 0)], "doc_id long, toxic int, text int")
     plain = toxicity.learn(docs, lab, ~toxicity.held_out(), fairness=0.0)
-    fair = toxicity.learn(docs, lab, ~toxicity.held_out(), fairness=5.0)
+    fair = toxicity.learn(docs, lab, ~toxicity.held_out())
     gap = lambda m: abs(m.logits(*_packed("muslims")) - m.logits(*_packed("christians")))[0]
     assert gap(fair) < 0.5 * gap(plain)
+    # held-out neutral texts that mention the group: false positives before and after
+    held = {r.doc_id for r in docs.where(toxicity.held_out()).select("doc_id").collect()}
+    clean = {i for i, y, _ in labels if y == 0} & held
+    neutral = [t for i, t, _ in rows if i in clean and t and "word" in t]
+    neutral = [" ".join([*t.split()[:9], "muslims", *t.split()[10:]]) for t in neutral]
+    wrong = lambda m: np.mean([toxicity.sigmoid(m.logits(*_packed(t)))[0] >= 0.5 for t in neutral])
+    print("false positives on neutral mentions", wrong(plain), wrong(fair), "of", len(neutral))
+    assert wrong(plain) > 0.2 and wrong(fair) < 0.5 * wrong(plain)
     got = toxicity.score(docs, fair)
-    held = got.where(toxicity.held_out()).join(lab.select("doc_id", "toxic"), "doc_id").collect()
-    assert np.mean([(r.score >= 0.7) == bool(r.toxic) for r in held]) > 0.97
+    found = got.where(toxicity.held_out()).join(lab.select("doc_id", "toxic"), "doc_id").where("doc_id NOT IN (5, 9)").collect()
+    assert np.mean([(r.score >= 0.7) == bool(r.toxic) for r in found]) > 0.93
     assert got.count() == len(rows) and got.where("score IS NULL OR score < 0 OR score > 1").count() == 0
     nothing = toxicity.learn(docs, lab.limit(0), ~toxicity.held_out())
     assert {r.score for r in toxicity.score(docs, nothing).collect()} == {0.5}
     assert toxicity.score(docs.limit(0), fair).count() == 0
 
 
+def test_swaps_are_those_of_the_swapped_text():
+    """Features lost and gained against the text with the term written over."""
+    terms = ["christians", "christmas", "men", "women", "frauen"]
+    text = "the men and the christians sang Christians songs for men; chris womenfolk"
+
+    def of(t):
+        return set(toxicity.features(*_packed(t))[1].tolist())
+
+    keys = np.array(sorted(set().union(*(of(re.sub(rf"(?i)\b{a}\b", b, text)) for a in terms for b in terms))), np.uint64)
+    design = toxicity.Design(keys, terms)
+    (cols, swaps), = design.rows(*_packed(text))
+    before = of(text)
+    assert set(keys[cols].tolist()) == before
+    want = collections.Counter()
+    for a in ("christians", "men"):
+        for b in terms:
+            if b != a:
+                after = of(re.sub(rf"(?i)\b{a}\b", b, text))
+                if after != before:
+                    want[frozenset(before - after), frozenset(after - before)] += 1 / 4
+    got = collections.Counter()
+    for lost, gained, weight in swaps:
+        got[frozenset(keys[lost].tolist()), frozenset(keys[gained].tolist())] += weight
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def _packed(text):
     raw = np.frombuffer(text.encode(), np.uint8)
     return raw, np.array([0, len(raw)])
