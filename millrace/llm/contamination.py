@@ -6,28 +6,29 @@ and the lists themselves (positions as gaps). A segment holds whole documents,
 so that a phrase never crosses segments, building needs no shuffle, and a query
 reads one segment at a time.
 
-A query is a set of phrases (for ``contaminated``: the windows of benchmark
-items). Corpus-wide frequencies of the query's terms order each phrase from its
-rarest term. In a segment the rarest term's list, shifted by the term's offset,
-gives candidate starts; each further list keeps those that it has at its own
-offset. Proximity search takes the rarest term's postings as anchors and asks
-each other term for a posting of the same document within reach.
-
-Phrases are held on the driver and sent to tasks in batches of at most
-``batch_bytes`` of benchmark text; the batches' hits of a document are merged, so that
-benchmarks of any size work.
+A query is a set of phrases: the windows of benchmark items. Tasks cut the items
+into runs of word hashes, which go out to the index in batches of about
+``batch_words`` words; a batch is arrays of some 40 bytes a word on the driver and
+in each worker, whatever the size of the benchmark. Corpus-wide frequencies of
+the query's terms order each phrase from its rarest term. In a segment the rarest
+term's list, shifted by the term's offset, gives candidate starts; each further
+list keeps those that it has at its own offset. Proximity search takes the rarest
+term's postings as anchors and asks each other term for a posting of the same
+document at most ``within`` words away. With several batches only hits leave the
+search, and they meet the documents' sizes once.
 
 Results for odd input: null and wordless texts have no words and are not
 contaminated; null items have no windows; an item id is counted once however
 often it is repeated, a null id is shown as an empty string; null and repeated
 document ids pass through, each row judged by itself; an empty benchmark hits
 nothing; an empty table gives an empty result; columns beyond the named ones
-are not read.
+are not read. Words are told apart by 64-bit hashes, windows of items by 128 bits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, from_planes, planes, spans_hash, store, text_chunks, word_spans
+from .common import ALNUM, LOWER, from_planes, planes, powers, scramble, spans_hash, store, text_chunks, word_spans
 
 SEGMENT = "segment long, ids binary, first binary, terms binary, counts binary, gaps binary"
 
@@ -123,100 +124,149 @@ class Segment:
 
 
 class Phrases:
-    """Phrases as numbers of ascending terms, rarest terms first."""
-
-    def __init__(self, phrases: list[np.ndarray], owners: list[list[str]], frequency: dict[int, int]):
-        self.owners = owners
-        self.length = np.array([len(p) for p in phrases], np.int64)
-        self.terms = np.unique(np.concatenate(phrases)) if phrases else np.zeros(0, np.uint64)
-        widest = int(self.length.max()) if phrases else 0
-        self.term = np.full((len(phrases), widest), -1, np.int64)
-        for i, p in enumerate(phrases):
-            self.term[i, : len(p)] = np.searchsorted(self.terms, p)
-        seen = np.array([frequency.get(int(t), 0) for t in self.terms], np.int64)
-        rank = np.where(self.term >= 0, seen[self.term] if len(seen) else self.term, np.iinfo(np.int64).max)
-        self.offset = np.argsort(rank, axis=1, kind="stable")
-        self.term = np.take_along_axis(self.term, self.offset, 1)
-
-    def batches(self, counts: np.ndarray, most: int = 1 << 20) -> Iterator[np.ndarray]:
+    """Distinct windows of items as places in one row of term numbers.
+
+    pieces: (owner, words' hashes); a piece of fewer than ``width`` words is one
+    phrase. frequency: corpus-wide postings of each of ``terms(pieces)``.
+    """
+
+    def __init__(self, pieces: list[tuple[str, np.ndarray]], width: int, frequency: np.ndarray | None = None):
+        words = np.concatenate([w for _, w in pieces]) if pieces else np.zeros(0, np.uint64)
+        self.terms, of = np.unique(words, return_inverse=True)
+        self.of = of.astype(np.int32)
+        self.seen = np.ones(len(self.terms), np.int64) if frequency is None else frequency
+        self.names, name = np.unique(np.array([o for o, _ in pieces], object), return_inverse=True) if pieces else (np.zeros(0, object), np.zeros(0, np.int64))
+        size = np.array([len(w) for _, w in pieces], np.int64)
+        count = np.maximum(size - width + 1, np.minimum(size, 1))
+        first = np.cumsum(size) - size
+        start = np.arange(int(count.sum())) + np.repeat(first - (np.cumsum(count) - count), count)
+        length = np.repeat(np.minimum(size, width), count)
+        owner = np.repeat(name, count)
+        # equal windows are one phrase with the owners of all
+        marks = np.stack([self._hash(words, start, length, base) for base in (_ROLL, _ROLL + 2)], 1)
+        _, lead, window = np.unique(np.ascontiguousarray(marks).view("V16").ravel(), return_index=True, return_inverse=True) if len(start) else (None, start, start)
+        self.start, self.length = start[lead].astype(np.int32), length[lead].astype(np.int16)
+        pairs = np.unique(window * np.int64(max(len(self.names), 1)) + owner)
+        self.owner = (pairs % max(len(self.names), 1)).astype(np.int32)
+        self.owner_at = np.searchsorted(pairs // max(len(self.names), 1), np.arange(len(lead) + 1)).astype(np.int32)
+        self.widest = int(self.length.max()) if len(lead) else 0
+        # the rarest term of each phrase (of equals the first), and its offset
+        self.lead, self.lead_offset = self.of[self.start].copy() if len(lead) else self.of[:0], np.zeros(len(lead), np.int16)
+        for k in range(1, self.widest):
+            term = self.of[np.minimum(self.start + k, len(self.of) - 1)]
+            rarer = (k < self.length) & (self.seen[term] < self.seen[self.lead])
+            self.lead[rarer], self.lead_offset[rarer] = term[rarer], k
+
+    @staticmethod
+    def _hash(words: np.ndarray, start: np.ndarray, length: np.ndarray, base: int) -> np.ndarray:
+        total = np.zeros(len(words) + 1, np.uint64)
+        np.cumsum(words * powers(base, len(words)), out=total[1:])
+        h = (total[start + length] - total[start]) * powers(pow(base, -1, 2**64), max(len(words), 1))[start]
+        return scramble(h + length.astype(np.uint64))
+
+    def owners(self, phrase: np.ndarray) -> list[str]:
+        """The sorted distinct owners of some phrases."""
+        n = self.owner_at[phrase + 1] - self.owner_at[phrase]
+        at = np.arange(int(n.sum())) + np.repeat(self.owner_at[phrase] - (np.cumsum(n) - n), n)
+        return sorted(self.names[np.unique(self.owner[at])].tolist())
+
+    def batches(self, counts: np.ndarray, most: int = 1 << 18, phrases: int = 1 << 15) -> Iterator[np.ndarray]:
         """Phrases all of whose terms have postings, in runs of about ``most`` candidates."""
-        has = np.where(self.term >= 0, counts[self.term] > 0, True).all(axis=1) if len(counts) else np.zeros(len(self.length), bool)
-        alive = np.flatnonzero(has)
-        load = np.cumsum(counts[self.term[alive, 0]]) if len(alive) else alive
+        if not len(self.start):
+            return
+        lacking = np.r_[0, np.cumsum(counts[self.of] == 0)]
+        alive = np.flatnonzero(lacking[self.start + self.length] == lacking[self.start])
+        load = np.cumsum(counts[self.lead[alive]])
         i = 0
         while i < len(alive):
             before = load[i - 1] if i else 0
-            j = max(i + 1, int(np.searchsorted(load, before + most, "right")))
+            j = max(i + 1, min(i + phrases, int(np.searchsorted(load, before + most, "right"))))
             yield alive[i:j]
             i = j
 
-    def anchors(self, some: np.ndarray, bounds: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(phrase, position) of every posting of each phrase's rarest term."""
-        lead = self.term[some, 0]
-        n = bounds[lead + 1] - bounds[lead]
-        at = np.arange(int(n.sum())) + np.repeat(bounds[lead] - np.r_[0, np.cumsum(n)[:-1]], n)
-        return np.repeat(some, n), lists[at]
-
-    def exact(self, seg: Segment) -> tuple[np.ndarray, np.ndarray]:
-        """(phrase, first position) of every occurrence within a document."""
-        bounds, lists = seg.lists(self.terms)
-        space = np.int64(seg.first[-1] + 1)
-        keys = np.repeat(np.arange(len(self.terms)), np.diff(bounds)) * space + lists
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        for some in self.batches(np.diff(bounds)):
-            phrase, at = self.anchors(some, bounds, lists)
-            at = at - self.offset[phrase, 0]
-            keep = (at >= 0) & (at + self.length[phrase] <= space - 1)
-            phrase, at = phrase[keep], at[keep]
-            for k in range(1, self.term.shape[1]):
-                term = self.term[phrase, k]
-                want = term * space + at + self.offset[phrase, k]
-                got = keys[np.minimum(np.searchsorted(keys, want), len(keys) - 1)] == want
-                keep = got | (term < 0)
-                phrase, at = phrase[keep], at[keep]
-                if not len(phrase):
-                    break
-            if len(phrase):
-                keep = seg.doc_of(at) == seg.doc_of(at + self.length[phrase] - 1)
-                found.append((phrase[keep], at[keep]))
-        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-
-    def near(self, seg: Segment, within: int) -> tuple[np.ndarray, np.ndarray]:
-        """(phrase, position of its rarest term) where every term of the phrase
-        has a posting of the same document at most ``within`` words away."""
+    def rarest_first(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Terms (-1: none) and offsets of some phrases, by rarity."""
+        place = np.arange(self.widest)
+        inside = place < self.length[some][:, None]
+        term = np.where(inside, self.of[np.minimum(self.start[some][:, None] + place, len(self.of) - 1)], -1)
+        rank = np.where(inside, self.seen[term], np.iinfo(np.int64).max)
+        offset = np.argsort(rank, axis=1, kind="stable")
+        return np.take_along_axis(term, offset, 1), offset
+
+    def matches(self, seg: Segment, within: int | None) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """(phrase, first position) of every occurrence within a document, and
+        (phrase, position of its rarest term) of every proximity match."""
         bounds, lists = seg.lists(self.terms)
-        space = np.int64(seg.first[-1] + 1 + within)
+        reach = within or 0
+        space = np.int64(seg.first[-1] + 1 + reach)
         keys = np.repeat(np.arange(len(self.terms)), np.diff(bounds)) * space + lists
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        none = np.zeros(0, np.int64)
+        exact, near = [(none, none)], [(none, none)]
         for some in self.batches(np.diff(bounds)):
-            phrase, at = self.anchors(some, bounds, lists)
-            for k in range(1, self.term.shape[1]):
-                doc = seg.doc_of(at)
-                low = np.maximum(at - within, seg.first[doc])
-                high = np.minimum(at + within, seg.first[doc + 1] - 1)
-                term = self.term[phrase, k]
-                nxt = np.minimum(np.searchsorted(keys, term * space + low), len(keys) - 1)
-                keep = (term < 0) | ((keys[nxt] >= term * space + low) & (keys[nxt] <= term * space + high))
-                phrase, at = phrase[keep], at[keep]
-                if not len(phrase):
+            term, offset = self.rarest_first(some)
+            n = bounds[self.lead[some] + 1] - bounds[self.lead[some]]
+            row = np.repeat(np.arange(len(some)), n)
+            at = lists[np.arange(int(n.sum())) + np.repeat(bounds[self.lead[some]] - (np.cumsum(n) - n), n)]
+            if within is not None:
+                close = self._close(seg, keys, space, term, row, at, within)
+                near.append((some[close[0]], close[1]))
+                if within >= self.widest - 1:  # an occurrence is then a proximity match, too
+                    row, at = close
+            start = at - offset[row, 0]
+            keep = (start >= 0) & (start + self.length[some[row]] < space - reach)
+            row, start = row[keep], start[keep]
+            for k in range(1, self.widest):
+                if not len(row):
                     break
-            found.append((phrase, at))
-        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-
-
-def windows(items: list[tuple[object, str | None]], width: int) -> dict[bytes, set[str]]:
-    """Windows of ``width`` words (a shorter item whole), with the items that have them."""
-    out: dict[bytes, set[str]] = {}
-    for item, text in items:
-        raw = np.frombuffer((text or "").encode(), np.uint8)
-        words, _ = term_hashes(raw, np.array([0, len(raw)]))
-        for i in range(max(1, len(words) - width + 1)) if len(words) else ():
-            out.setdefault(words[i : i + width].tobytes(), set()).add("" if item is None else str(item))
-    return out
+                t = term[row, k]
+                want = t * space + start + offset[row, k]
+                keep = (t < 0) | (keys[np.minimum(np.searchsorted(keys, want), len(keys) - 1)] == want)
+                row, start = row[keep], start[keep]
+            if len(row):
+                keep = seg.doc_of(start) == seg.doc_of(start + self.length[some[row]] - 1)
+                exact.append((some[row[keep]], start[keep]))
+        both = [tuple(np.concatenate([f[i] for f in found]) for i in (0, 1)) for found in (exact, near)]
+        return both[0], both[1]
+
+    def _close(self, seg: Segment, keys: np.ndarray, space: np.int64, term: np.ndarray, row: np.ndarray, at: np.ndarray, within: int) -> tuple[np.ndarray, np.ndarray]:
+        """Anchors with every term of the phrase in their document and in reach."""
+        for k in range(1, self.widest):
+            if not len(row):
+                break
+            doc = seg.doc_of(at)
+            low, high = np.maximum(at - within, seg.first[doc]), np.minimum(at + within, seg.first[doc + 1] - 1)
+            t = term[row, k]
+            got = keys[np.minimum(np.searchsorted(keys, t * space + low), len(keys) - 1)]
+            keep = (t < 0) | ((got >= t * space + low) & (got <= t * space + high))
+            row, at = row[keep], at[keep]
+        return row, at
+
+
+_ROLL = 0xA0761D6478BD642F
+
+
+def item_pieces(benchmark: DataFrame, item_col: str, text_col: str, width: int, most: int = 1 << 15) -> DataFrame:
+    """(item, words, n): hashes of the words of each item, cut into runs of at
+    most ``most`` windows, each word window in exactly one run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, data, bounds in text_chunks(b, "text", 1 << 20):
+                words, first = term_hashes(data, bounds)
+                names, own = [], []
+                for name, a, z in zip(b.column("item").slice(i, j - i).to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
+                    for s in range(a, max(z - width + 1, min(a + 1, z)), most):
+                        names.append(name)
+                        own.append(words[s : min(s + most + width - 1, z)])
+                cols = [pa.array(names, pa.string()), pa.array([w.tobytes() for w in own], pa.binary()), pa.array([len(w) for w in own], pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, ["item", "words", "n"])
+
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).cast("string").alias("text")).distinct()
+    return items.mapInArrow(run, "item string, words binary, n long")
 
 
-def frequencies(index: DataFrame, terms: np.ndarray) -> dict[int, int]:
-    """Postings of each of the terms over the whole index: at most a number a term."""
+def frequencies(index: DataFrame, terms: np.ndarray) -> np.ndarray:
+    """Postings of each of the ascending terms over the whole index."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(terms), np.int64)
@@ -227,60 +277,84 @@ def frequencies(index: DataFrame, terms: np.ndarray) -> dict[int, int]:
                     at = np.minimum(np.searchsorted(own, terms), len(own) - 1)
                     total += np.where(own[at] == terms, count[at], 0)
         has = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(terms[has].view(np.int64)), pa.array(total[has])], ["term", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(has.astype(np.int32)), pa.array(total[has])], ["term", "n"])
+
+    out = np.zeros(len(terms), np.int64)
+    if len(terms):
+        got = index.select("terms", "counts").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+        out[got.column("term").to_numpy()] = got.column("n").to_numpy()
+    return out
+
+
+def _by_doc(seg: Segment, phrase: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(document, phrases, positions in it) of matches, by position."""
+    doc = seg.doc_of(at)
+    order = np.lexsort((at, doc))
+    phrase, doc, at = phrase[order], doc[order], at[order]
+    cuts = np.flatnonzero(np.diff(doc, prepend=-1)).tolist()
+    for a, z in zip(cuts, [*cuts[1:], len(doc)], strict=False):
+        yield int(doc[a]), phrase[a:z], at[a:z] - seg.first[doc[a]]
 
-    got = index.select("terms", "counts").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    return {int(np.int64(r.term).view(np.uint64)): r.n for r in got.collect()}
 
+SIZES = "segment long, row long, id {kind}, n_words long"
+FOUND = "spans array<int>, owners array<string>, near array<string>"
 
-def search(index: DataFrame, phrases: Phrases, id_type: str, within: int | None = None) -> DataFrame:
-    """Matches of phrases in the index, one row per document of it.
 
-    (segment, row, id, n_words, spans, owners): spans are starts and ends
-    (exclusive) of matches in words, merged where they overlap; owners are the
-    sorted distinct owners of the phrases found. With ``within`` matches are by
-    proximity, and a span is the word of the rarest term.
+def search(index: DataFrame, phrases: Phrases, id_type: str, within: int | None = None, hits_only: bool = False) -> DataFrame:
+    """Matches of phrases in the index: (segment, row, id, n_words, spans, owners,
+    near), one row per document of it, or only of those with a match.
+
+    spans are starts and ends (exclusive) of exact matches in words, merged where
+    they overlap; owners are the sorted distinct owners of the phrases found, and
+    near those of phrases found by proximity (empty without ``within``).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in range(b.num_rows):
-                cells = {n: b.column(n)[row].as_buffer() for n in b.schema.names if n != "segment"}
-                seg = Segment(cells)
-                if len(phrases.terms) and seg.first[-1]:
-                    phrase, at = phrases.exact(seg) if within is None else phrases.near(seg, within)
-                else:
-                    phrase = at = np.zeros(0, np.int64)
-                size = phrases.length[phrase] if within is None else np.ones(len(at), np.int64)
-                spans: list[list[int]] = [[]] * len(seg.ids)
-                owners: list[list[str]] = [[]] * len(seg.ids)
-                doc = seg.doc_of(at)
-                order = np.lexsort((at, doc))
-                phrase, at, size, doc = phrase[order], at[order] - seg.first[doc[order]], size[order], doc[order]
-                cuts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else doc
-                for a, z in zip(cuts.tolist(), [*cuts[1:].tolist(), len(doc)], strict=False):
-                    merged: list[int] = []
-                    for s, e in zip(at[a:z].tolist(), (at[a:z] + size[a:z]).tolist(), strict=True):
-                        if merged and s <= merged[-1]:
-                            merged[-1] = max(merged[-1], e)
-                        else:
-                            merged += [s, e]
-                    spans[doc[a]] = merged
-                    owners[doc[a]] = sorted({o for p in np.unique(phrase[a:z]) for o in phrases.owners[p]})
+                seg = Segment({n: b.column(n)[row].as_buffer() for n in b.schema.names if n != "segment"})
                 n = len(seg.ids)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([b.column("segment")[row].as_py()] * n, pa.int64()),
-                        pa.array(np.arange(n)),
-                        seg.ids,
-                        pa.array(np.diff(seg.first)),
-                        pa.array(spans, pa.list_(pa.int32())),
-                        pa.array(owners, pa.list_(pa.string())),
-                    ],
-                    ["segment", "row", "id", "n_words", "spans", "owners"],
-                )
+                spans: list[list[int]] = [[]] * n
+                owners: list[list[str]] = [[]] * n
+                near: list[list[str]] = [[]] * n
+                if len(phrases.terms) and seg.first[-1]:
+                    exact, close = phrases.matches(seg, within)
+                    for doc, phrase, at in _by_doc(seg, *exact):
+                        merged: list[int] = []
+                        for s, e in zip(at.tolist(), (at + phrases.length[phrase]).tolist(), strict=True):
+                            if merged and s <= merged[-1]:
+                                merged[-1] = max(merged[-1], e)
+                            else:
+                                merged += [s, e]
+                        spans[doc], owners[doc] = merged, phrases.owners(np.unique(phrase))
+                    for doc, phrase, _ in _by_doc(seg, *close):
+                        near[doc] = phrases.owners(np.unique(phrase))
+                some = np.flatnonzero([bool(s or c) for s, c in zip(spans, near, strict=True)]) if hits_only else np.arange(n)
+                cols = [
+                    pa.array([b.column("segment")[row].as_py()] * len(some), pa.int64()),
+                    pa.array(some),
+                    seg.ids.take(pa.array(some)),
+                    pa.array(np.diff(seg.first)[some]),
+                    pa.array([spans[i] for i in some], pa.list_(pa.int32())),
+                    pa.array([owners[i] for i in some], pa.list_(pa.string())),
+                    pa.array([near[i] for i in some], pa.list_(pa.string())),
+                ]
+                yield pa.RecordBatch.from_arrays(cols, ["segment", "row", "id", "n_words", "spans", "owners", "near"])
+
+    return index.mapInArrow(run, f"{SIZES.format(kind=id_type)}, {FOUND}")
+
+
+def sizes(index: DataFrame, id_type: str) -> DataFrame:
+    """(segment, row, id, n_words) of every document of the index."""
 
-    return index.mapInArrow(run, f"segment long, row long, id {id_type}, n_words long, spans array<int>, owners array<string>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for segment, ids, first in zip(b.column("segment").to_pylist(), b.column("ids"), b.column("first"), strict=True):
+                own = pa.ipc.open_stream(ids.as_buffer()).read_all().column("id").combine_chunks()
+                n = np.diff(np.frombuffer(first.as_buffer(), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array([segment] * len(n), pa.int64()), pa.array(np.arange(len(n))), own, pa.array(n)], ["segment", "row", "id", "n_words"])
+
+    return index.select("segment", "ids", "first").mapInArrow(run, SIZES.format(kind=id_type))
 
 
 def covered(spans: Column) -> Column:
@@ -311,43 +385,54 @@ def contaminated(
     item_text_col: str = "text",
     width: int = 13,
     share: int = 20,
-    batch_bytes: int = 16 << 20,
+    within: int | None = None,
+    batch_words: int = 1 << 19,
 ) -> DataFrame:
-    """(id_col, n_words, n_hit, items, spans, contaminated), one row per document.
+    """(id_col, n_words, n_hit, items, spans, near_items, contaminated), one row per
+    document.
 
     A word is hit if an occurrence of a window covers it. contaminated: at
-    least one word in ``share`` is hit.
+    least one word in ``share`` is hit. near_items: with ``within``, the items of
+    which a window's words all stand that near its rarest one (exact or not).
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     index = build_index(docs, id_col, text_col)
-    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).cast("string").alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    batches = -(-total // batch_bytes) or 1
-    found: DataFrame | None = None
-    for i in range(batches):
-        part = items if batches == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(batches)) == i)
-        by_window = windows([tuple(r) for r in part.collect()], width)
-        words = [np.frombuffer(w, np.uint64) for w in by_window]
-        terms = np.unique(np.concatenate(words)) if words else np.zeros(0, np.uint64)
-        phrases = Phrases(words, [sorted(o) for o in by_window.values()], frequencies(index, terms) if words else {})
-        own = search(index, phrases, kind)
-        found = own if found is None else found.unionByName(own)
-    if batches > 1:
-        same = found.groupBy("segment", "row").agg(
-            F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.collect_list("spans").alias("spans"), F.flatten(F.collect_list("owners")).alias("owners")
+    pieces = store(spark, item_pieces(benchmark, item_col, item_text_col, width), "benchmark-pieces")
+    total = pieces.agg(F.sum("n")).first()[0] or 0
+    batches = -(-total // batch_words) or 1
+
+    def phrases(part: DataFrame) -> Phrases:
+        got = part.select("item", "words").toArrow()
+        own = [(o, np.frombuffer(w.as_buffer(), np.uint64)) for o, w in zip(got.column("item").to_pylist(), got.column("words"), strict=True)]
+        terms = np.unique(np.concatenate([w for _, w in own])) if own else np.zeros(0, np.uint64)
+        return Phrases(own, width, frequencies(index, terms))
+
+    if batches == 1:
+        found = search(index, phrases(pieces), kind, within)
+    else:
+        number = F.pmod(F.xxhash64("item", "words"), F.lit(batches))
+        hits = [store(spark, search(index, phrases(pieces.where(number == i)), kind, within, hits_only=True), "benchmark-hits") for i in range(batches)]
+        # at most a row for each batch in a group
+        merged = reduce(DataFrame.unionAll, hits).groupBy("segment", "row").agg(
+            merge_spans(F.collect_list("spans")).alias("spans"),
+            *[F.sort_array(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("owners", "near")],
         )
-        found = same.withColumns({"spans": merge_spans(F.col("spans")), "owners": F.sort_array(F.array_distinct("owners"))})
-    n_hit = covered(F.col("spans"))
-    return found.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.col("owners").alias("items"), "spans").withColumn(
-        "contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))
-    )
+        none = lambda c, t: F.coalesce(c, F.array().cast(f"array<{t}>")).alias(c)
+        found = sizes(index, kind).join(merged, ["segment", "row"], "left").select("id", "n_words", none("spans", "int"), none("owners", "string"), none("near", "string"))
+    return found.select(
+        F.col("id").alias(id_col), "n_words", covered(F.col("spans")).alias("n_hit"), F.col("owners").alias("items"), "spans", F.col("near").alias("near_items")
+    ).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
+
+
+#: Reach of the query's proximity matches in words: two windows.
+NEAR = 26
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    out = contaminated(docs, items)
+    out = contaminated(docs, items, within=NEAR)
     return out.select(
         "doc_id",
         "n_words",
@@ -355,6 +440,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
         "contaminated",
+        F.size("near_items").cast("long").alias("n_near_items"),
     )
 
 
@@ -372,8 +458,18 @@ place AS (SELECT rid, n, p, array_to_string(w[p:p + n - 1], ' ') AS t
        FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM win))),
 hit AS (SELECT rid, item_id, n, p FROM place JOIN win USING (n, t)),
 words AS (SELECT rid, count(DISTINCT k) AS n_hit FROM (SELECT rid, unnest(range(p, p + n)) AS k FROM (SELECT DISTINCT rid, n, p FROM hit)) GROUP BY rid),
+word AS (SELECT rid, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM d),
+freq AS (SELECT t, count(*) AS f FROM word GROUP BY t),
+phrase AS (SELECT DISTINCT w[p:p + 12] AS x FROM (SELECT w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS p FROM b WHERE len(w) > 0)),
+lead AS (SELECT x, arg_min(t, (f, k)) AS t FROM (SELECT x, unnest(x) AS t, generate_subscripts(x, 1) AS k FROM phrase) LEFT JOIN freq USING (t)
+         GROUP BY x HAVING count(f) = count(*)),
+close AS (SELECT DISTINCT rid, x FROM lead JOIN word USING (t) JOIN d USING (rid)
+          WHERE len(list_filter(x, lambda y: NOT list_contains(w[greatest(1, p - {NEAR}):p + {NEAR}], y))) = 0),
+near AS (SELECT rid, count(DISTINCT item_id::VARCHAR) AS n_near FROM close JOIN
+         (SELECT item_id, w[p:p + 12] AS x FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS p FROM b WHERE len(w) > 0)) USING (x) GROUP BY rid),
 found AS (SELECT rid, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS s FROM (SELECT DISTINCT rid, item_id::VARCHAR AS i FROM hit) GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-       sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN words USING (rid) LEFT JOIN found USING (rid)
+       sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+       coalesce(n_near, 0)::BIGINT AS n_near_items
+FROM d LEFT JOIN words USING (rid) LEFT JOIN found USING (rid) LEFT JOIN near USING (rid)
 """

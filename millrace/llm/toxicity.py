@@ -280,7 +280,7 @@ def learn(
                 yield pa.RecordBatch.from_arrays([b.column("y").slice(i, j - i), pa.array(own, pa.binary()), pa.array(swapped, SWAPS)], ["y", "own", "swaps"])
 
     numbers = lambda raw: np.frombuffer(raw, np.uint16).astype(np.int64)
-    got = rows.mapInArrow(run, "y int, own binary, swaps array<struct<lost:binary,gained:binary,weight:double>>").orderBy("own", "y").toArrow()
+    got = rows.mapInArrow(run, "y int, own binary, swaps array<struct<lost:binary,gained:binary,weight:double>>").toArrow().sort_by([("own", "ascending"), ("y", "ascending")])  # at most sample rows
     texts = [numbers(x.as_buffer()) for x in got.column("own")]
     swaps = [[(numbers(x["lost"]), numbers(x["gained"]), x["weight"]) for x in own] for own in got.column("swaps").to_pylist()]
     return fit(keys, texts, got.column("y").to_numpy(), swaps, **fitting)

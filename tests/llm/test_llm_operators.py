@@ -26,38 +26,58 @@ def test_contamination(spark, odd_docs, odd_rows):
     items = [(1, " ".join(by_id[4].split()[35:60])), (1, "one"), (None, by_id[12]), (2, None), (3, "no such words here"), (4, "W1 w2"), (5, " ".join(by_id[9].split()[100:113]))]
     bench = spark.createDataFrame([(*x, "extra") for x in items], "item_id long, text string, doc_id string")
 
-    def brute(width=13):
+    def brute(width=13, within=9):
         wins = collections.defaultdict(set)
         for i, t in items:
             w = ITEM_WORD.findall((t or "").translate(LOWER))
             for p in range(max(1, len(w) - width + 1)) if w else ():
                 wins[tuple(w[p : p + width])].add("" if i is None else str(i))
+        texts = [ITEM_WORD.findall((t or "").translate(LOWER)) for _, t in odd_rows]
+        seen = collections.Counter(x for w in texts for x in w)
         out = []
-        for d, t in odd_rows:
-            w, hit, found = ITEM_WORD.findall((t or "").translate(LOWER)), set(), set()
+        for (d, _), w in zip(odd_rows, texts, strict=True):
+            hit, found, near = set(), set(), set()
             for win, own in wins.items():
                 for p in range(len(w) - len(win) + 1):
                     if tuple(w[p : p + len(win)]) == win:
                         hit |= set(range(p, p + len(win)))
                         found |= own
-            out.append((d, len(w), len(hit), sorted(found), bool(hit) and 20 * len(hit) >= len(w)))
+                rarest = min(win, key=lambda x: seen[x])
+                if any(x == rarest and set(win) <= set(w[max(0, p - within) : p + within + 1]) for p, x in enumerate(w)):
+                    near |= own
+            out.append((d, len(w), len(hit), sorted(found), sorted(near), bool(hit) and 20 * len(hit) >= len(w)))
         return sorted(out, key=key)
 
-    for batch in (1 << 20, 60):  # one batch, and several that are merged
-        got = contamination.contaminated(odd_docs, bench, batch_bytes=batch)
-        assert sorted([(r.doc_id, r.n_words, r.n_hit, list(r["items"]), r.contaminated) for r in got.collect()], key=key) == brute()
+    for batch in (1 << 20, 20):  # one batch, and several that are merged
+        got = contamination.contaminated(odd_docs, bench, within=9, batch_words=batch)
+        assert sorted([(r.doc_id, r.n_words, r.n_hit, list(r["items"]), list(r.near_items), r.contaminated) for r in got.collect()], key=key) == brute()
     assert contamination.contaminated(odd_docs.limit(0), bench).count() == 0
     assert contamination.contaminated(odd_docs, bench.limit(0)).where("n_hit > 0 OR contaminated").count() == 0
 
 
+def test_long_items_are_cut_without_losing_a_window(spark):
+    text = " ".join(f"u{i}" for i in range(500))
+    bench = spark.createDataFrame([(1, text), (2, "u1 u2"), (3, "")], "item_id long, text string")
+    pieces = contamination.item_pieces(bench, "item_id", "text", 13, most=50).collect()
+    assert sorted(r.n for r in pieces if r.item == "1") == sorted([62] * 9 + [50]) and [r.n for r in pieces if r.item == "2"] == [2]
+    p = contamination.Phrases([(r["item"], np.frombuffer(bytes(r.words), np.uint64)) for r in pieces], 13)
+    assert len(p.start) == 500 - 12 + 1
+
+
+def test_phrases_of_a_large_benchmark_stay_small():
+    """A batch of half a million words, which is about 3 MB of text."""
+    import pickle
+
+    rng = np.random.default_rng(4)
+    pieces = [(str(i), rng.integers(0, 2**63, 60).astype(np.uint64)) for i in range((1 << 19) // 60)]
+    assert len(pickle.dumps(contamination.Phrases(pieces, 13))) < 30 << 20
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha x x beta y gamma"), (2, "gamma alpha beta"), (3, "alpha beta"), (4, "beta " * 5 + "alpha x x x x x x x gamma"), (5, None)], "doc_id long, text string")
-    index = contamination.build_index(docs)
-    phrase = np.frombuffer(next(iter(contamination.windows([(1, "alpha beta gamma")], 13))), np.uint64)
-    p = contamination.Phrases([phrase], [["1"]], contamination.frequencies(index, np.unique(phrase)))
-    near = {r.id for r in contamination.search(index, p, "long", within=5).collect() if r.spans}
-    assert near == {1, 2}
-    assert not [r for r in contamination.search(index, p, "long").collect() if r.spans]
+    bench = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
+    got = contamination.contaminated(docs, bench, within=5).collect()
+    assert {r.doc_id for r in got if r.near_items} == {1, 2} and not [r for r in got if r["items"]]
 
 
 def test_packing(spark, odd_docs, odd_rows):
