@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only in local mode, as in tests, where the session names no shared folder.
 LOCAL_DEFAULT = "/tmp/checkpoints/millrace"
@@ -73,6 +79,127 @@ def fresh(name: str, columns: list[str]) -> str:
     return name
 
 
+# ---------------------------------------------------------------- rows and decisions about them
+
+
+def _is_scan(df: DataFrame) -> bool:
+    """Whether each row is one row of a file: files with filters and projections, nothing else."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.children().size() == 1 and plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.nodeName().startswith("LogicalRelation")
+
+
+def with_place(df: DataFrame) -> tuple[DataFrame, str, str]:
+    """``df`` with the place of each row, and the names of the two columns: a
+    64-bit hash of its file's path, and its number in the file. Places don't
+    depend on how files are split into tasks. What isn't read from Parquet files is
+    written first. (Two of a million files share a hash with a chance of 3e-8.)"""
+    file, row = fresh("__file", df.columns), fresh("__at", df.columns)
+    for source in (df, None):
+        if source is None:
+            source = store(df.sparkSession, df, "placed")
+        elif not _is_scan(source):
+            continue
+        try:
+            meta = source.metadataColumn("_metadata")
+            out = source.select("*", F.xxhash64(meta["file_path"]).alias(file), meta["row_index"].alias(row))
+            out.schema  # is an error where the files have no such number
+            return out, file, row
+        except AnalysisException:
+            if source is not df:
+                raise
+    raise AssertionError
+
+
+_WINDOW = 20
+
+
+@dataclass
+class Decisions:
+    """Values for some rows, by place, in files sorted by place; a directory has a
+    row for each file, which is one for ``per_file`` decisions."""
+
+    path: str
+    directory: list[tuple[tuple[int, int], tuple[int, int], str]]
+
+    @staticmethod
+    def write(spark: SparkSession, df: DataFrame, name: str, per_file: int = 1 << 21) -> Decisions:
+        """``df``: file long, row long, and the values."""
+        thin = store(spark, df, name + "-found")
+        n = -(-thin.count() // per_file) or 1
+        path = work_path(spark, name)
+        ordered = thin.repartitionByRange(n, "file", "row").sortWithinPartitions("file", "row")
+        ordered.write.option("parquet.block.size", 16 << 20).parquet(path)
+        stored = spark.read.schema(thin.schema).parquet(path)
+        each = stored.select("file", "row", stored.metadataColumn("_metadata")["file_name"].alias("name"))
+        place = F.struct("file", "row")
+        found = each.groupBy("name").agg(F.min(place).alias("first"), F.max(place).alias("last")).collect()
+        return Decisions(path, sorted((tuple(r["first"]), tuple(r["last"]), r["name"]) for r in found))
+
+
+class Finder:
+    """Looks decisions up in a task that goes through rows of files in order. It
+    holds the decisions of 2**20 rows at a time."""
+
+    def __init__(self, decisions: Decisions):
+        self.of = decisions
+        self.last = [d[1] for d in decisions.directory]
+        self.where, self.base = open_fs(decisions.path)
+        self.held: tuple[int, int] | None = None
+        self.table: pa.Table | None = None
+        self.rows = np.zeros(0, np.int64)
+
+    def _load(self, file: int, window: int) -> None:
+        low, high = window << _WINDOW, (window + 1) << _WINDOW
+        parts = []
+        for first, _, name in self.of.directory[bisect.bisect_left(self.last, (file, low)) :]:
+            if first >= (file, high):
+                break
+            parts.append(pq.read_table(f"{self.base}/{name}", filesystem=self.where, filters=[("file", "==", file), ("row", ">=", low), ("row", "<", high)]))
+        self.held = (file, window)
+        self.table = pa.concat_tables(parts) if parts else None
+        self.rows = self.table.column("row").to_numpy() if parts else np.zeros(0, np.int64)
+
+    def find(self, file: np.ndarray, row: np.ndarray) -> Iterator[tuple[np.ndarray, pa.Table]]:
+        """For the rows at these places: numbers of those that have a decision, and the decisions."""
+        if not self.of.directory or not len(row):
+            return
+        part = row >> _WINDOW
+        cuts = np.flatnonzero(np.r_[True, (file[1:] != file[:-1]) | (part[1:] != part[:-1]), True])
+        for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if self.held != (int(file[a]), int(part[a])):
+                self._load(int(file[a]), int(part[a]))
+            if len(self.rows):
+                at = np.minimum(np.searchsorted(self.rows, row[a:z]), len(self.rows) - 1)
+                hit = np.flatnonzero(self.rows[at] == row[a:z])
+                if len(hit):
+                    yield hit + a, self.table.take(pa.array(at[hit]))
+
+
+def without(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """``df`` (a stored table) without the rows whose ``key`` is in ``gone``. key:
+    a distinct long that ascends in each file. Only keys are moved, never rows."""
+    names = [c for c in df.columns if c != key]
+    found = Decisions.write(df.sparkSession, gone.select(F.lit(0).cast("long").alias("file"), F.col(key).alias("row")), "without")
+    schema = df.select(*names).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = Finder(found)
+        for b in batches:
+            row = b.column(key).to_numpy(zero_copy_only=False)
+            keep = np.ones(len(row), bool)
+            for at, _ in finder.find(np.zeros(len(row), np.int64), row):
+                keep[at] = False
+            yield b.select(names).filter(pa.array(keep))
+
+    return df.mapInArrow(run, schema)
+
+
+def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+
+
 # ---------------------------------------------------------------- words
 
 #: Bytes that words may hold. Every byte of a non-ASCII character is one.

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from millrace.llm import contamination, lattice, packing, quality, registry, secrets, sharding, simhash, substring_dedup, toxicity, warc
+from millrace.llm import common, contamination, lattice, packing, quality, registry, secrets, sharding, simhash, substring_dedup, toxicity, warc
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -151,17 +151,56 @@ def test_warc_round_trip(spark):
     for p, u, h, _ in rows:
         raw = (h or "").encode()
         to = top[h or ""] if p is not None and p < top[h or ""] else None
-        want.append((p, u or "", None if to else raw, len(raw), warc.digest_of(raw), "revisit" if to else "response", to))
-    got = [(r.page_id, r.url, None if r.payload is None else bytes(r.payload), r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read(a).collect()]
-    assert sorted(got, key=key) == sorted(want, key=key)
+        want.append((p, u, None if to else raw, len(raw), warc.digest_of(raw), "revisit" if to else "response", to))
+    for out in (warc.read(a), warc.lookup(a, pages)):
+        got = [(r.page_id, r.url, None if r.payload is None else bytes(r.payload), r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in out.collect()]
+        assert sorted(got, key=key) == sorted(want, key=key)
+    some = spark.createDataFrame([("http://a.org/x",), ("http://a.org/x",), ("http://absent/",), (None,)], "url string")
+    assert sorted(str(r.page_id) for r in warc.lookup(a, some).collect()) == ["1", "2", "2", "5"]
     look = warc.Lookup(a)
     for u in {r[1] for r in rows if r[1]}:
         assert sorted(str(c[1]) for c in look.captures(u)) == sorted(str(r[0]) for r in rows if r[1] and warc.surt(r[1]) == warc.surt(u))
     assert [p for _, _, p in look.records("http://h1.org:8080/7")] == [("é" * 7).encode()] and look.captures("http://absent/") == []
-    assert warc.read(warc.write(pages.limit(0))).count() == 0
+    # ids are distinct, and revisits refer to the record of a response of their payload
+    fields = [f for u in {r[1] for r in rows} for f, _, _ in look.records(u)]
+    names = [f["warc-record-id"] for f in fields]
+    assert len(set(names)) == len(names) == len(rows)
+    by_name = {f["warc-record-id"]: f for f in fields}
+    for f in fields:
+        if f["warc-type"] == "revisit":
+            to = by_name[f["warc-refers-to"]]
+            assert to["warc-type"] == "response" and to["warc-payload-digest"] == f["warc-payload-digest"] and to["x-page-id"] == f["x-refers-to-page-id"]
+    empty = warc.write(pages.limit(0))
+    assert warc.read(empty).count() == 0 and warc.lookup(empty, pages).count() == 0
+    named = spark.createDataFrame([("a", "http://x/", "p"), ("7", "http://x/", "p"), ("6", "http://x/", "p")], "page_id string, url string, html string")
+    assert sorted((str(r.page_id), r.record_type) for r in warc.read(warc.write(named)).collect()) == [("6", "revisit"), ("7", "response"), ("None", "response")]
     assert warc.surt("HTTP://www.B.a.org:80/p?q") == "org,a,b)/p?q"
 
 
+def test_pages_are_never_shuffled(spark):
+    """With no broadcast at all, an exchange moves digests and places, not html."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+        placed, _, _ = common.with_place(pages.select("page_id", "url", "html"))
+        plan = placed._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan
+        assert warc.read(warc.write(pages)).count() == pages.count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_decisions_find_their_rows(spark):
+    docs = spark.range(5000).selectExpr("id", "concat('t', id) as t").repartition(3)
+    placed, file, row = common.with_place(docs)
+    assert placed.select(file, row).distinct().count() == 5000
+    numbered = common.store(spark, docs.withColumn("__row", F.monotonically_increasing_id()), "test-rows")
+    gone = numbered.where("id % 7 = 0").select("__row")
+    left = common.without(numbered, gone, "__row")
+    assert left.columns == ["id", "t"] and sorted(r.id for r in left.collect()) == [i for i in range(5000) if i % 7]
+    assert common.without(numbered, gone.limit(0), "__row").count() == 5000
+
+
 def test_sharding(spark, odd_docs, odd_rows):
     out = sharding.write_shards(odd_docs, shards=4, bucket_bytes=4000)
     rows = out.collect()
