@@ -16,20 +16,22 @@ model without the symbols around them. The ids are those of the whole text,
 which the tests hold against the tokenizer.
 
 Results for odd input: a null or empty text is the end id alone; null and
-repeated ids pass through and each row is packed; equal lengths are told apart
-by document, piece and checksum, rows equal in all of these are interchangeable;
-an empty table gives an empty result; columns beyond the two named ones are not
-read.
+repeated ids pass through and each row is packed; pieces of a length are ordered
+by document, piece and checksum, and then by a number that each piece got when it
+was stored, which also finds its token ids again; an empty table gives an empty
+result; columns beyond the two named ones are not read.
 """
 
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,7 +83,7 @@ class WordCache:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.letters = {b: ord(c) for b, c in byte_letters().items()}
         self.words = Generations(self._word)
         self.parts = Generations(self._part)
@@ -92,9 +94,11 @@ class WordCache:
         return b"".join(map(self.words.__getitem__, text.split()))
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _word(self, word: str) -> bytes:
+        if word.isalpha() and word.isascii():
+            return self.parts[word.lower()]
         m = _PLAIN.fullmatch(word)
         if m is None or "<|" in word:
             return self._whole(word)
@@ -106,15 +110,22 @@ class WordCache:
 
     def _part(self, part: str) -> bytes:
         """Ids of letters alone in lower case, or of symbols alone."""
-        spelt = part.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(spelt)], "<u4").tobytes()
+        # printing ASCII is written as itself
+        spelt = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+        return packed([t.id for t in self.tokenize(spelt)])
+
+
+def packed(ids: list[int]) -> bytes:
+    """Little-endian 32-bit numbers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 _caches: dict[str, WordCache] = {}
 
 
 def pieces(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, piece, start, length, ids): ids are little-endian 32-bit numbers."""
+    """(id_col, piece, start, length, ids, __key): ids are little-endian 32-bit
+    numbers; __key is a number of the piece's own, once the result is stored."""
     kind = docs.schema[id_col].dataType.simpleString()
     end = end_id.to_bytes(4, "little")
 
@@ -122,6 +133,7 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 0,
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        serial = TaskContext.get().partitionId() << 33
         cache = _caches.get(vocabulary) or _caches.setdefault(vocabulary, WordCache(vocabulary))
         for b in batches:
             ids, texts = b.column(0), b.column(1)
@@ -129,13 +141,15 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 0,
             held = 0
 
             def flush() -> pa.RecordBatch:
-                nonlocal rows, held
+                nonlocal rows, held, serial
                 of, nth, raw = zip(*rows, strict=True)
                 rows, held = [], 0
                 n = [len(x) // 4 for x in raw]
+                keys = np.arange(serial, serial + len(raw))
+                serial += len(raw)
                 return pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(of)), pa.array(nth, pa.int32()), pa.array([k * size for k in nth], pa.int64()), pa.array(n, pa.int64()), pa.array(raw, pa.binary())],
-                    ["id", "piece", "start", "length", "ids"],
+                    [ids.take(pa.array(of)), pa.array(nth, pa.int32()), pa.array([k * size for k in nth], pa.int64()), pa.array(n, pa.int64()), pa.array(raw, pa.binary()), pa.array(keys)],
+                    ["id", "piece", "start", "length", "ids", "__key"],
                 )
 
             for i in range(b.num_rows):
@@ -149,7 +163,7 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 0,
                 yield flush()
 
     thin = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return thin.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids binary").withColumnRenamed("id", id_col)
+    return thin.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids binary, __key long").withColumnRenamed("id", id_col)
 
 
 # ---------------------------------------------------------------- plan
@@ -243,6 +257,7 @@ def place(rows: DataFrame, size: int, order: list[str]) -> DataFrame:
     r = ranked(rows, order)
     hit = (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("p_rank")) & (F.col("rank") < F.col("p_rank") + F.col("p_count"))
     at = F.col("rank") - F.col("p_rank")
+    # the plan has a few rows for each of at most size lengths; past that Spark chooses the join, with the same result
     joined = r.join(F.broadcast(runs), hit) if len(plan) <= 50 * size else r.join(runs, hit)
     return joined.select(
         *rows.columns,
@@ -259,26 +274,23 @@ def pack(
     id_col: str = "doc_id",
     text_col: str = "text",
     digest: Column | None = None,
+    digest_name: str = "digest",
 ) -> DataFrame:
     """(id_col, piece, start, length, ids or digest, sequence_id, offset).
 
-    digest: if given, an expression over ids that is kept in their place, under
-    its own name; the token ids then never leave the tokenising task's stage.
+    digest: if given, an expression over ids that is kept in their place; the
+    token ids then never leave the tokenising task's stage.
     """
     spark = docs.sparkSession
-    cut = pieces(docs, vocabulary, size, end_id, id_col, text_col)
-    rows = cut.select("*", F.crc32("ids").alias("__crc"))
-    rows = rows.drop("ids") if digest is None else rows.select("*", digest).drop("ids")
-    if digest is None:
-        kept = store(spark, cut, "pack-ids")
-        thin = store(spark, kept.select(id_col, "piece", "start", "length", F.crc32("ids").alias("__crc")), "pack-pieces")
-        placed = place(thin, size, [id_col, "piece", "__crc"])
-        # equal keys have equal ids, so any of them will do
-        of = [id_col, "piece", "__crc"]
-        one = kept.withColumn("__crc", F.crc32("ids")).dropDuplicates(of).select(*[F.col(c).alias(f"k_{c}") for c in of], "ids")
-        same = (F.col(id_col).eqNullSafe(F.col(f"k_{id_col}"))) & (F.col("piece") == F.col("k_piece")) & (F.col("__crc") == F.col("k___crc"))
-        return placed.join(one, same).select(id_col, "piece", "start", "length", "ids", "sequence_id", "offset")
-    return place(store(spark, rows, "pack-pieces"), size, [id_col, "piece", "__crc"]).drop("__crc")
+    cut = pieces(docs, vocabulary, size, end_id, id_col, text_col).withColumn("__crc", F.crc32("ids"))
+    order = [id_col, "piece", "__crc", "__key"]
+    if digest is not None:
+        return place(store(spark, cut.withColumns({"__digest": digest}).drop("ids"), "pack-pieces"), size, order).select(
+            id_col, "piece", "start", "length", F.col("__digest").alias(digest_name), "sequence_id", "offset"
+        )
+    kept = store(spark, cut, "pack-ids")
+    placed = place(kept.drop("ids"), size, order)
+    return placed.join(kept.select("__key", "ids"), "__key").select(id_col, "piece", "start", "length", "ids", "sequence_id", "offset")
 
 
 def default_vocabulary() -> str:
@@ -289,5 +301,5 @@ def default_vocabulary() -> str:
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = pack(docs, default_vocabulary(), digest=F.crc32("ids").alias("ids_crc32"))
+    out = pack(docs, default_vocabulary(), digest=F.crc32("ids"), digest_name="ids_crc32")
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -101,7 +101,19 @@ def test_packing(spark, odd_docs, odd_rows):
             assert offset == at
             at += length
         assert at <= size
-    assert packing.pack(odd_docs.limit(0), path, digest=F.crc32("ids").alias("c")).count() == 0
+    assert packing.pack(odd_docs.limit(0), path, digest=F.crc32("ids")).count() == 0
+
+
+def test_packing_keeps_the_ids_of_rows_with_one_id(spark):
+    """Null and repeated ids: each piece has its own text's ids."""
+    from tokenizers import Tokenizer
+
+    tk = Tokenizer.from_file(packing.default_vocabulary())
+    rows = [(None if i % 2 else 1, f"text {i % 50}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = packing.pack(docs, packing.default_vocabulary(), size=32).collect()
+    want = collections.Counter((d, array.array("I", [*tk.encode(t, add_special_tokens=False).ids, 0]).tobytes()) for d, t in rows)
+    assert collections.Counter((r.doc_id, bytes(r.ids)) for r in got) == want
 
 
 def test_tokens_equal_the_tokenizer():
