@@ -226,9 +226,26 @@ def test_sharding(spark, odd_docs, odd_rows):
     place = lambda df: sorted([(r.doc_id, r.text, r["shard"], r["slot"]) for r in df.collect()], key=key)
     assert place(out) == place(again)
     assert place(out) != place(sharding.write_shards(odd_docs, shards=4, bucket_bytes=4000, seed=1))
+    # groups of buckets first: the same places
+    assert place(out) == place(sharding.write_shards(odd_docs, shards=4, bucket_bytes=4000, most_buckets=3))
     assert sharding.write_shards(odd_docs.limit(0)).count() == 0
 
 
+def test_equal_rows_are_not_one_bucket(spark):
+    """Half of all rows equal in id and text: the largest task holds two buckets' worth at most."""
+    docs = spark.createDataFrame([(None, "same text") if i % 2 else (i, f"text {i}") for i in range(4000)], "doc_id long, text string").repartition(4)
+    out = sharding.write_shards(docs, shards=3, bucket_bytes=4000)
+    rows = out.collect()
+    assert len(rows) == 4000 and sum(r.text == "same text" for r in rows) == 2000
+    slots = collections.defaultdict(list)
+    for r in rows:
+        slots[r["shard"]].append((r["slot"], r.text == "same text"))
+    assert all([s for s, _ in sorted(v)] == list(range(len(v))) for v in slots.values())
+    # a written file is a bucket's part of a shard, and none holds all the equal rows
+    files = out.where("text = 'same text'").groupBy(F.input_file_name()).count().collect()
+    assert max(r["count"] for r in files) * 10 <= 2 * 4000
+
+
 def made_labels(n=900):
     """Toxic texts name one group far more often than others do; neutral mentions exist too."""
     rng = np.random.default_rng(3)
