@@ -79,6 +79,22 @@ def fresh(name: str, columns: list[str]) -> str:
     return name
 
 
+def join_hot(left: DataFrame, right: DataFrame, key: str, count: str, most: int = 1000, least: int = 100) -> DataFrame:
+    """``left`` joined with ``right`` on ``key``. right: a stored table that has each
+    key once, with the number of left's rows of it in ``count``.
+
+    Keys of more than one in ``most`` of left's rows, of which there are fewer than
+    ``most``, go to all tasks, so that their rows stay where they are.
+    """
+    total, largest = right.agg(F.coalesce(F.sum(count), F.lit(0)), F.coalesce(F.max(count), F.lit(0))).first()
+    bound = max(total // most, least)
+    if largest <= bound:
+        return left.join(right.drop(count), key)
+    hot = F.broadcast(right.where(F.col(count) > bound).drop(count))
+    cold = left.join(hot.select(key), key, "left_anti").join(right.where(F.col(count) <= bound).drop(count), key)
+    return left.join(hot, key).unionByName(cold)
+
+
 # ---------------------------------------------------------------- rows and decisions about them
 
 

@@ -1,15 +1,16 @@
 """Document likelihood over all segmentations into subword pieces.
 
-The pieces are those of an existing vocabulary; its scores are the first
-weights. A word is the path through a lattice of pieces (characters that are no
+The pieces are those of an existing vocabulary, and its scores weight them. A word is the path through a lattice of pieces (characters that are no
 piece go by their byte pieces), and its probability is the sum over all paths,
 by the forward recursion in log space. A document's probability is that of its
 words and of one end. Pieces never cross white space, so a document's lattice
 falls apart into its words', and every different word is worked out once.
 
-Weights are fitted to the training documents by ``rounds`` of expectation
-maximisation over the counts of all their words (forward and backward sums); the
-pieces and the end share one distribution, so that scores are probabilities.
+There are two scores. ``plain_score`` has the vocabulary's weights as they are.
+``score`` has weights fitted to the training documents by ``rounds`` of expectation
+maximisation over the counts of all their words (forward and backward sums);
+with no rounds the two are equal. The pieces and the end share one distribution,
+so that both are probabilities.
 
 Flow. Blocks of a few MB of text keep their documents as numbers of the block's
 distinct words. The words with their training counts are dealt out by ranges of
@@ -361,11 +362,11 @@ def likelihood(
     block_bytes: int = 4 << 20,
     per_range: int = 1 << 19,
 ) -> DataFrame:
-    """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score).
+    """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score, plain_score).
 
     Documents for which ``held`` is true are scored but not learnt from.
-    score: log10 probability of the text. base_score: of the words by their
-    counts plus one.
+    score: log10 probability of the text by the fitted weights; plain_score: by
+    the vocabulary's. base_score: of the words by their counts plus one.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
@@ -375,6 +376,7 @@ def likelihood(
     words = store(spark, merged_words(blocks, ranges), "lattice-words")
     known, total = words.agg(F.coalesce(F.sum("n_known"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
     n, v = total + n_ends, known + (n_ends > 0)
+    plain = vocabulary_of(vocabulary).prior
     logp = fitted(words, vocabulary, n_ends, rounds)
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,9 +384,9 @@ def likelihood(
         for b in batches:
             for row in range(b.num_rows):
                 own, counts = _words(b, row)
-                value = np.zeros(len(counts))
+                value, before = np.zeros(len(counts)), np.zeros(len(counts))
                 for of, lattice in own.lattices(pieces):
-                    value[of] = lattice.marginal(logp)
+                    value[of], before[of] = lattice.marginal(logp), lattice.marginal(plain)
                 names = b.column("blocks")[row].as_py()
                 for some in range(0, len(names), 64):
                     places = [from_planes(x.as_buffer(), np.uint32) for x in b.column("places")[row].values[some : some + 64]]
@@ -394,10 +396,11 @@ def likelihood(
                         pa.array([b.column("part")[row].as_py()] * k, pa.int32()),
                         pa.array([planes(counts[p]) for p in places], pa.binary()),
                         pa.array([planes(value[p]) for p in places], pa.binary()),
+                        pa.array([planes(before[p].astype(np.float32)) for p in places], pa.binary()),
                     ]
-                    yield pa.RecordBatch.from_arrays(cols, ["block", "part", "counts", "values"])
+                    yield pa.RecordBatch.from_arrays(cols, ["block", "part", "counts", "values", "plain"])
 
-    returned = words.select("part", "counts", "sizes", "letters", "blocks", "places").mapInArrow(back, "block long, part int, counts binary, values binary")
+    returned = words.select("part", "counts", "sizes", "letters", "blocks", "places").mapInArrow(back, "block long, part int, counts binary, values binary, plain binary")
 
     def score(_key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by("part")
@@ -405,6 +408,7 @@ def likelihood(
         values = [from_planes(x.as_buffer(), np.float64) for x in right.column("values")]
         c = np.concatenate([*counts, np.zeros(0, np.int64)])
         value = np.concatenate([*values, np.zeros(0)])
+        before = np.concatenate([*[from_planes(x.as_buffer(), np.float32) for x in right.column("plain")], np.zeros(0)]).astype(float)
         cell = lambda name: left.column(name)[0].as_buffer()
         tokens, first = from_planes(cell("tokens"), np.uint32), np.frombuffer(cell("first"), np.int64)
         denominator = float(n + v + 1)
@@ -426,10 +430,11 @@ def likelihood(
                 "train_tokens": pa.array(np.full(len(size), n, np.int64)),
                 "base_score": pa.array(sums(np.log10((c + 1) / denominator)) + np.log10((n_ends + 1) / denominator)),
                 "score": pa.array((sums(value) + logp[-1]) / np.log(10)),
+                "plain_score": pa.array((sums(before) + plain[-1]) / np.log(10)),
             }
         )
 
-    out = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    out = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, plain_score double"
     mine = blocks.select("block", "ids", "held", "first", "tokens")
     return mine.groupBy("block").cogroup(returned.groupBy("block")).applyInArrow(score, out).withColumnRenamed("id", id_col)
 

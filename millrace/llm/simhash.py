@@ -18,6 +18,8 @@ no pair is left out. A task returns a spanning forest of what it found, never
 the pairs.
 
 Components come from repeated star contraction; every round is a written table.
+A node, component or fingerprint of very many rows meets them by broadcast, and
+only such (see ``join_hot``).
 
 Results for odd input: a null or wordless text has fingerprint zero and links
 like any other; null document ids never become a component id unless a
@@ -36,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, NON_SPACE, store, text_chunks, word_spans
+from .common import LOWER, NON_SPACE, join_hot, store, text_chunks, word_spans
 
 BITS = 64
 SEGMENTS = 16
@@ -328,13 +330,14 @@ def components(spark: SparkSession, edges: DataFrame, most_rounds: int = 60) ->
     before = None
     for _ in range(most_rounds):
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n"))
         # large star: every larger neighbour hangs on the least of u's neighbourhood
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = store(spark, large, "stars")
+        large = join_hot(both.where("v > u"), store(spark, least.where("n > 0"), "stars-least"), "u", "n")
+        large = store(spark, large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "stars")
         # small star: u and its smaller neighbours hang on the least of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionAll(low.select("u", F.col("m").alias("v"))).distinct()
+        low = store(spark, large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "stars-least")
+        small = join_hot(large, low.where("n > 1"), "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        small = small.unionAll(low.select("u", F.col("m").alias("v"))).distinct()
         after = store(spark, small, "stars")
         mark = after.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         now = after
@@ -352,12 +355,13 @@ def near_duplicates(
     """(id_col, fp long, component_id): one row per row of ``docs``."""
     spark = docs.sparkSession
     each = store(spark, fingerprints(docs, id_col, text_col, shingle), "simhash-docs")
-    one = store(spark, each.groupBy("fp").agg(F.min(id_col).alias("least_id")), "simhash-fps")
+    one = store(spark, each.groupBy("fp").agg(F.min(id_col).alias("least_id"), F.count("*").alias("n_docs")), "simhash-fps")
     found = components(spark, store(spark, links(spark, one, budget, split, segments), "simhash-links"))
     rooted = one.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of_fp = store(spark, rooted.select("fp", "root").join(ids, "root").select("fp", "component_id"), "simhash-of")
-    return each.join(of_fp, "fp").select(id_col, "fp", "component_id")
+    rooted = store(spark, rooted, "simhash-roots")
+    ids = store(spark, rooted.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("n")), "simhash-components")
+    of_fp = store(spark, join_hot(rooted.select("fp", "root", "n_docs"), ids, "root", "n").drop("root"), "simhash-of")
+    return join_hot(each, of_fp, "fp", "n_docs").select(id_col, "fp", "component_id")
 
 
 def hex16(fp) -> F.Column:

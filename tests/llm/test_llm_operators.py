@@ -368,6 +368,9 @@ def test_lattice(spark, odd_docs, odd_rows):
         w = WORD.findall((t or "").translate(LOWER))
         base = sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w) + math.log10((len(train) + 1) / (n + v + 1))
         want.append((d, d is not None and d % 3 == 0, len(w) + 1, sum(x in c for x in w) + 1, n, base))
+    bare = {(r.doc_id, r.n_tokens): (r.score, r.plain_score) for r in lattice.likelihood(odd_docs, held, path, rounds=0, block_bytes=3000).collect()}
+    assert all(math.isclose(a, b, rel_tol=1e-5) for a, b in bare.values())
+    assert all(math.isclose(bare[(r.doc_id, r.n_tokens)][1], r.plain_score, rel_tol=1e-5) for r in got)
     assert [tuple(r)[:5] for r in got] == [x[:5] for x in sorted(want, key=key)]
     assert np.allclose([r.base_score for r in got], [x[5] for x in sorted(want, key=key)])
     assert lattice.likelihood(odd_docs.limit(0), held, path).count() == 0
@@ -395,6 +398,12 @@ def test_lattice(spark, odd_docs, odd_rows):
         assert np.allclose(out, exp)
 
 
+def test_one_very_long_word(spark):
+    docs = spark.createDataFrame([(1, "ab1é" * 10_000), (2, "short one")], "doc_id long, text string")
+    got = {r.doc_id: r for r in lattice.likelihood(docs, F.lit(False), lattice.default_vocabulary(), rounds=1).collect()}
+    assert got[1].n_tokens == 2 and -1e6 < got[1].score < -1e3 and -1e6 < got[1].plain_score < -1e3
+
+
 def test_fitting_raises_the_likelihood(spark, odd_docs):
     score = lambda k: sum(r.score for r in lattice.likelihood(odd_docs, F.lit(False), lattice.default_vocabulary(), rounds=k).collect())
     assert score(0) < score(1) < score(2)
@@ -452,6 +461,14 @@ def test_substring_dedup(spark, odd_docs, odd_rows):
     assert substring_dedup.remove_repeats(odd_docs.limit(0)).count() == 0
 
 
+def test_windows_of_one_hash_are_told_apart_by_their_check():
+    h = np.array([5, 5, 5, 7, 5], np.uint64)
+    check = np.array([1, 2, 1, 1, 2], np.uint32)
+    order, new = substring_dedup.distinct(h, check)
+    groups = np.cumsum(new)[np.argsort(order, kind="stable")]
+    assert groups[0] == groups[2] != groups[1] == groups[4] and len(set(groups.tolist())) == 3
+
+
 def brute_components(fps, budget):
     v = sorted(set(fps))
     parent = list(range(len(v)))
@@ -532,6 +549,27 @@ def test_star_components(spark):
     assert got == {x: top(x) for x in parent if any(x in e and e[0] != e[1] for e in edges)}
 
 
+def test_hot_keys_meet_by_broadcast(spark):
+    left = spark.range(3000).selectExpr("IF(id % 2 = 0, 7, id) AS k", "id AS v")
+    right = common.store(spark, left.groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("m")), "test-hot")
+    got = common.join_hot(left, right, "k", "n")
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, left.join(right.drop("n"), "k").collect())) and got.count() == 3000
+
+
+def test_a_third_of_all_texts_in_one_group(spark):
+    """Copies, and a star of near fingerprints around one of them."""
+    rows = [(i, "one two three four five") if i % 3 == 0 else (i, f"text number {i} of this") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = simhash.near_duplicates(docs)
+    fps = {r.doc_id: r.fp % 2**64 for r in got.collect()}
+    comp = brute_components(list(fps.values()), 3)
+    least = {}
+    for d, f in fps.items():
+        least[comp[f]] = min(least.get(comp[f], d), d)
+    assert {r.doc_id: r.component_id for r in got.collect()} == {d: least[comp[f]] for d, f in fps.items()}
+
+
 def test_the_chain_filter_prunes():
     rings = simhash.Rings(3)
     rng = np.random.default_rng(1)
