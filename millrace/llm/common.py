@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Used only in local mode, as in tests, where the session names no shared folder.
@@ -55,6 +55,15 @@ def store(spark: SparkSession, df: DataFrame, name: str, partition_by: tuple[str
     return spark.read.schema(df.schema).parquet(path)
 
 
+def store_seen(spark: SparkSession, df: DataFrame, name: str, **values: Column) -> tuple[DataFrame, dict]:
+    """As ``store``, with aggregates of the rows that were seen while writing."""
+    seen = Observation()
+    # the table is read under the columns of df itself
+    path = work_path(spark, name)
+    df.observe(seen, *[v.alias(k) for k, v in values.items()]).write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get
+
+
 def mark() -> int:
     """A point in the row of intermediate tables, for ``clear``."""
     return len(_written)
@@ -80,15 +89,15 @@ def fresh(name: str, columns: list[str]) -> str:
 
 
 def join_hot(left: DataFrame, right: DataFrame, key: str, count: str, most: int = 1000, least: int = 100) -> DataFrame:
-    """``left`` joined with ``right`` on ``key``. right: a stored table that has each
-    key once, with the number of left's rows of it in ``count``.
+    """``left`` joined with ``right`` on ``key``. right has each key once, with the
+    number of left's rows of it in ``count``, and is stored on the way.
 
     Keys of more than one in ``most`` of left's rows, of which there are fewer than
     ``most``, go to all tasks, so that their rows stay where they are.
     """
-    total, largest = right.agg(F.coalesce(F.sum(count), F.lit(0)), F.coalesce(F.max(count), F.lit(0))).first()
-    bound = max(total // most, least)
-    if largest <= bound:
+    right, seen = store_seen(left.sparkSession, right, "join-right", total=F.sum(count), largest=F.max(count))
+    bound = max((seen["total"] or 0) // most, least)
+    if (seen["largest"] or 0) <= bound:
         return left.join(right.drop(count), key)
     hot = F.broadcast(right.where(F.col(count) > bound).drop(count))
     cold = left.join(hot.select(key), key, "left_anti").join(right.where(F.col(count) <= bound).drop(count), key)

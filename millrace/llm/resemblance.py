@@ -1,22 +1,30 @@
-"""Near copies by exact Jaccard similarity of word shingles.
+"""Near copies of a similarity, from SimHash links to exact Jaccard.
 
 Two texts link if the sets of their shingles have a similarity of 4/5 or more.
-No pair is left to chance. Texts of one set collapse first. With the shingles of
-all sets in one order, two sets of that similarity share one of the first
-n - ceil(4n/5) + 1 of each (prefix filter); those are the keys under which
-texts meet. Any order is right; shingles that a sample of the texts often has
+SimHash fingerprints with the pigeonring filter (``simhash.links``) propose the
+first links, each held against the sets themselves; they join most of a dense
+group at little cost. They cannot find all: at a similarity of 4/5 two of 64-bit
+fingerprints differ in ten bits on average, where no chain of segments is long
+enough to be a key. What they leave apart is completed without a loss:
+
+With the shingles of all sets in one order, two sets of that similarity share one
+of the first n - ceil(4n/5) + 1 of each (prefix filter); those are the keys under
+which texts meet. Any order is right; shingles that a sample of the texts often has
 come last, as they would make long lists. Pairs that meet pass two exact bounds,
 the ratio of sizes and the differing bits of parity bitmaps (a shingle flips one
 bit, so they are never more than the differing shingles), before the shingles
 of their texts are compared.
 
-Dense groups. Keys of more than ``DENSE`` texts first link texts to a few others
-of their lists, in ``ROUNDS`` rounds; what is connected by then is not compared
-again. All pairs of different components that meet are compared after that.
+Dense groups. Keys of more than ``DENSE`` texts of several components first link
+texts to a few others of their lists, in ``ROUNDS`` rounds; what is connected by
+then is not compared again. All pairs of different components that meet are
+compared after that.
 
 Results for odd input: null and wordless texts are one group; a text of fewer
 words than a shingle is one shingle; an empty table gives an empty result; rows
-are told apart by ``id_col``, which must be a distinct long.
+are told apart by ``id_col``, which must be a distinct long. Of a group the row of
+the least key stays (null keys last), then of the least hash of the text, then of
+the least id, so that it does not hang on how files are laid out.
 """
 
 from __future__ import annotations
@@ -29,9 +37,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, NON_SPACE, scramble, spans_hash, store, text_chunks, word_spans
-from .simhash import components
+from .common import LOWER, NON_SPACE, join_hot, scramble, spans_hash, store, text_chunks, word_spans
+from .simhash import components, links, majority
 
+#: Differing bits at which fingerprints propose a link.
+PROPOSED = 6
 DENSE = 32
 ROUNDS = 2
 #: Other texts that a text is held against in a round.
@@ -92,8 +102,8 @@ def _units(shingle: int, common: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, data, bounds in text_chunks(b, "text", 1 << 20):
-                size, digest, keys, bits = [], [], [], []
-                for h in shingle_sets(data, bounds, shingle):
+                size, digest, keys, bits, fps, marks = [], [], [], [], [], []
+                for k, h in enumerate(shingle_sets(data, bounds, shingle)):
                     n = len(h)
                     at = np.searchsorted(common, h)
                     late = common[np.minimum(at, len(common) - 1)] == h if len(common) else np.zeros(n, bool)
@@ -102,10 +112,10 @@ def _units(shingle: int, common: np.ndarray):
                     digest.append(xxhash.xxh3_128_digest(h.tobytes()))
                     keys.append(order[: n - (4 * n + 4) // 5 + 1].view(np.int64))
                     bits.append(parity(h).tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("id").slice(i, j - i), pa.array(size, pa.int32()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
-                    ["id", "n", "digest", "keys", "bits"],
-                )
+                    fps.append(majority(h, np.array([0, n]))[0])
+                    marks.append(xxhash.xxh64_intdigest(data[bounds[k] : bounds[k + 1]]) >> 1)
+                cols = [pa.array(size, pa.int32()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(marks, pa.int64())]
+                yield pa.RecordBatch.from_arrays([b.column("id").slice(i, j - i), b.column("key").slice(i, j - i), *cols], ["id", "key", "n", "digest", "keys", "bits", "fp", "mark"])
 
     return run
 
@@ -135,22 +145,24 @@ def _few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() < FEW else ids
 
 
-def first_of_groups(docs: DataFrame, id_col: str, text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """(id_col): the least id of each connected group of near copies."""
+def beside_another(docs: DataFrame, id_col: str, key_col: str, text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """(id_col): all rows but one of each connected group of near copies."""
     spark: SparkSession = docs.sparkSession
-    thin = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    thin = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(key_col).alias("key"))
 
     seen = thin.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(_sample(shingle), "h long")
     top = seen.groupBy("h").count().where(F.col("count") >= SEEN).orderBy(F.desc("count"), "h").limit(MOST_COMMON).select("h").toArrow()
     common = np.sort(top.column("h").to_numpy().astype(np.int64).view(np.uint64))
 
-    units = store(spark, thin.mapInArrow(_units(shingle, common), "id long, n int, digest binary, keys array<long>, bits binary"), "near-units")
-    heads = store(spark, units.groupBy("digest").agg(F.min("id").alias("id")).select("id"), "near-heads")
-    copies = store(spark, units.select("id").join(heads, "id", "left_anti"), "near-copies")
+    kind = docs.schema[key_col].dataType.simpleString()
+    units = store(spark, thin.mapInArrow(_units(shingle, common), f"id long, key {kind}, n int, digest binary, keys array<long>, bits binary, fp long, mark long"), "near-units")
+    heads = store(spark, units.groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "near-heads")
+    copies = store(spark, units.select("id").join(heads.select("id"), "id", "left_anti"), "near-copies")
     own = units.join(_few(copies), "id", "left_anti")
 
-    lists = own.select("id", "n", F.explode("keys").alias("key")).withColumn("g", F.count("*").over(Window.partitionBy("key"))).where("g > 1")
-    posts = store(spark, lists, "near-posts")
+    lists = own.select("id", "n", F.explode("keys").alias("key"))
+    sizes = lists.groupBy("key").agg(F.count("*").alias("g")).where("g > 1").withColumn("rows", F.col("g"))
+    posts = store(spark, join_hot(lists, sizes, "key", "rows"), "near-posts")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """(a, b): those of the pairs that are similar."""
@@ -163,7 +175,7 @@ def first_of_groups(docs: DataFrame, id_col: str, text_col: str = "text", shingl
         met = store(spark, pairs, "near-pairs")
         close = store(spark, with_both(met, units.select("id", "n", "bits"), "n").mapInArrow(_within_bounds, "a long, b long"), "near-close")
         ids = store(spark, close.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-ids")
-        texts = store(spark, thin.join(_few(ids), "id", "left_semi"), "near-texts")
+        texts = store(spark, thin.select("id", "text").join(_few(ids), "id", "left_semi"), "near-texts")
         return store(spark, with_both(close, texts).repartition(F.col("a"), F.col("b")).mapInArrow(_similar(shingle), "a long, b long"), "near-links")
 
     def rooted(rows: DataFrame, found: DataFrame | None) -> DataFrame:
@@ -171,24 +183,50 @@ def first_of_groups(docs: DataFrame, id_col: str, text_col: str = "text", shingl
             return rows.withColumn("root", F.col("id"))
         return rows.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
 
+    # SimHash proposals: fingerprints that link, and texts of one fingerprint
+    of_fp = store(spark, own.groupBy("fp").agg(F.min("id").alias("a"), F.count("*").alias("rows")), "near-fps")
+    near = store(spark, links(spark, of_fp, PROPOSED, segments=32), "near-proposed")
+    end = lambda name, to: of_fp.select(F.col("fp").alias(name), F.col("a").alias(to))
+    proposed = near.withColumnsRenamed({"a": "x", "b": "y"}).join(end("x", "a"), "x").join(end("y", "b"), "y").select("a", "b")
+    proposed = proposed.unionAll(join_hot(own.select("fp", F.col("id").alias("b")), of_fp, "fp", "rows").where("a <> b").select("a", "b"))
     edges, found = None, None
 
     def joined(more: DataFrame) -> tuple[DataFrame, DataFrame]:
+        if edges is not None and more.isEmpty():
+            return edges, found
         every = more if edges is None else edges.unionAll(more)
         return every, store(spark, components(spark, every), "near-found")
 
+    edges, found = joined(verified(proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
+
+    def several(rows: DataFrame) -> DataFrame:
+        """Rows of keys whose texts are in more than one component, with the least of these."""
+        of_key = rows.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("rows"))
+        return join_hot(rows, of_key.where("least <> most").drop("most"), "key", "rows")
+
     ratio = "5 * least(na, nb) >= 4 * greatest(na, nb) AND ra <> rb"
-    dense = posts.where(F.col("g") > DENSE)
-    for k in range(ROUNDS if not dense.isEmpty() else 0):
-        by = Window.partitionBy("key").orderBy(F.xxhash64("id", "key", F.lit(k)))
-        near = rooted(dense, found).select(
+    for k in range(ROUNDS):
+        dense = store(spark, several(rooted(posts.where(F.col("g") > DENSE), found)), "near-dense")
+        if dense.isEmpty():
+            break
+        # a list is cut by chance, so that none is one task's
+        dense = dense.withColumn("cut", F.pmod(F.xxhash64("id", F.lit(-k - 1)), F.ceil(F.col("g") / 4096)))
+        by = Window.partitionBy("key", "cut").orderBy(F.xxhash64("id", "key", F.lit(k)))
+        beside = dense.select(
             F.col("id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.lag("id").over(by).alias("b"), F.lag("n").over(by).alias("nb"), F.lag("root").over(by).alias("rb")
         )
-        pairs = near.where(ratio).select("a", "b").distinct().withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("a", "b")))).where(F.col("k") <= TRIES)
+        pairs = beside.where(ratio).select("a", "b").distinct().withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("a", "b")))).where(F.col("k") <= TRIES)
         edges, found = joined(verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
 
-    rows = store(spark, rooted(posts, found).select("key", "id", "n", "root"), "near-rooted")
-    left, right = (rows.select("key", F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("root").alias(f"r{s}")) for s in "ab")
-    met = left.join(right, (left["key"] == right["key"]) & F.expr(f"a < b AND {ratio}"))
-    edges, found = joined(verified(met.select("a", "b").distinct()))
-    return heads.join(found.where("node <> root").select(F.col("node").alias("id")), "id", "left_anti").withColumnRenamed("id", id_col)
+    # all that meet and are not connected yet: one of the two is not in its list's least component
+    rows = store(spark, several(rooted(posts, found)).select("key", "id", "n", "root", "least"), "near-rooted")
+    left, right = (rows.select("key", "least", F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("root").alias(f"r{s}")) for s in "ab")
+    met = left.where("ra <> least").drop("least").join(right.drop("least"), "key").where(ratio)
+    edges, found = joined(verified(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
+
+    # groups of more than one row, with the one that stays
+    of_head = heads.join(found.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("root", "id").alias("root"), F.col("copies").alias("rows"))
+    members = store(spark, join_hot(units.select("digest", "id", "key", "mark"), of_head, "digest", "rows").drop("digest"), "near-members")
+    first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "mark", "id"))
+    kept = members.groupBy("root").agg(first.alias("first")).select(F.col("first.id").alias("id"))
+    return members.join(kept, "id", "left_anti").select(F.col("id").alias(id_col))

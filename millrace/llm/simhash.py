@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, NON_SPACE, join_hot, store, text_chunks, word_spans
+from .common import LOWER, NON_SPACE, join_hot, store, store_seen, text_chunks, word_spans
 
 BITS = 64
 SEGMENTS = 16
@@ -332,18 +332,16 @@ def components(spark: SparkSession, edges: DataFrame, most_rounds: int = 60) ->
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n"))
         # large star: every larger neighbour hangs on the least of u's neighbourhood
-        large = join_hot(both.where("v > u"), store(spark, least.where("n > 0"), "stars-least"), "u", "n")
+        large = join_hot(both.where("v > u"), least.where("n > 0"), "u", "n")
         large = store(spark, large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "stars")
         # small star: u and its smaller neighbours hang on the least of them
-        low = store(spark, large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "stars-least")
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = join_hot(large, low.where("n > 1"), "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         small = small.unionAll(low.select("u", F.col("m").alias("v"))).distinct()
-        after = store(spark, small, "stars")
-        mark = after.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        now = after
-        if mark == before:
+        now, seen = store_seen(spark, small, "stars", n=F.count("*"), x=F.sum(F.shiftright(F.xxhash64("u", "v"), 32)))
+        if seen == before:
             break
-        before = mark
+        before = seen
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
@@ -359,8 +357,8 @@ def near_duplicates(
     found = components(spark, store(spark, links(spark, one, budget, split, segments), "simhash-links"))
     rooted = one.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = store(spark, rooted, "simhash-roots")
-    ids = store(spark, rooted.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("n")), "simhash-components")
-    of_fp = store(spark, join_hot(rooted.select("fp", "root", "n_docs"), ids, "root", "n").drop("root"), "simhash-of")
+    ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("n"))
+    of_fp = join_hot(rooted.select("fp", "root", "n_docs"), ids, "root", "n").drop("root")
     return join_hot(each, of_fp, "fp", "n_docs").select(id_col, "fp", "component_id")
 
 

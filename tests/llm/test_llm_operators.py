@@ -551,7 +551,7 @@ def test_star_components(spark):
 
 def test_hot_keys_meet_by_broadcast(spark):
     left = spark.range(3000).selectExpr("IF(id % 2 = 0, 7, id) AS k", "id AS v")
-    right = common.store(spark, left.groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("m")), "test-hot")
+    right = left.groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("m"))
     got = common.join_hot(left, right, "k", "n")
     assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, left.join(right.drop("n"), "k").collect())) and got.count() == 3000

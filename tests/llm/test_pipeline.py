@@ -5,7 +5,6 @@ import re
 from collections import Counter
 
 import pytest
-import xxhash
 
 import corpus_pipeline
 from millrace.llm import common, packing, secrets
@@ -34,18 +33,15 @@ def rejected(text):
     )
 
 
-def fingerprint(text, shingle=5):
-    w = WORD.findall((text or "").translate(LOWER))
-    h = [xxhash.xxh64_intdigest(" ".join(w[k : k + shingle]).encode(), 42) for k in range(max(1, len(w) - shingle + 1))] if w else []
-    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
-
-
-def groups(fps, budget=6):
-    label = list(range(len(fps)))
-    for _ in fps:
-        for i in range(len(fps)):
+def groups(texts, shingle=5):
+    """Labels of connected texts of a Jaccard similarity of 4/5 or more."""
+    words = [WORD.findall((t or "").translate(LOWER)) for t in texts]
+    sets = [{tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set() for w in words]
+    label = list(range(len(texts)))
+    for _ in texts:
+        for i in range(len(texts)):
             for j in range(i):
-                if (fps[i] ^ fps[j]).bit_count() <= budget:
+                if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
                     label[i] = label[j] = min(label[i], label[j])
     return label
 
@@ -92,12 +88,15 @@ def test_stages(spark, sf_dir):
         if name == "quality rules":
             assert rows(out) == sorted((str(r.doc_id), str(r.text)) for r in before if not rejected(r.text))
         elif name == "near duplicates":
-            label = groups([fingerprint(r.text) for r in before])
+            label = groups([r.text for r in before])
             of = {}
             for r, g in zip(before, label, strict=True):
                 of.setdefault((r.doc_id, r.text), g)
             kept = [of[(r.doc_id, r.text)] for r in out.collect()]
             assert sorted(kept) == sorted(set(label))
+            for r in out.collect():  # the least id of its group
+                own = [x.doc_id for x, g in zip(before, label, strict=True) if g == of[(r.doc_id, r.text)]]
+                assert r.doc_id == min((d for d in own if d is not None), default=None)
         elif name == "decontamination":
             assert rows(out) == sorted((str(r.doc_id), str(r.text)) for r in before if not hit_share(r.text, [item]))
             assert len(before) > out.count()
@@ -110,10 +109,12 @@ def test_stages(spark, sf_dir):
             want = Counter()
             for r in before:
                 want[r.doc_id] += len(cache.encode(r.text)) // 4 + 1
-            got = Counter()
+            got, ids = Counter(), Counter()
             for r in out.collect():
                 got[r.doc_id] += r.length
+                ids[bytes(r.ids)] += 1
             assert got == want
+            assert ids == Counter(raw[a : a + 8192] for raw in (cache.encode(r.text) + bytes(4) for r in before) for a in range(0, len(raw), 8192))
         docs = out
 
 

@@ -53,9 +53,9 @@ def texts():
 
 
 def test_all_pairs_of_the_similarity_are_linked(spark, texts):
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = [r.doc_id for r in resemblance.first_of_groups(docs, "doc_id").collect()]
-    assert len(got) == len(set(got)) and set(got) == firsts(texts)
+    docs = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "row long, doc_id long, text string").repartition(3)
+    got = [r.row for r in resemblance.beside_another(docs, "row", "doc_id").collect()]
+    assert len(got) == len(set(got)) and set(got) == set(range(len(texts))) - firsts(texts)
 
 
 def test_stage_removes_a_copy_at_the_threshold(spark):
@@ -69,6 +69,18 @@ def test_stage_removes_a_copy_at_the_threshold(spark):
     assert corpus_pipeline.near_duplicates(spark, docs, "").count() == len(firsts(texts)) == 30
 
 
+def test_the_survivor_is_that_of_the_least_doc_id(spark):
+    """Whatever the files and numbers of rows; equal ids go by the text."""
+    rng = random.Random(8)
+    base = [f"w{rng.randint(0, 5000)}" for _ in range(200)]
+    rows = [(9, " ".join(base)), (3, edited(rng, base, 2)), (None, " ".join(base)), (3, edited(rng, base, 1)), (5, "another text of six words here")]
+    out = set()
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string").repartition(2)
+        out.add(tuple(sorted((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())))
+    assert len(out) == 1 and [d for d, _ in next(iter(out))] == [3, 5]
+
+
 def test_bitmaps_never_say_more_than_the_difference():
     rng = np.random.default_rng(1)
     for _ in range(200):
