@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import contamination, packing, quality, resemblance, secrets
-from millrace.llm.common import clear, fresh, mark, store
+from millrace.llm.common import clear, fresh, mark, store, without
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,12 +24,13 @@ def numbered(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, str]:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first row of each group of near duplicates: texts whose sets of
-    five-word shingles have a Jaccard similarity of 0.8 or more, all such pairs.
-    Texts without words are one group."""
+    """One row of each group of near duplicates: texts whose sets of five-word
+    shingles have a Jaccard similarity of 0.8 or more, all such pairs. SimHash
+    links propose, the sets decide, and a prefix filter finds what fingerprints
+    leave apart. The row of the least doc_id stays, then of the least hash of the
+    text. Texts without words are one group."""
     rows, row = numbered(spark, docs)
-    keep = store(spark, resemblance.first_of_groups(rows, id_col=row, shingle=5), "pipeline-kept")
-    return rows.join(keep, row, "left_semi").select(*docs.columns)
+    return without(rows, resemblance.beside_another(rows, row, "doc_id"), row).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +38,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows, row = numbered(spark, docs)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     bad = contamination.contaminated(rows, benchmark, id_col=row).where("contaminated").select(row)
-    return rows.join(store(spark, bad, "pipeline-contaminated"), row, "left_anti").select(*docs.columns)
+    return without(rows, bad, row).select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,9 +50,9 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all pieces of all documents in sequences of 2048 tokens."""
-    out = packing.pack(docs, packing.default_vocabulary(), digest=F.crc32("ids").alias("ids_crc32"))
-    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    """All pieces of all documents with their token ids (little-endian, 32 bits)
+    and their places in sequences of 2048 tokens."""
+    return packing.pack(docs, packing.default_vocabulary())
 
 
 STAGES = [
