@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -157,5 +160,66 @@ def word_count(text: Column) -> Column:
     return let(words(text), lambda w: F.size(w))
 
 
-__all__ = ["chat", "conversation_id", "difference_hash", "distinct_pieces", "file_path", "fingerprint", "grid", "issue", "issue_key", "mail", "mail_list", "mean_confidence",
-           "natural_number", "search_results", "slides", "wanted_tab", "without_visual_breaks", "word_count"]
+def ai_turns(turns: Column) -> Column:
+    """``[User]`` and ``[AI]`` blocks from structs (role, text); null without any text."""
+    full = F.filter(turns, lambda t: F.coalesce(strip(t["text"]), F.lit("")) != "")
+    block = lambda t: F.concat(F.lit("["), F.when(t["role"] == "user", "User").otherwise("AI"), F.lit("]\n"), strip(t["text"]))
+    return F.nullif(F.array_join(F.transform(full, block), "\n\n"), F.lit(""))
+
+
+def board(cards: Column) -> Column:
+    """Lines ``KEY: summary`` of a board or a backlog, of cards that have a key; null without one."""
+    keyed = F.filter(cards, lambda c: F.coalesce(strip(c["key"]), F.lit("")) != "")
+    line = lambda c: F.concat(strip(c["key"]), F.lit(": "), F.coalesce(strip(c["summary"]), F.lit("")))
+    return F.nullif(F.array_join(F.transform(keyed, line), "\n"), F.lit(""))
+
+
+def issue_page(key: Column, summary: Column, status: Column, assignee: Column, description: Column) -> Column:
+    """An issue as its page shows it; null if there is nothing but the key."""
+    some = lambda c: F.nullif(F.coalesce(strip(c), F.lit("")), F.lit(""))
+    who = some(F.regexp_replace(assignee, r"(?i)^Assignee\s*", ""))
+    who = F.nullif(who, F.lit("Unassigned"))
+    name = F.coalesce(some(key), F.lit("UNKNOWN"))
+    facts = F.concat_ws(" | ", F.concat(F.lit("Status: "), some(status)), F.concat(F.lit("Assignee: "), who))
+    head = F.concat(F.lit("# "), name, F.lit(": "), F.coalesce(some(summary), F.lit("")))
+    content = strip(F.concat_ws("\n", head, F.lit(""), F.when(facts != "", F.concat(facts, F.lit("\n"))), F.concat(F.lit("## Description\n"), some(description))))
+    return F.nullif(content, F.concat(F.lit("# "), name, F.lit(":")))
+
+
+def office_ids(url: Column) -> Column:
+    """(doc, sheet, gid, deck) of an office URL; gid is 0 where a sheet has none."""
+    of = lambda kind: found(url, rf"/{kind}/d/([a-zA-Z0-9_-]+)")
+    gid = F.when(of("spreadsheets").isNotNull(), F.coalesce(found(url, r"[#&?]gid=(\d+)"), F.lit("0")))
+    return F.struct(of("document").alias("doc"), of("spreadsheets").alias("sheet"), gid.alias("gid"), of("presentation").alias("deck"))
+
+
+def adf_text(raw: str | None) -> str:
+    """Text of a rich document in JSON (or plain text as it is): all its text nodes in order."""
+    try:
+        root = json.loads(raw) if raw else None
+    except ValueError:
+        return raw.strip()
+    if isinstance(root, str):
+        return root
+    out, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if isinstance(node, dict):
+            if node.get("type") == "text":
+                out.append(node.get("text") or "")
+            elif isinstance(node.get("content"), list):
+                todo += reversed(node["content"])
+    return "".join(out).strip()
+
+
+def adf(raw: Column) -> Column:
+    """``adf_text`` of a column: the depth of a document isn't known, which SQL has no form for."""
+
+    def texts(column: pd.Series) -> pd.Series:
+        return column.map(adf_text)
+
+    return F.pandas_udf(texts, "string")(raw)
+
+
+__all__ = ["adf", "adf_text", "ai_turns", "board", "chat", "conversation_id", "difference_hash", "distinct_pieces", "file_path", "fingerprint", "grid", "issue", "issue_key", "issue_page", "mail", "mail_list", "mean_confidence",
+           "natural_number", "office_ids", "search_results", "slides", "wanted_tab", "without_visual_breaks", "word_count"]

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import rules
+from .text import let
 
 
 def glob_regex(globs: list[str]) -> str:
@@ -45,12 +46,23 @@ def is_card(digits: Column) -> Column:
 
 
 def redact_cards(text: Column) -> Column:
-    """Runs in card form whose 13 to 19 digits pass the check sum."""
-    runs = F.array_distinct(F.regexp_extract_all(text, F.lit(rules.CARD), F.lit(0)))
-    cards = F.filter(runs, lambda m: is_card(F.regexp_replace(m, r"\D", "")))
-    # longest first, so that a card inside a longer one leaves it whole
-    cards = F.transform(F.sort_array(F.transform(cards, lambda m: F.struct(F.length(m).alias("n"), m.alias("m"))), asc=False), lambda x: x["m"])
-    return F.aggregate(cards, text, lambda t, m: F.replace(t, m, F.lit(rules.CARD_MARK)))
+    """Runs in card form whose 13 to 19 digits pass the check sum, each at its own
+    place: the text between the runs, and in turn each run or the mark for it."""
+
+    def rebuilt(runs: Column) -> Column:
+        between = F.split(text, rules.CARD, -1)
+        shown = F.transform(runs, lambda m: F.when(is_card(F.regexp_replace(m, r"\D", "")), F.lit(rules.CARD_MARK)).otherwise(m))
+        pieces = F.zip_with(between, shown, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+        return F.array_join(pieces, "")
+
+    runs = F.regexp_extract_all(text, F.lit(rules.CARD), F.lit(0))
+    return F.when(F.exists(runs, lambda m: is_card(F.regexp_replace(m, r"\D", ""))), let(runs, lambda r: rebuilt(r))).otherwise(text)
+
+
+def blocklist(globs: list[str], block: list[str] = (), unblock: list[str] = ()) -> list[str]:
+    """A block list after changes at run time: what is never captured stays out of
+    reach of ``unblock`` (see ``always_blocked``), others go by their exact text."""
+    return [g for g in [*globs, *block] if g not in unblock]
 
 
 def redact_patterns(text: Column, patterns: list[tuple[str, str]]) -> Column:

@@ -51,6 +51,12 @@ def chunk_words(text: Column, most: int = 1024, overlap: int = 100) -> Column:
     return let(words(F.coalesce(text, F.lit(""))), lambda w: chunks(w))
 
 
+def chunk_count(text: Column, most: int = 1024, overlap: int = 100) -> Column:
+    """How many chunks ``chunk_words`` makes, from the number of words alone."""
+    n = F.size(words(F.coalesce(text, F.lit(""))))
+    return F.when(n == 0, 0).when(n <= most, 1).otherwise(F.floor((n - overlap) / (most - overlap)).cast("int") + 1)
+
+
 def is_tabular(text: Column) -> Column:
     """At least two of the first ten lines hold a tab, of two lines or more."""
     some = F.slice(lines(text), 1, 10)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +40,21 @@ def tabular_pack(lines: list[str], most: int, carried: int = 3) -> list[tuple[st
     return out
 
 
+def _lines(text: str) -> list[str]:
+    return text.splitlines() if "\r" in text else text.removesuffix("\n").split("\n")
+
+
+def count(text: Column, most: int = 1024, overlap: int = 100) -> Column:
+    """How many chunks ``chunks`` makes of a text. Only tabular ones are packed for it."""
+
+    @F.pandas_udf("int")
+    def packed(tables: pd.Series) -> pd.Series:
+        return tables.map(lambda x: None if x is None else len(tabular_pack(_lines(x), most))).astype("Int32")
+
+    tabular = T.is_tabular(text)
+    return F.coalesce(packed(F.when(tabular, text)), T.chunk_count(text, most, overlap))
+
+
 def chunks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 1024, overlap: int = 100) -> DataFrame:
     """Tabular texts by lines, all others by words: (id_col, chunk_index,
     total_chunks, chunk_text, token_count).
@@ -56,7 +72,7 @@ def chunks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most:
         for b in batches:
             ids, index, total, texts, sizes = [], [], [], [], []
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                got = tabular_pack(text.splitlines() if "\r" in text else text.removesuffix("\n").split("\n"), most)
+                got = tabular_pack(_lines(text), most)
                 for i, (chunk, n) in enumerate(got):
                     ids.append(key)
                     index.append(i)

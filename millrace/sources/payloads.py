@@ -74,3 +74,30 @@ def recognised(values: DataFrame, column: str = "value") -> DataFrame:
     j = F.from_json(column, "text string, confidence double, error string")
     m = values.select(j.alias("m")).select("m.*")
     return m.withColumns({"confidence": F.coalesce("confidence", F.lit(0.9)), "failed": F.col("error").isNotNull() | (F.coalesce("text", F.lit("")) == "")})
+
+
+def accessible(values: DataFrame, column: str = "value") -> DataFrame:
+    """Output of the interface reader with its window's title, application and
+    bundle: rows without content fail."""
+    j = F.from_json(column, "content string")
+    rest = [c for c in values.columns if c != column]
+    m = values.select(*rest, F.coalesce(j["content"], F.lit("")).alias("content"))
+    fixed = {"source": F.lit("accessibility"), "url": F.lit(None).cast("string"), "extraction_method": F.lit("accessibility"), "confidence": F.lit(1.0).cast("float")}
+    return m.withColumns({**fixed, "failed": F.col("content") == ""})
+
+
+def exports(answers: DataFrame) -> DataFrame:
+    """(…, content, error) of fetched exports from (…, status, body): refused, failed or empty ones are errors."""
+    body = F.regexp_replace(F.coalesce("body", F.lit("")), r"(?U)^\s+|\s+$", "")
+    error = (
+        F.when(F.col("status") == 429, "Rate limited (429) - try again later")
+        .when((F.col("status") < 200) | (F.col("status") > 299), F.concat(F.lit("Export failed with status "), F.col("status").cast("string")))
+        .when(body == "", "Export returned empty content")
+    )
+    rest = [c for c in answers.columns if c not in ("status", "body")]
+    return answers.select(*rest, F.when(error.isNull(), body).alias("content"), error.alias("error"))
+
+
+def batch_of_recognised(results: DataFrame) -> DataFrame:
+    """A parallel batch's results: those that failed are left out."""
+    return results.where("NOT failed")

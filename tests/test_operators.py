@@ -1,4 +1,5 @@
 import io
+import pickle
 import random
 import struct
 import zipfile
@@ -40,7 +41,11 @@ def test_steps():
     assert add(state, {"text": "first line of the text that is stored"})[1]["action"] == "skipped"
     more = "an entirely different sentence with many unseen expressions in it"
     new, out = add(state, {"text": more})
-    assert out == {"action": "updated", "n_added": len(more), "stored_hash": steps.sha(f"first line of the text that is stored\n\n{more}")} and new[0].endswith(more)
+    assert out == {"action": "updated", "n_added": len(more), "stored_hash": steps.sha(f"first line of the text that is stored\n\n{more}")} and more in new.lines
+    kept = steps.append_step(keep=True)
+    state, _ = kept(None, {"text": "first line of the text that is stored"})
+    again = pickle.loads(pickle.dumps(kept(state, {"text": more})[0]))
+    assert again.hash.hexdigest() == out["stored_hash"] and again.lines == new.lines and again.words == new.words
     ttl = steps.dedup_step(10)
     state, out = ttl(None, {"content_hash": "x", "at": 0})
     assert out["action"] == "created" and ttl(state, {"content_hash": "x", "at": 5})[1]["action"] == "skipped" and ttl(state, {"content_hash": "x", "at": 50})[1]["action"] == "created"
@@ -65,6 +70,9 @@ def test_commit_and_read_versions(spark, tmp_path):
     store.commit(spark, root, {"t": spark.range(3)})
     store.commit(spark, root, {"t": spark.range(5)})
     assert store.current(spark, root, "t").count() == 5
+    q = store.changes(spark, root).writeStream.format("memory").queryName("versions").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp"))
+    q.start().awaitTermination(60)
+    assert spark.table("versions").count() == 2
 
 
 def test_payload_lines_and_frames(spark, tmp_path):
