@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import browse, capture, chunks, stateful
+from . import browse, capture, chunks, merging, stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-for _module in (chunks, capture, browse, stateful):
+for _module in (chunks, capture, browse, merging, stateful):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
