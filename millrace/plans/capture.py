@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import canonical, privacy, rules
+from ..functions import canonical, labels, privacy, rules
 from ..session import table
 
 
@@ -125,17 +125,17 @@ def app_block(spark: SparkSession, d: str) -> DataFrame:
 def display_assign(spark: SparkSession, d: str) -> DataFrame:
     """Windows (line items) to the first display (nations on a grid) that has their centre.
 
-    Displays are a dimension of a few rows, so the range join is a broadcast one.
+    A machine's displays are a few, and go along as one array: no row of windows
+    is moved, and none can match twice.
     """
-    shown = table(spark, d, "nation").select(
-        F.col("n_nationkey").alias("display_id"), (F.col("n_nationkey") % 5 * 1000).alias("x0"), (F.floor(F.col("n_nationkey") / 5) * 800).cast("int").alias("y0")
-    )
+    x0, y0 = F.col("n_nationkey") % 5 * 1000, (F.floor(F.col("n_nationkey") / 5) * 800).cast("int")
+    one = F.struct(F.col("n_nationkey").alias("id"), x0.alias("x0"), y0.alias("y0"), (x0 + 1000).alias("x1"), (y0 + 800).alias("y1"))
+    shown = table(spark, d, "nation").agg(F.array_sort(F.collect_list(one)).alias("displays"))
     wins = table(spark, d, "lineitem").select(
         "l_orderkey", "l_linenumber", (F.col("l_partkey") * 7 % 5200 + F.expr("CAST(l_quantity AS INT) div 2")).alias("cx"), (F.col("l_suppkey") * 13 % 4300).alias("cy")
     )
-    inside = (F.col("cx") >= F.col("x0")) & (F.col("cx") < F.col("x0") + 1000) & (F.col("cy") >= F.col("y0")) & (F.col("cy") < F.col("y0") + 800)
-    found = wins.join(F.broadcast(shown), inside, "left")
-    return found.groupBy("l_orderkey", "l_linenumber", "cx", "cy").agg(F.coalesce(F.min("display_id"), F.lit(0)).alias("display_id"), F.count("*").alias("n_rows"))
+    found = wins.join(F.broadcast(shown))  # one row
+    return found.select("l_orderkey", "l_linenumber", "cx", "cy", labels.display_of(F.col("displays"), F.col("cx"), F.col("cy")).alias("display_id"))
 
 
 def capture_decision(spark: SparkSession, d: str) -> DataFrame:
@@ -169,11 +169,10 @@ def ahash(spark: SparkSession, d: str) -> DataFrame:
 
 
 def source_config(spark: SparkSession, d: str) -> DataFrame:
-    """Display settings by source, with a default for unknown ones."""
-    known = spark.createDataFrame([(f"src{i}", f"#0{i % 10}0") for i in range(8)], "key string, colour string")
-    t = table(spark, d, "documents").select("doc_id", F.lower(F.trim("source")).alias("key"))
-    j = t.join(F.broadcast(known), "key", "left")
-    return j.groupBy("key").agg(F.coalesce(F.max("colour"), F.lit("#888")).alias("colour"), F.count("*").alias("n"), F.max(F.col("colour").isNotNull()).alias("known"))
+    """How the sources of all documents are shown; they are none of the known ones, but for every fifth."""
+    source = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit(" Slack"), F.lit(" "))).otherwise(F.col("source"))
+    t = table(spark, d, "documents").select(labels.shown(source).alias("s")).select("s.*")
+    return t.groupBy("logo", "colour", "known").agg(F.count("*").alias("n"))
 
 
 QUERIES = {
@@ -245,9 +244,9 @@ SELECT o_orderkey, always, always OR regexp_matches(b, '{_OWN}') AS blocked,
        b IN ({_list(rules.CAPTURE_BLOCKED)}) OR len(list_filter([{_list(rules.CAPTURE_BLOCKED_TITLES + rules.CAPTURE_BLOCKED_URLS)}], lambda p: contains(lower(t), p))) > 0 AS no_capture FROM c""",
     "display_assign": """
 WITH s AS (SELECT n_nationkey AS display_id, n_nationkey % 5 * 1000 AS x0, n_nationkey // 5 * 800 AS y0 FROM nation),
-w AS (SELECT l_orderkey, l_linenumber, l_partkey * 7 % 5200 + floor(l_quantity)::INTEGER // 2 AS cx, l_suppkey * 13 % 4300 AS cy FROM lineitem)
-SELECT l_orderkey, l_linenumber, cx, cy, coalesce(min(display_id), 0) AS display_id, count(*) AS n_rows
-FROM w LEFT JOIN s ON cx >= x0 AND cx < x0 + 1000 AND cy >= y0 AND cy < y0 + 800 GROUP BY ALL""",
+w AS (SELECT row_number() OVER () AS r, l_orderkey, l_linenumber, l_partkey * 7 % 5200 + floor(l_quantity)::INTEGER // 2 AS cx, l_suppkey * 13 % 4300 AS cy FROM lineitem)
+SELECT l_orderkey, l_linenumber, cx, cy, coalesce(min(display_id), 0) AS display_id
+FROM w LEFT JOIN s ON cx >= x0 AND cx < x0 + 1000 AND cy >= y0 AND cy < y0 + 800 GROUP BY r, l_orderkey, l_linenumber, cx, cy""",
     "capture_decision": """
 SELECT event_id, CASE WHEN event_type = 'click' AND value % 40 >= 5 THEN true WHEN value % 40 >= 30 THEN true WHEN value % 40 < 5 THEN false ELSE event_id % 7 >= 2 AND event_id % 3 >= 1 END AS capture,
        (10 * CASE WHEN user_id % 2 = 0 THEN 3 ELSE 1 END * CASE WHEN user_id % 3 = 0 THEN 2 ELSE 1 END)::BIGINT AS interval_s FROM events""",
@@ -261,6 +260,6 @@ b AS (SELECT vec_id, list_transform(range(0, 64), lambda i: CASE WHEN g[i + 1] >
 SELECT vec_id, array_to_string(list_transform(range(15, -1, -1), lambda q: '0123456789abcdef'[(b[4 * q + 1] + 2 * b[4 * q + 2] + 4 * b[4 * q + 3] + 8 * b[4 * q + 4] + 1)::INTEGER]), '') AS hash_hex,
        list_sum(b)::INTEGER AS n_bits FROM b""",
     "source_config": """
-WITH k AS (SELECT 'src' || i AS key, '#0' || (i % 10) || '0' AS colour FROM range(8) t(i)), d AS (SELECT lower(trim(source)) AS key FROM documents)
-SELECT key, coalesce(max(colour), '#888') AS colour, count(*) AS n, max(colour IS NOT NULL) AS known FROM d LEFT JOIN k USING (key) GROUP BY key""",
+WITH d AS (SELECT doc_id % 5 = 0 AS k FROM documents)
+SELECT CASE WHEN k THEN 'slack' ELSE 'document' END AS logo, CASE WHEN k THEN '#4A154B' ELSE '#6B7280' END AS colour, k AS known, count(*) AS n FROM d GROUP BY k""",
 }

@@ -151,6 +151,20 @@ SELECT doc_id, CASE WHEN length(text) > 150 THEN left(text, 147) || '...' ELSE t
 FROM b""",
     "redact_router": _redacted([*rules.ROUTER_REDACTIONS, rules.EMAIL, rules.PHONE]),
     "redact_ocr": _redacted(rules.OCR_REDACTIONS),
+    "redact_cards": r"""
+WITH m AS (SELECT doc_id, text, regexp_extract_all(text, '\b(?:\d{4}[-\s]?){3,4}\d{1,4}\b') AS m, regexp_split_to_array(text, '\b(?:\d{4}[-\s]?){3,4}\d{1,4}\b') AS b FROM documents),
+e AS (SELECT *, list_transform(m, lambda x: regexp_replace(x, '\D', '', 'g')) AS ds FROM m),
+k AS (SELECT *, list_transform(ds, lambda s: length(s) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length(s) + 1), lambda i: CASE WHEN (length(s) - i) % 2 = 0 THEN s[i]::INTEGER
+      ELSE 2 * s[i]::INTEGER - CASE WHEN s[i]::INTEGER > 4 THEN 9 ELSE 0 END END)) % 10 = 0) AS c FROM e),
+r AS (SELECT doc_id, text, array_to_string(list_transform(range(1, len(b) + 1), lambda i: b[i] || CASE WHEN i > len(m) THEN '' WHEN c[i] THEN '[REDACTED_CARD]' ELSE m[i] END), '') AS r FROM k)
+SELECT doc_id, sha256(r) AS redacted_hash, r <> text AS changed FROM r""",
+    "chunk_tabular": """
+WITH l AS (SELECT l_orderkey, concat_ws(chr(9), l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus) AS x,
+             row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, concat_ws(chr(9), l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus)) AS i FROM lineitem),
+g AS (SELECT l_orderkey, count(*) AS n, list(x ORDER BY i) AS x FROM l GROUP BY l_orderkey),
+j AS (SELECT *, greatest(1, n - 2) AS c, unnest(range(greatest(1, n - 2))) AS j FROM g),
+o AS (SELECT *, CASE WHEN j = 0 THEN x[1:3] ELSE x[j:j + 3] END AS own FROM j)
+SELECT l_orderkey, j::INTEGER AS chunk_index, c::INTEGER AS total_chunks, (5 * len(own))::INTEGER AS token_count, sha256(array_to_string(own, chr(10))) AS text_hash FROM o""",
     "luhn": """
 WITH d AS (SELECT o_orderkey, lpad(o_orderkey::VARCHAR, 16, '4539') AS s FROM orders),
 x AS (SELECT o_orderkey, list_sum(list_transform(range(1, 17), lambda i: CASE WHEN i % 2 = 0 THEN s[i]::INTEGER

@@ -65,6 +65,32 @@ QUERIES = {
 }
 
 ORACLES = {
+    "change_detect": """
+WITH RECURSIVE g AS (SELECT label, vec_id, list_transform(embedding[1:64], lambda x: greatest(0, least(255, floor((x::DOUBLE + 0.5) * 255)))::BIGINT) AS g FROM embeddings),
+h AS (SELECT label, vec_id, list_sum(list_transform(range(0, 64), lambda i: CASE WHEN g[i + 1] > floor(list_sum(g) / len(g)) THEN (2::HUGEINT ** i)::HUGEINT ELSE 0 END))::HUGEINT::UBIGINT AS h FROM g),
+e AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM h),
+r AS (SELECT label, n, h AS last, NULL::INTEGER AS distance, true AS changed FROM e WHERE n = 1
+  UNION ALL SELECT e.label, e.n, CASE WHEN bit_count(xor(e.h, r.last)) >= 8 THEN e.h ELSE r.last END, bit_count(xor(e.h, r.last))::INTEGER, bit_count(xor(e.h, r.last)) >= 8
+  FROM r JOIN e ON e.label IS NOT DISTINCT FROM r.label AND e.n = r.n + 1)
+SELECT label, vec_id, distance, changed FROM r JOIN e USING (label, n)""",
+    "near_ring": r"""
+WITH RECURSIVE e AS (SELECT conv_id, turn, turn * 30.0 AS tm, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS w, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+r AS (SELECT conv_id, n, [{'w': w, 'tm': tm}] AS ring, false AS duplicate FROM e WHERE n = 1
+  UNION ALL SELECT conv_id, n, CASE WHEN dup THEN ring ELSE list_append(ring, {'w': w, 'tm': tm}) END, dup FROM
+    (SELECT e.conv_id, e.n, e.w, e.tm, r.ring, len(list_filter(r.ring, lambda x: e.tm - x.tm < 300 AND (CASE WHEN len(e.w) + len(x.w) = 0 THEN 1.0
+      ELSE len(list_intersect(e.w, x.w)) / len(list_distinct(list_concat(e.w, x.w))) END) >= 0.9)) > 0 AS dup FROM r JOIN e ON e.conv_id = r.conv_id AND e.n = r.n + 1))
+SELECT conv_id, turn, duplicate FROM r JOIN e USING (conv_id, n)""",
+    "ocr_append": r"""
+WITH RECURSIVE e AS (SELECT doc_id // 10 AS path, doc_id, text AS t, row_number() OVER (PARTITION BY doc_id // 10 ORDER BY doc_id) AS n FROM documents),
+r AS (SELECT path, n, t AS stored, 'created' AS action, length(t)::BIGINT AS n_added FROM e WHERE n = 1
+  UNION ALL SELECT path, n, CASE WHEN strlen(new) < 50 THEN stored ELSE stored || chr(10) || chr(10) || new END, CASE WHEN strlen(new) < 50 THEN 'skipped' ELSE 'updated' END,
+    CASE WHEN strlen(new) < 50 THEN 0 ELSE length(new) END::BIGINT FROM
+    (SELECT path, n, stored, CASE WHEN t = stored THEN '' ELSE coalesce(array_to_string(list_filter(l, lambda x: strlen(x) >= 10 AND NOT (strlen(x) > 10 AND list_contains(ol, x))
+        AND len(list_filter(regexp_split_to_array(x, '\s+'), lambda y: list_contains(ow, y))) / len(regexp_split_to_array(x, '\s+')) < 0.8), chr(10)), '') END AS new FROM
+      (SELECT e.path, e.n, e.t, r.stored, list_transform(string_split(e.t, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS l,
+        list_transform(string_split(r.stored, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS ol, list_distinct(regexp_split_to_array(r.stored, '\s+')) AS ow
+       FROM r JOIN e ON e.path = r.path AND e.n = r.n + 1)))
+SELECT path, doc_id, action, n_added, sha256(stored) AS stored_hash FROM r JOIN e USING (path, n)""",
     "debounce": """
 WITH RECURSIVE e AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
 r AS (SELECT user_id, n, ts AS last, true AS accepted FROM e WHERE n = 1
