@@ -197,7 +197,7 @@ def adf_text(raw: str | None) -> str:
     """Text of a rich document in JSON (or plain text as it is): all its text nodes in order."""
     try:
         root = json.loads(raw) if raw else None
-    except ValueError:
+    except (ValueError, RecursionError):
         return raw.strip()
     if isinstance(root, str):
         return root
