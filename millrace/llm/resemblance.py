@@ -15,9 +15,9 @@ the ratio of sizes and the differing bits of parity bitmaps (a shingle flips one
 bit, so they are never more than the differing shingles), before the shingles
 of their texts are compared.
 
-Dense groups. Keys of more than ``DENSE`` texts of several components first link
-texts to a few others of their lists, in ``ROUNDS`` rounds; what is connected by
-then is not compared again. All pairs of different components that meet are
+Dense groups. With the proposals, texts of keys of more than ``DENSE`` texts are
+held against a few others of their lists, in ``ROUNDS`` orders; what is connected
+by then is not compared again. All pairs of different components that meet are
 compared after that.
 
 Results for odd input: null and wordless texts are one group; a text of fewer
@@ -178,9 +178,7 @@ def beside_another(docs: DataFrame, id_col: str, key_col: str, text_col: str = "
         texts = store(spark, thin.select("id", "text").join(_few(ids), "id", "left_semi"), "near-texts")
         return store(spark, with_both(close, texts).repartition(F.col("a"), F.col("b")).mapInArrow(_similar(shingle), "a long, b long"), "near-links")
 
-    def rooted(rows: DataFrame, found: DataFrame | None) -> DataFrame:
-        if found is None:
-            return rows.withColumn("root", F.col("id"))
+    def rooted(rows: DataFrame, found: DataFrame) -> DataFrame:
         return rows.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
 
     # SimHash proposals: fingerprints that link, and texts of one fingerprint
@@ -189,40 +187,31 @@ def beside_another(docs: DataFrame, id_col: str, key_col: str, text_col: str = "
     end = lambda name, to: of_fp.select(F.col("fp").alias(name), F.col("a").alias(to))
     proposed = near.withColumnsRenamed({"a": "x", "b": "y"}).join(end("x", "a"), "x").join(end("y", "b"), "y").select("a", "b")
     proposed = proposed.unionAll(join_hot(own.select("fp", F.col("id").alias("b")), of_fp, "fp", "rows").where("a <> b").select("a", "b"))
-    edges, found = None, None
-
-    def joined(more: DataFrame) -> tuple[DataFrame, DataFrame]:
-        if edges is not None and more.isEmpty():
-            return edges, found
-        every = more if edges is None else edges.unionAll(more)
-        return every, store(spark, components(spark, every), "near-found")
-
-    edges, found = joined(verified(proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
+    # and, in dense lists, texts that stand beside each other in orders by chance
+    dense = posts.where(F.col("g") > DENSE)
+    for k in range(ROUNDS):
+        # a list is cut by chance, so that none is one task's
+        cut = dense.withColumn("cut", F.pmod(F.xxhash64("id", F.lit(-k - 1)), F.ceil(F.col("g") / 4096)))
+        by = Window.partitionBy("key", "cut").orderBy(F.xxhash64("id", "key", F.lit(k)))
+        beside = cut.select(F.col("id").alias("a"), F.col("n").alias("na"), F.lag("id").over(by).alias("b"), F.lag("n").over(by).alias("nb"))
+        pairs = beside.where("5 * least(na, nb) >= 4 * greatest(na, nb)").select("a", "b").distinct()
+        some = pairs.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("a", "b")))).where(F.col("k") <= TRIES)
+        proposed = proposed.unionAll(some.select("a", "b"))
+    edges = verified(proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    found = store(spark, components(spark, edges), "near-found")
 
     def several(rows: DataFrame) -> DataFrame:
         """Rows of keys whose texts are in more than one component, with the least of these."""
         of_key = rows.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("rows"))
         return join_hot(rows, of_key.where("least <> most").drop("most"), "key", "rows")
 
-    ratio = "5 * least(na, nb) >= 4 * greatest(na, nb) AND ra <> rb"
-    for k in range(ROUNDS):
-        dense = store(spark, several(rooted(posts.where(F.col("g") > DENSE), found)), "near-dense")
-        if dense.isEmpty():
-            break
-        # a list is cut by chance, so that none is one task's
-        dense = dense.withColumn("cut", F.pmod(F.xxhash64("id", F.lit(-k - 1)), F.ceil(F.col("g") / 4096)))
-        by = Window.partitionBy("key", "cut").orderBy(F.xxhash64("id", "key", F.lit(k)))
-        beside = dense.select(
-            F.col("id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.lag("id").over(by).alias("b"), F.lag("n").over(by).alias("nb"), F.lag("root").over(by).alias("rb")
-        )
-        pairs = beside.where(ratio).select("a", "b").distinct().withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("a", "b")))).where(F.col("k") <= TRIES)
-        edges, found = joined(verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
-
     # all that meet and are not connected yet: one of the two is not in its list's least component
     rows = store(spark, several(rooted(posts, found)).select("key", "id", "n", "root", "least"), "near-rooted")
     left, right = (rows.select("key", "least", F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("root").alias(f"r{s}")) for s in "ab")
-    met = left.where("ra <> least").drop("least").join(right.drop("least"), "key").where(ratio)
-    edges, found = joined(verified(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
+    met = left.where("ra <> least").drop("least").join(right.drop("least"), "key").where("5 * least(na, nb) >= 4 * greatest(na, nb) AND ra <> rb")
+    more = verified(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    if not more.isEmpty():
+        found = store(spark, components(spark, edges.unionAll(more)), "near-found")
 
     # groups of more than one row, with the one that stays
     of_head = heads.join(found.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("root", "id").alias("root"), F.col("copies").alias("rows"))

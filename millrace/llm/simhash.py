@@ -333,7 +333,7 @@ def components(spark: SparkSession, edges: DataFrame, most_rounds: int = 60) ->
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n"))
         # large star: every larger neighbour hangs on the least of u's neighbourhood
         large = join_hot(both.where("v > u"), least.where("n > 0"), "u", "n")
-        large = store(spark, large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "stars")
+        large = store(spark, large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"), "stars")
         # small star: u and its smaller neighbours hang on the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = join_hot(large, low.where("n > 1"), "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
