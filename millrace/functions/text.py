@@ -103,6 +103,11 @@ def without_noise(text: Column) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(kept, "\n{3,}", "\n\n"), " {2,}", " "))
 
 
+def cell_string(text: Column) -> Column:
+    """A string as a sheet's cell shows it: on one line, tabs as spaces."""
+    return F.replace(F.replace(F.replace(text, F.lit("\t"), F.lit("    ")), F.lit("\n"), F.lit(" ")), F.lit("\r"), F.lit(""))
+
+
 def ocr_title(window_title: Column, text: Column, clean: Callable[[Column], Column]) -> Column:
     long = F.filter(F.transform(F.split(text, "\n"), strip), lambda x: (F.length(x) >= 10) & (F.length(x) <= 200))
     return F.when(F.coalesce(window_title, F.lit("")) != "", clean(window_title)).otherwise(F.left(F.get(long, F.lit(0)), F.lit(100)))

@@ -6,6 +6,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 # ---- fixed values: roles whose subtrees are left out, roles that hold text, and the depth
 CHROME_ROLES = [
     "AXMenuBar", "AXMenu", "AXMenuItem", "AXToolbar", "AXTabGroup", "AXTab", "AXButton", "AXPopUpButton", "AXCheckBox", "AXRadioButton", "AXSlider", "AXSplitter",
@@ -50,3 +52,9 @@ def tree_text(nodes: DataFrame) -> DataFrame:
 def find(nodes: DataFrame, role: str) -> DataFrame:
     """Nodes of a role (a filter that reaches the scan)."""
     return nodes.where(F.col("role") == role)
+
+
+def dump(nodes: DataFrame) -> DataFrame:
+    """(tree, node, said): what a node has of value and description, in one line."""
+    said = [F.concat(F.lit(f"{c}="), strip(F.col(c))) for c in ("value", "description")]
+    return nodes.select("tree", "node", F.concat_ws(" | ", *said).alias("said"))

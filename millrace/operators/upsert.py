@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.payloads import parse_payloads
 from . import chunking, store
 
 #: What a response says of unchanged content, by where its equal was found.
@@ -80,6 +81,15 @@ def merge(p: DataFrame, sources: DataFrame, chunks: DataFrame) -> Merged:
     return Merged(upsert(sources, new_sources), store.replace_chunks(chunks, new_chunks), responses(p, decided))
 
 
+def store_lines(lines: DataFrame, sources: DataFrame, chunks: DataFrame) -> Merged:
+    """JSON lines (seq, value) into what is stored: bad ones get a failed response,
+    the others are merged in the order of seq."""
+    parsed = parse_payloads(lines)
+    good = parsed.where("error IS NULL")
+    m = merge(store.payloads(good, F.col("source"), F.col("url"), F.col("content"), F.col("seq")), sources, chunks)
+    return Merged(m.sources, m.chunks, m.responses.unionByName(failures(parsed)))
+
+
 def upsert(sources: DataFrame, new: DataFrame) -> DataFrame:
     """``sources`` with the rows of ``new`` in the place of those of their path; the
     document's name and type stay as they were."""

@@ -17,19 +17,20 @@ REQUIRED = ("source", "url", "content")
 
 
 def parse_payloads(lines: DataFrame, column: str = "value") -> DataFrame:
-    """The payload's columns and error (null if the line is a payload).
+    """The other columns, the payload's, and error (null if the line is a payload).
 
     A line that is no JSON, or lacks a required field, becomes a row of its own
     with an error; the rows around it go on.
     """
     kept = T.StructType([*PAYLOAD.fields, T.StructField("_bad", T.StringType())])
     j = F.from_json(column, kept, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    p = lines.select(j.alias("p"))
+    rest = [c for c in lines.columns if c != column and c not in PAYLOAD.names]
+    p = lines.select(*rest, j.alias("p"))
     missing = F.filter(F.array(*[F.when(F.col(f"p.{c}").isNull(), F.lit(c)) for c in REQUIRED]), lambda x: x.isNotNull())
     error = F.when(F.col("p").isNull() | F.col("p._bad").isNotNull(), "Parse error: not a payload").when(
         F.size(missing) > 0, F.concat(F.lit("Parse error: missing "), F.array_join(missing, ", "))
     )
-    return p.select(*[F.col(f"p.{f.name}").alias(f.name) for f in PAYLOAD.fields], error.alias("error"))
+    return p.select(*rest, *[F.col(f"p.{f.name}").alias(f.name) for f in PAYLOAD.fields], error.alias("error"))
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
@@ -49,22 +50,29 @@ def split_frames(raw: bytes, most: int | None = 1 << 20) -> list[str]:
     return out
 
 
-def read_frames(spark: SparkSession, path: str, most: int | None = 1 << 20) -> DataFrame:
-    """(path, number, value) of the framed messages in files."""
+def frames(files: DataFrame, most: int | None = 1 << 20) -> DataFrame:
+    """(path, number, value) of the framed messages in (path, content)."""
+    kind = files.schema["path"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                got = split_frames(content.as_py(), most)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(got), pa.string()), pa.array(range(len(got)), pa.int32()), pa.array(got, pa.string())], ["path", "number", "value"])
+            for i, content in enumerate(b.column(1)):
+                got = split_frames(content.as_py() or b"", most)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i] * len(got), pa.int64())), pa.array(range(len(got)), pa.int32()), pa.array(got, pa.string())], ["path", "number", "value"])
+
+    return files.select("path", "content").mapInArrow(run, f"path {kind}, number int, value string")
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, number int, value string")
+
+def read_frames(spark: SparkSession, path: str, most: int | None = 1 << 20) -> DataFrame:
+    """The framed messages in files."""
+    return frames(spark.read.format("binaryFile").load(path), most)
 
 
 def extension_messages(values: DataFrame, column: str = "value") -> DataFrame:
     """Content messages of the browser extension as extracted content."""
     j = F.from_json(column, "type string, source string, title string, content string, url string, timestamp bigint")
-    m = values.select(j.alias("m")).where("m.type = 'content'").select("m.*")
+    rest = [c for c in values.columns if c != column]
+    m = values.select(*rest, j.alias("m")).where("m.type = 'content'").select(*rest, "m.*")
     fixed = {"app_name": F.lit("Chrome"), "bundle_id": F.lit("com.google.Chrome"), "extraction_method": F.lit("chrome_extension"), "confidence": F.lit(1.0).cast("float")}
     return m.drop("type").withColumns(fixed)
 
@@ -72,7 +80,7 @@ def extension_messages(values: DataFrame, column: str = "value") -> DataFrame:
 def recognised(values: DataFrame, column: str = "value") -> DataFrame:
     """Output of the text recogniser: rows with an error or without text fail."""
     j = F.from_json(column, "text string, confidence double, error string")
-    m = values.select(j.alias("m")).select("m.*")
+    m = values.select(*[c for c in values.columns if c != column], j.alias("m")).select("*", "m.*").drop("m")
     return m.withColumns({"confidence": F.coalesce("confidence", F.lit(0.9)), "failed": F.col("error").isNotNull() | (F.coalesce("text", F.lit("")) == "")})
 
 

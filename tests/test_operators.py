@@ -99,8 +99,7 @@ def test_office_readers():
     w = documents.W[1:-1]
     raw = zipped(word__document_xml=f'<w:document xmlns:w="{w}"><w:body><w:p><w:r><w:t>Hel</w:t></w:r><w:r><w:t>lo</w:t></w:r></w:p><w:p/><w:tbl><w:tr><w:tc><w:p><w:r><w:t>a</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>b</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>')
     assert documents.docx_text(raw) == "Hello\na\tb"
-    a = documents.A[1:-1]
-    slide = lambda t: f'<s xmlns:a="{a}"><a:p><a:r><a:t>{t}</a:t></a:r></a:p></s>'
+    slide = lambda t: f'<s xmlns:a="x"><a:p><a:r><a:t>{t}</a:t></a:r></a:p></s>'
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
         for n, t in ((10, "ten"), (2, "two")):
