@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,15 +40,28 @@ def visible_lines(nodes: list[dict]) -> list[str]:
 def tree_text(nodes: DataFrame) -> DataFrame:
     """(tree, content) from (tree, node, parent, ord, role, value, description).
 
-    A tree is one window's and so of bounded size; it is one group.
+    Rows are dealt by tree and sorted, and a task holds one tree, which is one
+    window's and so of bounded size.
     """
     kind = nodes.schema["tree"].dataType.simpleString()
 
-    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        text = "".join(f"{x}\n" for x in visible_lines(t.to_pylist()))
-        return pa.table({"tree": pa.array([key[0].as_py()], t.schema.field("tree").type), "content": pa.array([text])})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = object(), []
+        for b in batches:
+            keys, texts = [], []
+            for row in b.to_pylist():
+                if row["tree"] != now:
+                    if held:
+                        keys.append(now)
+                        texts.append("".join(f"{x}\n" for x in visible_lines(held)))
+                    now, held = row["tree"], []
+                held.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field("tree").type), pa.array(texts, pa.string())], ["tree", "content"])
+            own = b.schema.field("tree").type
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([now], own), pa.array(["".join(f"{x}\n" for x in visible_lines(held))])], ["tree", "content"])
 
-    return nodes.groupBy("tree").applyInArrow(run, f"tree {kind}, content string")
+    return nodes.repartition("tree").sortWithinPartitions("tree", "ord").mapInArrow(run, f"tree {kind}, content string")
 
 
 def find(nodes: DataFrame, role: str) -> DataFrame:
