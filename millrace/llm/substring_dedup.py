@@ -2,18 +2,18 @@
 
 Texts are stored in blocks of a few MB. Each block takes Rabin-Karp hashes of
 every window of ``window`` words (modulo 2**64, over 64-bit word hashes, by
-prefix sums; a second one of 32 bits, of another base, goes with it) and keeps
+prefix sums; a second one of 24 bits, of another base, goes with it) and keeps
 for each hash its least document id: later documents of the same block are
 decided at once. What is left, one entry for a hash and
 block, is dealt out by ranges of the hash and counted in Spark: an entry is
-repeated if another block has the hash under a smaller id. The repeated entries
-go back to their block, where repeated windows merge into maximal removal
-intervals.
+repeated if another block has the hash under a smaller id. The tasks that read
+the blocks again look their repeated entries up, and repeated windows merge into
+maximal removal intervals; texts are never shuffled.
 
 A passage that a third of all documents share makes one entry a block, not one
 a document. A range of hashes holds about ``per_range`` entries at every size
 of input. Entries travel as byte planes of sorted arrays, which shuffle
-compression shortens to about twelve bytes a window.
+compression shortens to about eleven bytes a window.
 
 Results for odd input: null and wordless texts have no words and nothing
 removed; a null document id counts as larger than every other, so such a text
@@ -21,8 +21,8 @@ loses what others have and keeps what only null ids share; rows of the same
 document id never remove each other's windows; documents of fewer words than a
 window are kept; an empty table gives an empty result; columns beyond the two
 named ones are not read; ids that are no whole numbers count as null. Two
-different windows are taken for equal with a chance of 2**-96 a pair: over the
-2e13 windows of 100 TB, of one false pair in some 400 runs.
+different windows are taken for equal with a chance of 2**-88 a pair, which is
+less than one false pair among the 2e13 windows of 100 TB.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NON_SPACE, from_planes, planes, powers, scramble, spans_hash, store, text_chunks, word_spans
+from .common import NON_SPACE, Decisions, Finder, from_planes, planes, powers, scramble, spans_hash, store, text_chunks, word_spans
 
 NO_ID = np.iinfo(np.int64).max
 _ROLL = 0xD6E8FEB86659FD93
@@ -43,7 +43,7 @@ _CHECK = 0x9FB21C651E98DF25
 
 
 def window_hashes(words: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all windows within documents, 32-bit checks beside them, and the word each starts at."""
+    """Hashes of all windows within documents, 24-bit checks beside them, and the word each starts at."""
     n = np.maximum(np.diff(first) - window + 1, 0)
     if not n.sum():
         return np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
@@ -54,7 +54,16 @@ def window_hashes(words: np.ndarray, first: np.ndarray, window: int) -> tuple[np
         np.cumsum(words * powers(base, len(words)), out=total[1:])
         return scramble((total[at + window] - total[at]) * powers(pow(base, -1, 2**64), len(words))[at])
 
-    return rolled(_ROLL), (rolled(_CHECK) >> np.uint64(32)).astype(np.uint32), at
+    return rolled(_ROLL), (rolled(_CHECK) >> np.uint64(40)).astype(np.uint32), at
+
+
+def check_bytes(check: np.ndarray) -> bytes:
+    """The three bytes that a check has, by their place."""
+    return planes(check)[: 3 * len(check)]
+
+
+def from_check_bytes(raw: bytes) -> np.ndarray:
+    return from_planes(bytes(raw) + bytes(len(raw) // 3), np.uint32)
 
 
 def distinct(h: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -164,7 +173,7 @@ def repeated_entries(spark: SparkSession, blocks: DataFrame, window: int, ranges
                                 pa.array(some.astype(np.int32)),
                                 pa.array(np.full(len(some), block)),
                                 pa.array([planes(own.hashes[cut[p] : cut[p + 1]]) for p in some], pa.binary()),
-                                pa.array([own.checks[cut[p] : cut[p + 1]].tobytes() for p in some], pa.binary()),
+                                pa.array([check_bytes(own.checks[cut[p] : cut[p + 1]]) for p in some], pa.binary()),
                                 pa.array([planes(own.least[cut[p] : cut[p + 1]]) for p in some], pa.binary()),
                             ],
                             ["part", "block", "hashes", "checks", "ids"],
@@ -175,7 +184,7 @@ def repeated_entries(spark: SparkSession, blocks: DataFrame, window: int, ranges
         hashes = [from_planes(x.as_buffer(), np.uint64) for x in t.column("hashes")]
         h = np.concatenate(hashes)
         ids = np.concatenate([from_planes(x.as_buffer(), np.int64) for x in t.column("ids")])
-        order, new = distinct(h, np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in t.column("checks")]))
+        order, new = distinct(h, np.concatenate([from_check_bytes(x.as_buffer()) for x in t.column("checks")]))
         least = np.minimum.reduceat(ids[order], np.flatnonzero(new))[np.cumsum(new) - 1]
         late = np.zeros(len(h), bool)
         late[order] = ids[order] > least
@@ -210,25 +219,23 @@ def remove_repeats(
     words = blocks.agg(F.sum("n_words")).first()[0] or 0
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-words // per_range))
     found = store(spark, repeated_entries(spark, blocks, window, ranges), "repeat-entries")
+    # a block's entries together, which are at most its windows
+    of_block = found.groupBy(F.lit(0).cast("long").alias("file"), F.col("block").alias("row")).agg(F.collect_list(F.struct("part", "entries")).alias("found"))
+    decisions = Decisions.write(spark, of_block, "repeat-decisions", per_file=1024)
 
-    def cut(_key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        parts = []
-        for raw in left.column("texts"):
-            ids, own, bounds = open_block(raw.as_buffer(), window)
-            repeated = np.zeros(len(own.hashes), bool)
-            edges = own.ranges(ranges)
-            for part, entries in zip(right.column("part").to_pylist(), right.column("entries"), strict=True):
-                repeated[edges[part] + np.frombuffer(entries.as_buffer(), np.uint32)] = True
-            parts.append(rendered(ids, own, own.removed(repeated)))
-        return pa.concat_tables(parts)
-
-    return (
-        blocks.select("block", "texts")
-        .groupBy("block")
-        .cogroup(found.groupBy("block"))
-        .applyInArrow(cut, OUT)
-        .withColumnRenamed("id", id_col)
-    )
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = Finder(decisions)
+        for b in batches:
+            for block, raw in zip(b.column("block").to_numpy(zero_copy_only=False), b.column("texts"), strict=True):
+                ids, own, _ = open_block(raw.as_buffer(), window)
+                repeated = np.zeros(len(own.hashes), bool)
+                edges = own.ranges(ranges)
+                for _, values in finder.find(np.zeros(1, np.int64), np.array([block])):
+                    for x in values.column("found")[0]:
+                        repeated[edges[x["part"].as_py()] + np.frombuffer(x["entries"].as_buffer(), np.uint32)] = True
+                yield from rendered(ids, own, own.removed(repeated)).to_batches()
+
+    return blocks.select("block", "texts").mapInArrow(cut, OUT).withColumnRenamed("id", id_col)
 
 
 def rendered(ids: pa.Array, own: Block, gone: np.ndarray) -> pa.Table:
