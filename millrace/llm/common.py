@@ -61,7 +61,8 @@ def store_seen(spark: SparkSession, df: DataFrame, name: str, **values: Column)
     # the table is read under the columns of df itself
     path = work_path(spark, name)
     df.observe(seen, *[v.alias(k) for k, v in values.items()]).write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path), seen.get
+    out = spark.read.schema(df.schema).parquet(path)
+    return out, seen.get or out.agg(*[v.alias(k) for k, v in values.items()]).first().asDict()
 
 
 def mark() -> int:
