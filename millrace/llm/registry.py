@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import contamination, lattice, packing, quality, secrets, sharding, simhash, substring_dedup, toxicity, warc
+from . import contamination, lattice, packing, periodicity, quality, secrets, sharding, simhash, substring_dedup, toxicity, warc
 
 QUERIES = {
     "op1_decontamination": contamination.op1_decontamination,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_secrets": secrets.op8_secrets,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_simhash": simhash.op10_simhash,
+    "op11_periodic_runs": periodicity.op11_periodic_runs,
 }
 ORACLES: dict[str, str] = {
     "op1_decontamination": contamination.ORACLE_SQL,
     "op3_warc": warc.ORACLE_SQL,
     "op6_quality": quality.ORACLE_SQL,
     "op9_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op11_periodic_runs": periodicity.ORACLE_SQL,
 }
