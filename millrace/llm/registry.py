@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import contamination, lattice, packing, periodicity, quality, secrets, sharding, simhash, substring_dedup, toxicity, warc
+from . import clustering, contamination, impact_search, lattice, packing, periodicity, quality, secrets, sharding, simhash, substring_dedup, toxicity, warc
 
 QUERIES = {
     "op1_decontamination": contamination.op1_decontamination,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_simhash": simhash.op10_simhash,
     "op11_periodic_runs": periodicity.op11_periodic_runs,
+    "op12_ball_clusters": clustering.op12_ball_clusters,
+    "op13_impact_search": impact_search.op13_impact_search,
 }
 ORACLES: dict[str, str] = {
     "op1_decontamination": contamination.ORACLE_SQL,
@@ -23,4 +25,6 @@ ORACLES: dict[str, str] = {
     "op6_quality": quality.ORACLE_SQL,
     "op9_substring_dedup": substring_dedup.ORACLE_SQL,
     "op11_periodic_runs": periodicity.ORACLE_SQL,
+    "op12_ball_clusters": clustering.ORACLE_SQL,
+    "op13_impact_search": impact_search.ORACLE_SQL,
 }

@@ -31,6 +31,7 @@ def sf_dir(spark, odd_docs, tmp_path_factory):
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     spark.createDataFrame([(1, "w1 w2"), (None, None)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     spark.createDataFrame([(1, "http://a/", "x"), (2, None, "x"), (None, "http://b/", None)], "page_id long, url string, html string").write.parquet(f"{d}/pages.parquet")
+    spark.createDataFrame([(1, [0.5] * 64)], "vec_id long, embedding array<float>").write.parquet(f"{d}/embeddings.parquet")
     return d
 
 
@@ -129,7 +130,7 @@ def test_secrets_stay_linear():
 
 
 def test_every_query_on_empty_tables(spark, sf_dir, tmp_path):
-    for t in ("documents", "labels", "benchmark", "pages"):
+    for t in ("documents", "labels", "benchmark", "pages", "embeddings"):
         spark.read.parquet(f"{sf_dir}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     for name, query in registry.QUERIES.items():
         assert query(spark, str(tmp_path)).count() == 0, name
