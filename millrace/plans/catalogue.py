@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import browse, capture, chunks, forms, intake, merging, stateful, timing
+from . import browse, capture, chunks, forms, intake, live, merging, stateful, timing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-for _module in (chunks, capture, browse, forms, intake, merging, stateful, timing):
+for _module in (chunks, capture, browse, forms, intake, live, merging, stateful, timing):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
