@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import similar
 from ..operators.sequential import sequential
 from ..sources.documents import generic_pages
 from ..streaming import steps
@@ -30,6 +31,19 @@ def near_ring(spark: SparkSession, d: str) -> DataFrame:
     return sequential(c, ["conv_id"], ["turn"], steps.ring_step(), "duplicate boolean").select("conv_id", "turn", "duplicate")
 
 
+def global_ring(spark: SparkSession, d: str) -> DataFrame:
+    """Turns of all conversations, five seconds apart, that nearly repeat one of the
+    last hundred accepted of the last five minutes, whichever conversation it is of."""
+    c = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), (F.col("conv_id") * 20.0 + F.col("turn") * 5.0).alias("at"), "text")
+    return similar.ring(c, "id", "at", "text").select(F.floor(F.col("id") / 1000).alias("conv_id"), (F.col("id") % 1000).alias("turn"), "duplicate")
+
+
+def similar_documents(spark: SparkSession, d: str) -> DataFrame:
+    """For each document, a second after the last, how many within five minutes have nearly its words, of any source."""
+    docs = table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("double").alias("at"), "text")
+    return similar.links_in_time(docs, "doc_id", "at", "text", 300, 0.9)
+
+
 def ocr_append(spark: SparkSession, d: str) -> DataFrame:
     """Documents as frames of recognised text, ten to a path."""
     t = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 10).alias("path"), "doc_id", "text")
@@ -59,6 +73,8 @@ QUERIES = {
     "change_detect": change_detect,
     "debounce": debounce,
     "near_ring": near_ring,
+    "global_ring": global_ring,
+    "similar_documents": similar_documents,
     "ocr_append": ocr_append,
     "window_diff": window_diff,
     "generic_page": generic_page,
@@ -80,6 +96,19 @@ r AS (SELECT conv_id, n, [{'w': w, 'tm': tm}] AS ring, false AS duplicate FROM e
     (SELECT e.conv_id, e.n, e.w, e.tm, r.ring, len(list_filter(r.ring, lambda x: e.tm - x.tm < 300 AND (CASE WHEN len(e.w) + len(x.w) = 0 THEN 1.0
       ELSE len(list_intersect(e.w, x.w)) / len(list_distinct(list_concat(e.w, x.w))) END) >= 0.9)) > 0 AS dup FROM r JOIN e ON e.conv_id = r.conv_id AND e.n = r.n + 1))
 SELECT conv_id, turn, duplicate FROM r JOIN e USING (conv_id, n)""",
+    "global_ring": r"""
+WITH RECURSIVE e AS MATERIALIZED (SELECT conv_id, turn, conv_id * 20.0 + turn * 5.0 AS tm, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS w, row_number() OVER (ORDER BY conv_id * 20.0 + turn * 5.0, conv_id, turn) AS n FROM conversations),
+r AS (SELECT n, [{'w': w, 'tm': tm}] AS ring, false AS duplicate FROM e WHERE n = 1
+  UNION ALL SELECT n, CASE WHEN dup THEN ring ELSE list_append(ring, {'w': w, 'tm': tm})[-100:] END, dup FROM
+    (SELECT e.n, e.w, e.tm, r.ring, len(list_filter(r.ring, lambda x: e.tm - x.tm <= 300 AND (CASE WHEN len(e.w) + len(x.w) = 0 THEN 1.0
+      ELSE len(list_intersect(e.w, x.w)) / len(list_distinct(list_concat(e.w, x.w))) END) >= 0.9)) > 0 AS dup FROM r JOIN e ON e.n = r.n + 1))
+SELECT conv_id, turn, duplicate FROM r JOIN e USING (n)""",
+    "similar_documents": r"""
+WITH d AS MATERIALIZED (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda x: x <> ''))) AS w FROM documents),
+c AS (SELECT min(doc_id) AS class_id, w FROM d GROUP BY w),
+p AS (SELECT a.doc_id, b.w AS wb, a.w AS wa FROM d a JOIN d b ON b.doc_id BETWEEN a.doc_id - 300 AND a.doc_id + 300 AND a.doc_id <> b.doc_id AND least(len(a.w), len(b.w)) >= 0.89 * greatest(len(a.w), len(b.w))),
+n AS (SELECT doc_id, count(*) AS n_links FROM p WHERE CASE WHEN len(wa) + len(wb) = 0 THEN true ELSE len(list_intersect(wa, wb)) / (len(wa) + len(wb) - len(list_intersect(wa, wb))) >= 0.9 END GROUP BY doc_id)
+SELECT d.doc_id, class_id, coalesce(n_links, 0)::BIGINT AS n_links FROM d JOIN c USING (w) LEFT JOIN n USING (doc_id)""",
     "ocr_append": r"""
 WITH RECURSIVE e AS (SELECT doc_id // 10 AS path, doc_id, text AS t, row_number() OVER (PARTITION BY doc_id // 10 ORDER BY doc_id) AS n FROM documents),
 r AS (SELECT path, n, t AS stored, 'created' AS action, length(t)::BIGINT AS n_added FROM e WHERE n = 1
