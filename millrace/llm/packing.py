@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from .common import store
+from .common import Decisions, Finder, store
 
 CACHE = 150_000
 
@@ -289,8 +289,23 @@ def pack(
             id_col, "piece", "start", "length", F.col("__digest").alias(digest_name), "sequence_id", "offset"
         )
     kept = store(spark, cut, "pack-ids")
-    placed = place(kept.drop("ids"), size, order)
-    return placed.join(kept.select("__key", "ids"), "__key").select(id_col, "piece", "start", "length", "ids", "sequence_id", "offset")
+    found = place(kept.drop("ids"), size, order).select(F.lit(0).cast("long").alias("file"), F.col("__key").alias("row"), "sequence_id", "offset")
+    return beside_ids(kept, Decisions.write(spark, found, "pack-places")).select(id_col, "piece", "start", "length", "ids", "sequence_id", "offset")
+
+
+def beside_ids(kept: DataFrame, places: Decisions) -> DataFrame:
+    """Stored pieces with their places, which are looked up by key: token ids stay where they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = Finder(places)
+        for b in batches:
+            key = b.column("__key").to_numpy()
+            at = np.zeros((2, len(key)), np.int64)
+            for rows, found in finder.find(np.zeros(len(key), np.int64), key):
+                at[:, rows] = found.column("sequence_id").to_numpy(), found.column("offset").to_numpy()
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at[0]), pa.array(at[1])], [*b.schema.names, "sequence_id", "offset"])
+
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
 
 
 def default_vocabulary() -> str:
