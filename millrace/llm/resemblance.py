@@ -12,8 +12,10 @@ of the first n - ceil(4n/5) + 1 of each (prefix filter); those are the keys unde
 which texts meet. Any order is right; shingles that a sample of the texts often has
 come last, as they would make long lists. Pairs that meet pass two exact bounds,
 the ratio of sizes and the differing bits of parity bitmaps (a shingle flips one
-bit, so they are never more than the differing shingles), before the shingles
-of their texts are compared.
+bit, so they are never more than the differing shingles): a short bitmap of ``MARK``
+words where they meet, so that members of a dense group that differ too much make no
+rows, and one that grows with the text, before the shingles of their texts are
+compared.
 
 Dense groups. With the proposals, texts of keys of more than ``DENSE`` texts are
 held against a few others of their lists, in ``ROUNDS`` orders; what is connected
@@ -50,6 +52,8 @@ TRIES = 4
 SAMPLE, SEEN, MOST_COMMON = 4, 4, 1 << 18
 #: Tables of fewer rows than this, of ids only, are sent to all tasks.
 FEW = 1 << 22
+#: Words of 64 bits of the bitmap that goes with a text to where texts meet.
+MARK = 8
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -77,6 +81,11 @@ def parity(h: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1 == 1)
 
 
+def short_parity(h: np.ndarray) -> np.ndarray:
+    """As ``parity``, but of ``MARK`` words for all sizes."""
+    return np.packbits(np.bincount((h & np.uint64(64 * MARK - 1)).astype(np.int64), minlength=64 * MARK) & 1 == 1).view(np.int64)
+
+
 def least_difference(x: np.ndarray, y: np.ndarray) -> int:
     """At most the number of shingles that one set has and the other has not."""
     if len(x) > len(y):
@@ -102,7 +111,7 @@ def _units(shingle: int, common: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, data, bounds in text_chunks(b, "text", 1 << 20):
-                size, digest, keys, bits, fps, marks = [], [], [], [], [], []
+                size, digest, keys, bits, short, fps, marks = [], [], [], [], [], [], []
                 for k, h in enumerate(shingle_sets(data, bounds, shingle)):
                     n = len(h)
                     at = np.searchsorted(common, h)
@@ -112,10 +121,11 @@ def _units(shingle: int, common: np.ndarray):
                     digest.append(xxhash.xxh3_128_digest(h.tobytes()))
                     keys.append(order[: n - (4 * n + 4) // 5 + 1].view(np.int64))
                     bits.append(parity(h).tobytes())
+                    short.append(short_parity(h))
                     fps.append(majority(h, np.array([0, n]))[0])
                     marks.append(xxhash.xxh64_intdigest(data[bounds[k] : bounds[k + 1]]) >> 1)
-                cols = [pa.array(size, pa.int32()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(marks, pa.int64())]
-                yield pa.RecordBatch.from_arrays([b.column("id").slice(i, j - i), b.column("key").slice(i, j - i), *cols], ["id", "key", "n", "digest", "keys", "bits", "fp", "mark"])
+                cols = [pa.array(size, pa.int32()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(short, pa.list_(pa.int64())), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(marks, pa.int64())]
+                yield pa.RecordBatch.from_arrays([b.column("id").slice(i, j - i), b.column("key").slice(i, j - i), *cols], ["id", "key", "n", "digest", "keys", "bits", "short", "fp", "mark"])
 
     return run
 
@@ -155,7 +165,7 @@ def beside_another(docs: DataFrame, id_col: str, key_col: str, text_col: str = "
     common = np.sort(top.column("h").to_numpy().astype(np.int64).view(np.uint64))
 
     kind = docs.schema[key_col].dataType.simpleString()
-    units = store(spark, thin.mapInArrow(_units(shingle, common), f"id long, key {kind}, n int, digest binary, keys array<long>, bits binary, fp long, mark long"), "near-units")
+    units = store(spark, thin.mapInArrow(_units(shingle, common), f"id long, key {kind}, n int, digest binary, keys array<long>, bits binary, short array<long>, fp long, mark long"), "near-units")
     heads = store(spark, units.groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "near-heads")
     copies = store(spark, units.select("id").join(heads.select("id"), "id", "left_anti"), "near-copies")
     own = units.join(_few(copies), "id", "left_anti")
@@ -206,9 +216,13 @@ def beside_another(docs: DataFrame, id_col: str, key_col: str, text_col: str = "
         return join_hot(rows, of_key.where("least <> most").drop("most"), "key", "rows")
 
     # all that meet and are not connected yet: one of the two is not in its list's least component
-    rows = store(spark, several(rooted(posts, found)).select("key", "id", "n", "root", "least"), "near-rooted")
-    left, right = (rows.select("key", "least", F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("root").alias(f"r{s}")) for s in "ab")
-    met = left.where("ra <> least").drop("least").join(right.drop("least"), "key").where("5 * least(na, nb) >= 4 * greatest(na, nb) AND ra <> rb")
+    apart = several(rooted(posts, found)).select("key", "id", "n", "root", "least")
+    words = [F.col("short")[i].alias(f"w{i}") for i in range(MARK)]
+    rows = store(spark, apart.join(own.select("id", *words), "id"), "near-rooted")
+    left, right = (rows.select("key", "least", F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("root").alias(f"r{s}"), *[F.col(f"w{i}").alias(f"w{i}{s}") for i in range(MARK)]) for s in "ab")
+    # bits that differ are shingles that differ, of which there may be a ninth of both sizes
+    differing = " + ".join(f"bit_count(w{i}a ^ w{i}b)" for i in range(MARK))
+    met = left.where("ra <> least").drop("least").join(right.drop("least"), "key").where(f"5 * least(na, nb) >= 4 * greatest(na, nb) AND ra <> rb AND 9 * ({differing}) <= na + nb")
     more = verified(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     if not more.isEmpty():
         found = store(spark, components(spark, edges.unionAll(more)), "near-found")
