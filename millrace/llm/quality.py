@@ -123,11 +123,15 @@ MORE_RULES = [
 DEFAULT_RULES = [*BASE_RULES, *MORE_RULES]
 
 
-def sampled(docs: DataFrame, text_col: str, rows: int) -> DataFrame:
-    """About ``rows`` texts of the whole table with their words, stored: each row is drawn by itself."""
+def sampled(docs: DataFrame, text_col: str, rows: int, known: tuple[str, ...] = ()) -> DataFrame:
+    """About ``rows`` texts of the whole table with their words and ``known``
+    measures, stored: all tasks of the scan draw, each row by itself, and only what
+    they drew meets in one."""
     n = docs.count()
     some = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where(F.rand(SEED) < rows / max(n, 1))
-    return store(docs.sparkSession, some.coalesce(1).withColumn("words", words_of(F.col("text"))), "quality-sample")
+    cut = some.repartition(1).withColumn("words", words_of(F.col("text")))
+    of = measures(F.col("text"), F.col("words"))
+    return store(docs.sparkSession, cut.select("text", "words", *[of[m].alias(m) for m in known]), "quality-sample")
 
 
 def ordered(rules: list[Rule], cost: list[float], verdicts: dict[int, int]) -> list[tuple[int, float]]:
@@ -145,24 +149,19 @@ def ordered(rules: list[Rule], cost: list[float], verdicts: dict[int, int]) -> l
     return out
 
 
-def profile(
-    docs: DataFrame, rules: list[Rule], text_col: str = "text", sample_rows: int = SAMPLE_ROWS, before: list[Rule] = (), repeats: int = 1
-) -> list[tuple[Rule, float, float]]:
+def profile(docs: DataFrame, rules: list[Rule], text_col: str = "text", sample_rows: int = SAMPLE_ROWS, known: tuple[str, ...] = (), repeats: int = 1) -> list[tuple[Rule, float, float]]:
     """Each rule with its cost and the share it rejects of what comes to it, in
-    the order in which to run them. ``before``: rules that run first anyhow."""
-    sample = sampled(docs, text_col, sample_rows)
-    every = [*before, *rules]
-    of_sample = measures(F.col("text"), F.col("words")).__getitem__
+    the order in which to run them. ``known``: measures that are worked out anyhow,
+    so that a rule pays for what it needs besides them."""
+    sample = sampled(docs, text_col, sample_rows, known)
+    other = measures(F.col("text"), F.col("words"))
 
-    def bits(of: Callable[[str], Column]) -> Column:
-        return reduce(Column.__add__, [F.when(r.rejects(of), 1 << i).otherwise(0) for i, r in enumerate(every)])
+    def of_sample(measure: str) -> Column:
+        return F.col(measure) if measure in known else other[measure]
 
+    bits = reduce(Column.__add__, [F.when(r.rejects(of_sample), 1 << i).otherwise(0) for i, r in enumerate(rules)])
     # at most a row for each set of rules
-    counts = {r["v"]: r["n"] for r in sample.groupBy(bits(of_sample).alias("v")).agg(F.count("*").alias("n")).collect()}
-    passed: dict[int, int] = {}
-    for v, n in counts.items():
-        if not v & ((1 << len(before)) - 1):
-            passed[v >> len(before)] = passed.get(v >> len(before), 0) + n
+    counts = {r["v"]: r["n"] for r in sample.groupBy(bits.alias("v")).agg(F.count("*").alias("n")).collect()}
 
     def seconds(rejects: Callable[[Callable[[str], Column]], Column]) -> float:
         took = []
@@ -176,7 +175,7 @@ def profile(
     empty = seconds(lambda of: F.col("text").isNull() | F.col("words").isNull()) if counts else 0.0  # reads both
     cost = [max(seconds(r.rejects) - empty, LEAST_COST) if counts else 1.0 for r in rules]
     rounded = [2.0 ** round(math.log2(c)) for c in cost]
-    return [(rules[i], rounded[i], share) for i, share in ordered(rules, rounded, passed)]
+    return [(rules[i], rounded[i], share) for i, share in ordered(rules, rounded, counts)]
 
 
 def cascade(rules: list[Rule], of: Callable[[str], Column]) -> Column:
@@ -208,7 +207,7 @@ BASE_COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_w
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    order = [*BASE_RULES, *[r for r, _, _ in profile(docs, MORE_RULES, before=BASE_RULES)]]
+    order = [r for r, _, _ in profile(docs, DEFAULT_RULES, known=BASE_COLUMNS)]
 
     def row(of: Callable[[str], Column]) -> Column:
         # the base columns are asked for anyhow; the other measures stay lazy

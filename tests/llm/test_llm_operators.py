@@ -583,3 +583,34 @@ def test_the_chain_filter_prunes():
 def test_every_operator_has_a_query():
     numbers = sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES)
     assert numbers == list(range(1, 11)) and set(registry.ORACLES) <= set(registry.QUERIES)
+
+
+def test_quality_sample_is_read_by_all_tasks(spark, tmp_path):
+    """A table of many files: the scan that draws the sample keeps its partitions, and its rows meet in one."""
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"))
+    docs.repartition(24).write.parquet(str(tmp_path / "docs"))
+    tracker = spark.sparkContext.statusTracker()
+    with_conf = {"spark.sql.files.maxPartitionBytes": "4096", "spark.sql.files.openCostInBytes": "4096"}
+    old = {k: spark.conf.get(k) for k in with_conf}
+    try:
+        for k, v in with_conf.items():
+            spark.conf.set(k, v)
+        many = spark.read.parquet(str(tmp_path / "docs"))
+        assert many.rdd.getNumPartitions() >= 24
+        spark.sparkContext.setJobGroup("quality-sample", "")
+        sample = quality.sampled(many, "text", 400)
+        tasks = [tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup("quality-sample") for s in tracker.getJobInfo(j).stageIds]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sample.count() > 200 and sum(t >= 24 for t in tasks) >= 2 and 1 in tasks  # the count and the sample
+
+
+def test_quality_prices_are_of_what_is_not_known(spark, odd_docs):
+    """Rules on measures that are worked out anyhow cost next to nothing."""
+    docs = spark.range(300).select(F.repeat(F.lit("Some plain words of a text 12 # and more. "), 200).alias("text"))
+    known = {r.name: cost for r, cost, _ in quality.profile(docs, quality.DEFAULT_RULES, known=quality.BASE_COLUMNS, repeats=3)}
+    bare = {r.name: cost for r, cost, _ in quality.profile(docs, quality.DEFAULT_RULES, repeats=3)}
+    assert known["repeated_windows"] < bare["repeated_windows"] and known["repeated_windows"] <= 2 * quality.LEAST_COST
+    assert len(known) == len(quality.DEFAULT_RULES)
