@@ -61,10 +61,14 @@ def base_spans(text: str) -> list[Span]:
 
 _TERM = r"""(?:"((?:\\.|[^"\\\n])*+)"|'((?:\\.|[^'\\\n])*+)'|`((?:\\.|[^`\\\n])*+)`|([^\s"'`;,(){}\[\]<>+]++))"""
 _ARGS = r"""(?:\[(?:[^\[\]\n"'`=]|\[[^\[\]\n"'`=]*+\])*+\]|<(?:[^<>\n"'`=]|<[^<>\n"'`=]*+>)*+>)"""
-_ONE_TYPE = r"[&*]*+(?:'[a-z_]++[ ])?(?:mut[ ])?[A-Za-z_$][A-Za-z0-9_.$:]*+" + _ARGS + r"*+[?!]?"
+_TYPE_START = r"[&*]*+(?:'[a-z_]++[ ])?(?:mut[ ])?[A-Za-z_$]"
+_ONE_TYPE = _TYPE_START + r"[A-Za-z0-9_.$:]*+" + _ARGS + r"*+[?!]?"
+#: After | or &. A single colon ends it: what it follows is a name with a type of
+#: its own, so that a row of such names is gone over once and not once a name.
+_NEXT_TYPE = _TYPE_START + r"[A-Za-z0-9_.$]*+(?:::[A-Za-z0-9_.$]++)*+(?!:)" + _ARGS + r"*+[?!]?(?![?!]?[ \t]*+:)"
 #: What may stand between a name and its =: a type after a colon, or one of Go's types for text.
 _TYPED = (
-    rf"[?!]?[ \t]*+:[ \t]*+({_ONE_TYPE}(?:[ \t]*+[|&][ \t]*+{_ONE_TYPE})*+)[ \t]*+=(?![=>~])"
+    rf"[?!]?[ \t]*+:[ \t]*+({_ONE_TYPE}(?:[ \t]*+[|&][ \t]*+{_NEXT_TYPE})*+)[ \t]*+=(?![=>~])"
     r"|[ \t]++(?:\*|\[[0-9]*+\])*+(?:string|byte|rune|any|interface\{\})[ \t]*+=(?![=>~])"
 )
 _PAIR = re.compile(

@@ -1,5 +1,6 @@
 """Name-value pairs with a type between name and value, and values with a leading slash."""
 
+import random
 import time
 
 import pytest
@@ -53,3 +54,30 @@ def test_time_is_linear_in_the_text():
             secrets.spans(part * n + "=")
             took.append(time.perf_counter() - began)
         assert took[1] < 0.2 + 30 * took[0], part
+
+
+def test_rows_of_typed_names_take_linear_time():
+    """Eight times the text takes about eight times as long, whatever stands between the names."""
+    rng = random.Random(1)
+    parts = ["a", "b1", ":", "|", "&", "<", ">", "[", "]", " ", "=", "?", "::", ".", '"', "'", "*", "(", ")", ",", "x_key"]
+    mixes = ["a:x |", "a: b | ", "a:x &", "a:b|a:b[c]", "a:x::y |", *["".join(rng.choice(parts) for _ in range(rng.randint(3, 9))) for _ in range(20)]]
+    for mix in mixes:
+        took = []
+        for n in (8_000, 64_000):
+            text = (mix * n)[:n]
+            took.append(min(timed(text) for _ in range(2)))
+        assert took[1] < 10.5 * max(took[0], 0.004), (mix, took)
+    assert timed(("a:x |" * 250_000)[: 1 << 20]) < 4
+
+
+def timed(text):
+    began = time.process_time()
+    secrets.spans(text)
+    return time.process_time() - began
+
+
+def test_types_with_several_alternatives():
+    text = "db_password: string | undefined | std::String<u8> = 'xK9vQ2mLp4'\n"
+    assert [text[a:b] for k, a, b in secrets.spans(text) if k == "literal"] == ["xK9vQ2mLp4"]
+    text = "a: str | db_password: str | None = 'xK9vQ2mLp4'\n"
+    assert [text[a:b] for k, a, b in secrets.spans(text) if k == "literal"] == ["xK9vQ2mLp4"]
