@@ -3,13 +3,16 @@
 import array
 import collections
 import hashlib
+import math
 import re
 import zlib
 
+import numpy as np
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 
-from millrace.llm import packing, registry, secrets
+from millrace.llm import lattice, packing, registry, secrets
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
@@ -85,7 +88,23 @@ def test_op5(spark, sf_dir, docs):
 def test_op7(spark, sf_dir, docs):
     got = registry.QUERIES["op7_lattice"](spark, sf_dir).collect()
     assert sorted([(r.doc_id, r.held_out) for r in got], key=key) == sorted([(d, crc(d, 7) == 2) for d, _ in docs], key=key)
-    assert all(r.score < 0 and r.plain_score < 0 and r.base_score < 0 for r in got) and len({r.train_tokens for r in got}) == 1
+    assert all(r.score < 0 and r.fitted_score < 0 and r.base_score < 0 for r in got) and len({r.train_tokens for r in got}) == 1
+    # score: all segmentations by the vocabulary's own weights
+    v = lattice.vocabulary_of(lattice.default_vocabulary())
+    sp = sentencepiece.SentencePieceProcessor(model_file=lattice.default_vocabulary())
+    piece = {sp.id_to_piece(i): i for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
+
+    def paths(s):
+        if not s:
+            return [0.0]
+        out = [sum(v.prior[v.bytes_[b]] for b in s[0].encode()) + rest for rest in paths(s[1:])]
+        return out + [v.prior[piece[s[:k]]] + rest for k in range(1, len(s) + 1) if s[:k] in piece for rest in paths(s[k:])]
+
+    short = [(r.score, t) for r in got for d, t in docs if d == r.doc_id and d in (6, 7, 8, 10)]
+    assert len(short) == 4
+    for score, t in short:
+        logs = [np.logaddexp.reduce(paths("▁" + w.lower())) for w in (t or "").split()]
+        assert math.isclose(score, (sum(logs) + v.prior[-1]) / math.log(10), rel_tol=1e-12)
 
 
 def test_op8(spark, sf_dir, docs):
