@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import privacy, text
-from ..operators import store, upsert
-from ..session import table
+from ..operators import buckets, store, upsert
+from ..session import scratch, table
+from ..sources.changes import stored_changes
+from ..streaming.replay import replayed
 
 
 def _payloads(spark: SparkSession, d: str) -> DataFrame:
@@ -45,6 +47,35 @@ def responses(spark: SparkSession, d: str) -> DataFrame:
     return _merged(spark, d).responses.select("seq", "action", "line")
 
 
+def _stored(spark: SparkSession, d: str) -> str:
+    """A bucketed store of the first payloads, into which the others went in two merges."""
+    root = scratch(spark, "store")
+    p = _payloads(spark, d)
+    buckets.create(spark, root, *store.snapshot(p.where(_is_stored())), buckets=16)
+    later, half = p.where(~_is_stored()), F.floor(F.col("seq") / 40) % 2 == 0
+    for part in (later.where(half), later.where(~half)):
+        buckets.merge(spark, root, part)
+    return root
+
+
+def bucketed_merge(spark: SparkSession, d: str) -> DataFrame:
+    """``payload_merge`` by merges that read and write only the buckets they touch."""
+    return buckets.read(spark, _stored(spark, d), "sources").select("source_path", "source_type", "content_hash", "chunk_count", "updated_seq")
+
+
+def bucketed_chunks(spark: SparkSession, d: str) -> DataFrame:
+    root = _stored(spark, d)
+    counts = buckets.read(spark, root, "chunks").groupBy("doc_uid").agg(F.count_if(~F.col("is_deleted")).alias("n_live"), F.count_if(F.col("is_deleted")).alias("n_deleted"))
+    sources = buckets.read(spark, root, "sources")
+    return sources.join(counts, "doc_uid", "left").select("source_path", F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_deleted", F.lit(0)).alias("n_deleted"))
+
+
+def change_feed(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that were created or updated from each state of the store to the next."""
+    found = replayed(stored_changes(spark, _stored(spark, d)), "change-feed")
+    return found.select("version", "change", "source_path", "content_hash", "updated_seq")
+
+
 def source_upsert(spark: SparkSession, d: str) -> DataFrame:
     p = _payloads(spark, d)
     old, _ = store.snapshot(p.where(_is_stored()))
@@ -109,6 +140,9 @@ def message_rebuild(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "payload_merge": payload_merge,
     "payload_chunks": payload_chunks,
+    "bucketed_merge": bucketed_merge,
+    "bucketed_chunks": bucketed_chunks,
+    "change_feed": change_feed,
     "responses": responses,
     "source_upsert": source_upsert,
     "point_lookup": point_lookup,
@@ -161,3 +195,10 @@ w AS (SELECT *, len(list_filter(regexp_split_to_array(t, '\s+'), lambda x: x <>
 SELECT 'chat://' || conv_id AS source_url, n_messages, sha256(t) AS content_hash, (CASE WHEN n = 0 THEN 0 WHEN n <= 1024 THEN 1 ELSE (n - 100) // 924 + 1 END)::INTEGER AS chunk_count,
        CASE WHEN conv_id % 3 = 0 OR early IS NULL THEN 'New' WHEN early = t THEN 'Duplicate' ELSE 'Updated' END AS status FROM w""",
 }
+
+ORACLES["bucketed_merge"] = ORACLES["payload_merge"]
+ORACLES["bucketed_chunks"] = ORACLES["payload_chunks"]
+#: Paths of one language and forty documents are of one half: state 1 or 2.
+ORACLES["change_feed"] = f"""WITH {_A}, g AS (SELECT *, CASE (regexp_extract(path, '/([0-9]+)$', 1)::BIGINT) % 2 WHEN 0 THEN 1 ELSE 2 END AS later FROM f)
+SELECT 0 AS version, 'created' AS change, path AS source_path, h0 AS content_hash, s0 AS updated_seq FROM g WHERE h0 IS NOT NULL
+UNION ALL SELECT later, CASE WHEN h0 IS NULL THEN 'created' ELSE 'updated' END, path, h1, s1 FROM g WHERE kind <> 'old'"""
