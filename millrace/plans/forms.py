@@ -69,7 +69,7 @@ def boards(spark: SparkSession, d: str) -> DataFrame:
 def rich_text(spark: SparkSession, d: str) -> DataFrame:
     """Documents as nested rich text in JSON, and their text again."""
     node = lambda t: F.struct(F.lit("paragraph").alias("type"), F.array(F.struct(F.lit("text").alias("type"), t.alias("text"))).alias("content"))
-    body = F.array(node(F.left("text", F.lit(500))), node(F.lit(" and ")), node(F.left("text", F.lit(3))))
+    body = F.array(node(F.col("text")), node(F.lit(" and ")), node(F.left("text", F.lit(3))))
     raw = F.when(F.col("doc_id") % 9 == 0, "plain").otherwise(F.to_json(F.struct(F.lit("doc").alias("type"), body.alias("content"))))
     t = table(spark, d, "documents").select("doc_id", raw.alias("raw")).select("doc_id", formats.adf(F.col("raw")).alias("t"))
     return t.select("doc_id", F.sha2("t", 256).alias("text_hash"))
@@ -246,7 +246,7 @@ t AS (SELECT o_orderkey, k, '# ' || CASE WHEN k % 7 <> 0 THEN 'AB-' || k ELSE 'U
   concat_ws(' | ', CASE WHEN k % 2 = 1 THEN 'Status: Open' END, CASE WHEN k % 3 = 1 THEN 'Assignee: Ann' END) AS f, CASE WHEN k % 5 = 1 THEN '## Description' || {_NL} || 'Text' END AS d FROM p)
 SELECT o_orderkey, CASE WHEN k % 14 = 0 AND f = '' AND d IS NULL THEN NULL ELSE {_TRIM.format(f"CASE WHEN k % 14 = 0 THEN h || ' ' ELSE h END || {_NL} || {_NL} || CASE WHEN f <> '' THEN f || {_NL} || {_NL} ELSE '' END || coalesce(d, '')")} END AS content FROM t""",
     "boards": f"""WITH {_L} SELECT l_orderkey, string_agg('K-' || part || ': ' || CASE WHEN flag <> 'R' THEN supp ELSE '' END, {_NL} ORDER BY n) FILTER (n <> 2) AS content FROM l GROUP BY l_orderkey""",
-    "rich_text": rf"""SELECT doc_id, sha256(CASE WHEN doc_id % 9 = 0 THEN 'plain' ELSE {_TRIM.format("left(text, 500) || ' and ' || left(text, 3)")} END) AS text_hash FROM documents""",
+    "rich_text": rf"""SELECT doc_id, sha256(CASE WHEN doc_id % 9 = 0 THEN 'plain' ELSE {_TRIM.format("text || ' and ' || left(text, 3)")} END) AS text_hash FROM documents""",
     "one_line": rf"""SELECT doc_id, sha256({_TRIM.format(r"regexp_replace(text, '\s+', ' ', 'g')")}) AS text_hash FROM documents""",
     "sheets": f"""WITH {_L} SELECT l_orderkey, string_agg(part || chr(9) || flag || chr(9) || supp, {_NL} ORDER BY n) AS content FROM l GROUP BY l_orderkey""",
     "decks": f"""WITH {_L}, s AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY n) AS i FROM l)

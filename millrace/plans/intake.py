@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import canonical, text
-from ..operators import nearby, ui, upsert
+from ..operators import nearby, nearest, ui, upsert
 from ..operators.sequential import sequential
 from ..sources import documents, payloads
 from ..session import spread, table
@@ -18,7 +16,7 @@ from .capture import TITLES, _key, _pick, _pick_sql
 
 def _json(t: DataFrame) -> Column:
     """Documents as payload lines; some lack a field or are cut off."""
-    whole = F.to_json(F.struct(F.col("source"), F.concat(F.lit("https://s.example/"), F.col("lang"), F.lit("?q=1")).alias("url"), F.left("text", F.lit(200)).alias("content"), F.lit("T").alias("title"), F.col("doc_id").alias("timestamp"), F.lit(1).alias("other")))
+    whole = F.to_json(F.struct(F.col("source"), F.concat(F.lit("https://s.example/"), F.col("lang"), F.lit("?q=1")).alias("url"), F.col("text").alias("content"), F.lit("T").alias("title"), F.col("doc_id").alias("timestamp"), F.lit(1).alias("other")))
     return F.when(F.col("doc_id") % 11 == 5, '{"source":"x","url":"u"}').when(F.col("doc_id") % 11 == 7, F.left(whole, F.lit(40))).otherwise(whole)
 
 
@@ -41,7 +39,7 @@ def stored_lines(spark: SparkSession, d: str) -> DataFrame:
 def framed_messages(spark: SparkSession, d: str) -> DataFrame:
     """Messages of a browser's extension in frames; those that aren't content go."""
     t = table(spark, d, "documents")
-    message = F.to_json(F.struct(F.when(F.col("doc_id") % 3 != 0, "content").otherwise("ping").alias("type"), F.lit("web").alias("source"), F.left("text", F.lit(100)).alias("content")))
+    message = F.to_json(F.struct(F.when(F.col("doc_id") % 3 != 0, "content").otherwise("ping").alias("type"), F.lit("web").alias("source"), F.col("text").alias("content")))
     size = F.octet_length(message)
     head = F.unhex(F.concat(*[F.lpad(F.hex(F.pmod(F.floor(size / 256**i), F.lit(256))), 2, "0") for i in range(4)]))
     frame = F.concat(head, F.encode(message, "UTF-8"))
@@ -53,7 +51,7 @@ def framed_messages(spark: SparkSession, d: str) -> DataFrame:
 def reader_output(spark: SparkSession, d: str) -> DataFrame:
     """Output of the interface reader and of the text recogniser, and which of it failed."""
     k = F.col("doc_id")
-    raw = F.when(k % 4 == 0, "{}").otherwise(F.to_json(F.struct(F.left("text", F.lit(50)).alias("content"), F.left("text", F.lit(50)).alias("text"), F.when(k % 4 == 1, 0.5).alias("confidence"), F.when(k % 4 == 2, "no").alias("error"))))
+    raw = F.when(k % 4 == 0, "{}").otherwise(F.to_json(F.struct(F.col("text").alias("content"), F.col("text").alias("text"), F.when(k % 4 == 1, 0.5).alias("confidence"), F.when(k % 4 == 2, "no").alias("error"))))
     t = table(spark, d, "documents").select("doc_id", raw.alias("value"))
     a = payloads.accessible(t).select("doc_id", F.col("failed").alias("interface_failed"))
     r = payloads.recognised(t).select("doc_id", F.col("failed").alias("recogniser_failed"), "confidence")
@@ -62,7 +60,7 @@ def reader_output(spark: SparkSession, d: str) -> DataFrame:
 
 def exports(spark: SparkSession, d: str) -> DataFrame:
     status = F.when(F.col("doc_id") % 7 == 3, 429).when(F.col("doc_id") % 7 == 4, 500).otherwise(200)
-    body = F.when(F.col("doc_id") % 7 == 5, " ").otherwise(F.concat(F.lit(" "), F.left("text", F.lit(50)), F.lit(" x ")))
+    body = F.when(F.col("doc_id") % 7 == 5, " ").otherwise(F.concat(F.lit(" "), F.col("text"), F.lit(" x ")))
     e = payloads.exports(table(spark, d, "documents").select("doc_id", status.alias("status"), body.alias("body")))
     return e.select("doc_id", F.sha2("content", 256).alias("content_hash"), "error")
 
@@ -96,7 +94,7 @@ def ui_elements(spark: SparkSession, d: str) -> DataFrame:
 
 def ocr_titles(spark: SparkSession, d: str) -> DataFrame:
     title = F.when(F.col("doc_id") % 3 != 0, _pick(F.col("doc_id"), TITLES))
-    return table(spark, d, "documents").select("doc_id", text.ocr_title(title, F.col("text"), canonical.clean_window_title).alias("title"), text.preview(F.concat(F.lit("https://s.example/"), F.left(F.translate("text", "\n ", "__"), F.lit(120))), 100).alias("short_url"))
+    return table(spark, d, "documents").select("doc_id", text.ocr_title(title, F.col("text"), canonical.clean_window_title).alias("title"), text.preview(F.concat(F.lit("https://s.example/"), F.translate("text", "\n ", "__")), 100).alias("short_url"))
 
 
 def jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -113,18 +111,10 @@ def path_cache(spark: SparkSession, d: str) -> DataFrame:
 
 
 def retrieval_topk(spark: SparkSession, d: str) -> DataFrame:
-    """The ten nearest vectors of each of three stated ones, by cosine."""
-    e = table(spark, d, "embeddings").select("vec_id", "embedding")
-    asked = {r["vec_id"]: list(r["embedding"]) for r in e.where("vec_id < 3").collect()}  # three rows
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-    def one(vec_id: int, v: list[float]) -> DataFrame:
-        q = F.array(*[F.lit(float(x)) for x in v])
-        score = dot(F.col("embedding"), q) / F.sqrt(dot(F.col("embedding"), F.col("embedding")) * dot(q, q))
-        best = e.select(F.lit(vec_id).cast("bigint").alias("query_id"), "vec_id", F.round(score, 6).alias("score"))
-        return best.orderBy(F.desc("score"), "vec_id").limit(10)
-
-    return reduce(DataFrame.unionAll, [one(k, v) for k, v in sorted(asked.items())])
+    """The ten nearest vectors of every twentieth one, itself included, by cosine."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    found = nearest.by_cosine(e.where("id % 20 = 0"), e, 10)
+    return found.select("query_id", F.col("id").alias("vec_id"), "score")
 
 
 def cells(spark: SparkSession, d: str) -> DataFrame:
@@ -154,23 +144,23 @@ _T = f"""t AS (SELECT o.l_orderkey, o.n, min(n) OVER (PARTITION BY l_orderkey) =
 ORACLES = {
     "payload_lines": """
 SELECT doc_id, CASE doc_id % 11 WHEN 5 THEN 'x' WHEN 7 THEN NULL ELSE source END AS source, CASE doc_id % 11 WHEN 5 THEN 'u' WHEN 7 THEN NULL ELSE 'https://s.example/' || lang || '?q=1' END AS url,
-       CASE WHEN doc_id % 11 NOT IN (5, 7) THEN sha256(left(text, 200)) END AS content_hash, CASE WHEN doc_id % 11 NOT IN (5, 7) THEN 'T' END AS title, CASE WHEN doc_id % 11 NOT IN (5, 7) THEN doc_id END AS timestamp,
+       CASE WHEN doc_id % 11 NOT IN (5, 7) THEN sha256(text) END AS content_hash, CASE WHEN doc_id % 11 NOT IN (5, 7) THEN 'T' END AS title, CASE WHEN doc_id % 11 NOT IN (5, 7) THEN doc_id END AS timestamp,
        CASE doc_id % 11 WHEN 5 THEN 'Parse error: missing content' WHEN 7 THEN 'Parse error: not a payload' END AS error FROM documents""",
     "stored_lines": """
-WITH p AS (SELECT doc_id AS seq, lang, sha256(left(text, 200)) AS h, doc_id % 11 IN (5, 7) AS bad FROM documents),
+WITH p AS (SELECT doc_id AS seq, lang, sha256(text) AS h, doc_id % 11 IN (5, 7) AS bad FROM documents),
 g AS (SELECT seq, CASE WHEN lag(h) OVER w IS NULL THEN 'created' WHEN lag(h) OVER w = h THEN 'skipped' ELSE 'updated' END AS action FROM p WHERE NOT bad WINDOW w AS (PARTITION BY lang ORDER BY seq))
 SELECT seq, action FROM g UNION ALL SELECT seq, 'failed' FROM p WHERE bad""",
-    "framed_messages": """SELECT doc_id AS path, n::INTEGER AS number, sha256(left(text, 100)) AS content_hash, 'Chrome' AS app_name, 'com.google.Chrome' AS bundle_id, 1.0::FLOAT AS confidence
+    "framed_messages": """SELECT doc_id AS path, n::INTEGER AS number, sha256(text) AS content_hash, 'Chrome' AS app_name, 'com.google.Chrome' AS bundle_id, 1.0::FLOAT AS confidence
 FROM documents, (SELECT unnest([0, 1]) AS n) WHERE doc_id % 3 <> 0""",
     "reader_output": """SELECT doc_id, doc_id % 4 = 0 OR text = '' AS interface_failed, doc_id % 4 IN (0, 2) OR text = '' AS recogniser_failed, CASE WHEN doc_id % 4 = 1 THEN 0.5 ELSE 0.9 END::DOUBLE AS confidence FROM documents""",
-    "exports": r"""SELECT doc_id, CASE WHEN doc_id % 7 NOT IN (3, 4, 5) THEN sha256(regexp_replace(left(text, 50) || ' x', '^\s+', '')) END AS content_hash,
+    "exports": r"""SELECT doc_id, CASE WHEN doc_id % 7 NOT IN (3, 4, 5) THEN sha256(regexp_replace(text || ' x', '^\s+', '')) END AS content_hash,
   CASE doc_id % 7 WHEN 3 THEN 'Rate limited (429) - try again later' WHEN 4 THEN 'Export failed with status 500' WHEN 5 THEN 'Export returned empty content' END AS error FROM documents""",
     "office_dispatch": """SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 AND o_orderkey // 4 % 5 IN (0, 4) THEN 'xlsx' WHEN o_orderkey % 4 = 1 AND o_orderkey // 4 % 5 = 1 THEN 'docx' WHEN o_orderkey % 4 = 2 AND o_orderkey // 4 % 5 = 2 THEN 'key' END AS reader FROM orders""",
     "ui_trees": f"WITH {_T} SELECT l_orderkey, coalesce(string_agg(said || chr(10), '' ORDER BY n) FILTER (NOT top AND r <> 0), '') AS content FROM t GROUP BY l_orderkey",
     "ui_elements": f"WITH {_T} SELECT l_orderkey, n AS node, concat_ws(' | ', CASE WHEN p % 2 = 0 THEN 'value=v' || p END, 'description=' || CASE WHEN p % 3 = 0 THEN 'a. b' ELSE 'd' END) AS said FROM t WHERE NOT top AND r = 2",
     "ocr_titles": rf"""
 WITH t AS (SELECT *, CASE WHEN doc_id % 3 <> 0 THEN {_pick_sql('doc_id', TITLES)} END AS w, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) BETWEEN 10 AND 200) AS l FROM documents),
-u AS (SELECT *, 'https://s.example/' || left(translate(text, chr(10) || ' ', '__'), 120) AS u, trim(CASE WHEN ends_with(w, ' - Google Chrome') THEN left(w, length(w) - 16) WHEN ends_with(w, ' - Safari') THEN left(w, length(w) - 9) WHEN ends_with(w, ' - Opera') THEN left(w, length(w) - 8) ELSE w END) AS c FROM t)
+u AS (SELECT *, 'https://s.example/' || translate(text, chr(10) || ' ', '__') AS u, trim(CASE WHEN ends_with(w, ' - Google Chrome') THEN left(w, length(w) - 16) WHEN ends_with(w, ' - Safari') THEN left(w, length(w) - 9) WHEN ends_with(w, ' - Opera') THEN left(w, length(w) - 8) ELSE w END) AS c FROM t)
 SELECT doc_id, CASE WHEN coalesce(w, '') <> '' THEN c ELSE left(l[1], 100) END AS title, CASE WHEN length(u) > 100 THEN left(u, 97) || '...' ELSE u END AS short_url FROM u""",
     "jaccard_pairs": r"""
 WITH w AS (SELECT conv_id, turn, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS x FROM conversations),
@@ -179,7 +169,7 @@ SELECT conv_id, turn, later, round(j, 9) AS jaccard FROM p WHERE j >= 0.05""",
     "path_cache": """SELECT user_id, event_id, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 2 HOUR THEN 'created' WHEN lag(event_type) OVER w = event_type THEN 'skipped' ELSE 'updated' END AS action
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""",
     "retrieval_topk": """
-WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(list_transform(q.embedding, lambda x: x::DOUBLE), list_transform(e.embedding, lambda x: x::DOUBLE)), 6) AS score FROM embeddings q, embeddings e WHERE q.vec_id < 3)
+WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(list_transform(q.embedding, lambda x: x::DOUBLE), list_transform(e.embedding, lambda x: x::DOUBLE)), 6) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0)
 SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10""",
     "cells": "SELECT doc_id, sha256(replace(replace(replace(text, chr(9), '    '), chr(10), ' '), chr(13), '')) AS shown_hash FROM documents",
 }

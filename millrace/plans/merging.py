@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import privacy, text
-from ..operators import buckets, store, upsert
+from ..operators import buckets, paging, store, upsert
 from ..session import scratch, table
 from ..sources.changes import stored_changes
 from ..streaming.replay import replayed
@@ -103,6 +105,18 @@ def pages_appended(spark: SparkSession, d: str) -> DataFrame:
     return upsert.pages_together(*pages)
 
 
+def indexed_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Three pages of a hundred events, newest first, found by the index, and (as
+    page -1) what follows the last row of the second by its key."""
+    e = table(spark, d, "events").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("seq"), F.col("event_id").cast("string").alias("path"))
+    pages = paging.build(e, scratch(spark, "pages"), "seq", "path", per_file=1500)
+    found = [pages.page(n, 100).select(F.lit(n).alias("page"), "event_id", "has_more") for n in (0, 7, 99)]
+    last = pages.page(7, 100).orderBy("seq", F.desc("path")).first()
+    if last is not None:
+        found.append(pages.after(last["seq"], last["path"], 50).select(F.lit(-1).alias("page"), "event_id", F.lit(True).alias("has_more")))
+    return reduce(DataFrame.unionAll, found)
+
+
 def content_suppress(spark: SparkSession, d: str) -> DataFrame:
     """Redacted captures of a window, without those equal to the one before."""
     e = table(spark, d, "events").select("user_id", "event_id", "ts", F.concat(F.lit("saw "), F.col("event_type"), F.lit(" id 123-45-6789")).alias("text"))
@@ -148,6 +162,7 @@ QUERIES = {
     "point_lookup": point_lookup,
     "json_order": json_order,
     "pages_appended": pages_appended,
+    "indexed_pages": indexed_pages,
     "content_suppress": content_suppress,
     "order_check": order_check,
     "message_rebuild": message_rebuild,
@@ -202,3 +217,5 @@ ORACLES["bucketed_chunks"] = ORACLES["payload_chunks"]
 ORACLES["change_feed"] = f"""WITH {_A}, g AS (SELECT *, CASE (regexp_extract(path, '/([0-9]+)$', 1)::BIGINT) % 2 WHEN 0 THEN 1 ELSE 2 END AS later FROM f)
 SELECT 0 AS version, 'created' AS change, path AS source_path, h0 AS content_hash, s0 AS updated_seq FROM g WHERE h0 IS NOT NULL
 UNION ALL SELECT later, CASE WHEN h0 IS NULL THEN 'created' ELSE 'updated' END, path, h1, s1 FROM g WHERE kind <> 'old'"""
+ORACLES["indexed_pages"] = """WITH n AS (SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id::VARCHAR) - 1 AS n, count(*) OVER () AS total FROM events)
+SELECT (n // 100)::INTEGER AS page, event_id, (n // 100 + 1) * 100 < total AS has_more FROM n WHERE n // 100 IN (0, 7, 99) UNION ALL SELECT -1, event_id, true FROM n WHERE n BETWEEN 800 AND 849"""
