@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import store
-from ..session import table
+from ..operators import infix, store
+from ..session import scratch, table
 
 
 def _payloads(spark: SparkSession, d: str, per_path: bool = True) -> DataFrame:
@@ -69,6 +71,15 @@ def similar_sources(spark: SparkSession, d: str) -> DataFrame:
     return sources.where(F.col("source_path").ilike("%SITE.example/en/%1%")).orderBy(F.desc("updated_seq"), "source_path").limit(10).select("source_path", "updated_seq")
 
 
+def infix_search(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold a piece of text, by an index of trigrams: a query each
+    for a rare piece, one in two parts, and one too short for the index."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    found = infix.build(docs, "doc_id", "text", scratch(spark, "trigrams"))
+    asked = {"rare": "%Licensed under%", "parts": "%PASSWORD%=%", "short": "%zq%"}
+    return reduce(DataFrame.unionAll, [found.search(p).select(F.lit(name).alias("asked"), "doc_id") for name, p in asked.items()])
+
+
 def soft_delete(spark: SparkSession, d: str) -> DataFrame:
     """Chunks after replacing the content of some documents and deleting others."""
     sources, chunks = _snapshot(spark, d)
@@ -139,6 +150,7 @@ QUERIES = {
     "source_preview": source_preview,
     "doc_detail": doc_detail,
     "similar_sources": similar_sources,
+    "infix_search": infix_search,
     "soft_delete": soft_delete,
     "append_chunks": append,
     "message_dedup": message_dedup,
@@ -172,6 +184,8 @@ SELECT source_path, chunk_count, CASE WHEN length(t) > 150 THEN left(t, 147) ||
     "doc_detail": f"""WITH {_S}, r AS (SELECT source_path, source_type, count(*) AS n_live, string_agg(t, chr(10) ORDER BY chunk_index) AS t FROM c GROUP BY ALL)
 SELECT source_path, source_type, n_live, sha256(t) AS content_hash_joined, length(t)::BIGINT AS n_chars FROM r""",
     "similar_sources": f"""WITH {_S} SELECT source_path, updated_seq FROM s WHERE source_path ILIKE '%SITE.example/en/%1%' ORDER BY updated_seq DESC, source_path LIMIT 10""",
+    "infix_search": """SELECT 'rare' AS asked, doc_id FROM documents WHERE text ILIKE '%Licensed under%' UNION ALL SELECT 'parts', doc_id FROM documents WHERE text ILIKE '%PASSWORD%=%'
+UNION ALL SELECT 'short', doc_id FROM documents WHERE text ILIKE '%zq%'""",
     "soft_delete": rf"""WITH {_S}, z AS (
   SELECT source_type, updated_seq % 3 <> 2 AS is_deleted, len(list_filter(regexp_split_to_array(t, '\s+'), lambda x: x <> '')) AS k FROM c
   UNION ALL SELECT source_type, false, 2 FROM s WHERE updated_seq % 3 = 1)
