@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..session import scratch, table
-from ..streaming import state
-from ..streaming.replay import landed, replayed, ticked
+from ..streaming import late, state, statistics
+from ..streaming.replay import FILES, landed, replayed, ticked
 
 #: How late a row may come, and a clock's tick that ends all that still waits.
 LATE, TICK, NOBODY = "10 seconds", 40 * 24 * 3600, -1
 CACHE_TTL, SNAPSHOT = 7200, 3600
+#: Days that land together, where a result goes by batches.
+PART = 4 * 24 * 3600
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
@@ -68,6 +70,37 @@ def live_sessions(spark: SparkSession, d: str) -> DataFrame:
     return replayed(found, "live-sessions").where(F.col("user_id") != NOBODY)
 
 
+def live_cache_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Of each batch of the path cache: paths written, added, forgotten, and held after it."""
+    folder = scratch(spark, "live-cache-stats")
+    rows = landed(_events(spark, d), "time", part=F.floor(F.unix_seconds("time") / PART))
+    replayed(state.path_cache(rows, "user_id", "time", LATE, CACHE_TTL), "live-cache-stats", folder)
+    return statistics.counts(spark, f"{folder}/checkpoint")
+
+
+def _delayed(spark: SparkSession, d: str) -> DataFrame:
+    """Events with the second of their arrival: every seventh is six hours on its
+    way, every eleventh five days."""
+    on_way = F.when(F.col("id") % 11 == 0, 5 * 86400).when(F.col("id") % 7 == 0, 6 * 3600).otherwise(0)
+    return _events(spark, d).select("id", "user_id", "time", (F.unix_seconds("time") + on_way).alias("arrived"))
+
+
+def live_late(spark: SparkSession, d: str) -> DataFrame:
+    """Events by the batch that they arrive with, the late ones kept aside."""
+    folder = scratch(spark, "live-late")
+    stream = landed(_delayed(spark, d), "arrived", part=F.floor(F.col("arrived") / PART))
+    late.split(stream, "time", "5 hours", folder)
+    return late.rows(spark, folder, stream).select(F.col("id").alias("event_id"), "batch", "late")
+
+
+def live_redelivered(spark: SparkSession, d: str) -> DataFrame:
+    """Events of which every third is delivered again an hour later, each once."""
+    e = _events(spark, d).select("id", "user_id", "content_hash", "time", "at")
+    again = e.where(F.col("id") % 3 == 0).withColumn("at", F.col("at") + 3600)
+    stream = state.once(landed(e.unionByName(again), "at", 2 * FILES), ["id"], "time", "2 hours")
+    return replayed(stream, "live-redelivered").select(F.col("id").alias("event_id"), "user_id", F.col("content_hash").alias("event_type"))
+
+
 QUERIES = {
     "live_path_cache": live_path_cache,
     "live_path_cache_held": live_path_cache_held,
@@ -75,6 +108,9 @@ QUERIES = {
     "live_focus_changes": live_focus_changes,
     "live_debounce": live_debounce,
     "live_sessions": live_sessions,
+    "live_cache_stats": live_cache_stats,
+    "live_late": live_late,
+    "live_redelivered": live_redelivered,
 }
 
 ORACLES = {
@@ -97,4 +133,20 @@ SELECT user_id, event_id, round((tm + {rules.APP_DEBOUNCE * 60}) * 1000)::BIGINT
 WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
 n AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS visit FROM e)
 SELECT user_id, epoch_us(min(ts)) AS began_us, epoch_us(max(ts)) + 1800000000 AS ended_us, count(*) AS n_events FROM n GROUP BY user_id, visit""",
+    "live_cache_stats": f"""
+WITH e AS (SELECT user_id, ts, dense_rank() OVER (ORDER BY floor(epoch(ts) / {PART})) - 1 AS batch FROM events),
+u AS (SELECT user_id, batch, max(ts) AS last FROM e GROUP BY ALL),
+m AS (SELECT batch, max(max(ts)) OVER (ORDER BY batch ROWS UNBOUNDED PRECEDING) - INTERVAL 10 SECOND AS mark FROM e GROUP BY batch),
+g AS (SELECT u.user_id, u.batch, min(m.batch) + 1 AS gone FROM u LEFT JOIN m ON m.mark >= u.last + INTERVAL 2 HOUR GROUP BY ALL),
+k AS (SELECT *, lead(batch) OVER w AS after, lag(batch) OVER w AS before, lag(gone) OVER w AS before_gone FROM g WINDOW w AS (PARTITION BY user_id ORDER BY batch)),
+c AS (SELECT batch, 1 AS written, (before IS NULL OR coalesce(before_gone < batch, false))::INTEGER AS added, 0 AS evicted FROM k
+  UNION ALL SELECT gone, 0, 0, 1 FROM k WHERE gone IS NOT NULL AND (after IS NULL OR gone < after)),
+b AS (SELECT batch, sum(written)::BIGINT AS written, sum(added)::BIGINT AS added, sum(evicted)::BIGINT AS evicted FROM c GROUP BY batch)
+SELECT *, (sum(added - evicted) OVER (ORDER BY batch))::BIGINT AS entries FROM b""",
+    "live_late": f"""
+WITH e AS (SELECT event_id, ts, floor((floor(epoch(ts)) + CASE WHEN event_id % 11 = 0 THEN 432000 WHEN event_id % 7 = 0 THEN 21600 ELSE 0 END) / {PART}) AS part FROM events),
+n AS (SELECT event_id, ts, dense_rank() OVER (ORDER BY part) - 1 AS batch FROM e),
+m AS (SELECT batch + 1 AS batch, max(max(ts)) OVER (ORDER BY batch ROWS UNBOUNDED PRECEDING) - INTERVAL 5 HOUR AS mark FROM n GROUP BY batch)
+SELECT event_id, batch, coalesce(ts < mark, false) AS late FROM n LEFT JOIN m USING (batch)""",
+    "live_redelivered": "SELECT event_id, user_id, event_type FROM events",
 }

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import privacy, text
-from ..operators import buckets, paging, store, upsert
+from ..operators import buckets, lookup, paging, store, upsert
 from ..session import scratch, table
 from ..sources.changes import stored_changes
 from ..streaming.replay import replayed
@@ -91,6 +91,23 @@ def point_lookup(spark: SparkSession, d: str) -> DataFrame:
     return upsert.by_path(sources, "https://site.example/en/3").select("source_path", "content_hash", "updated_seq")
 
 
+def _lookup(spark: SparkSession, d: str) -> lookup.Stored:
+    sources, _ = store.snapshot(_payloads(spark, d))
+    return lookup.build(sources.select("source_path", "doc_uid", "content_hash", "updated_seq"), scratch(spark, "lookup"), "source_path", "doc_uid")
+
+
+def path_lookups(spark: SparkSession, d: str) -> DataFrame:
+    """Stored sources of the paths of every twentieth capture, from the files that hold them."""
+    wanted = _payloads(spark, d).where("seq % 20 = 0").select("source_path")
+    return _lookup(spark, d).by_paths(wanted).select("source_path", "content_hash", "updated_seq")
+
+
+def document_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """A stored source by its document's name, which lies in no order."""
+    uid = spark.range(1).select(store.doc_uid(F.lit("https://site.example/en/3")).alias("uid")).first()["uid"]
+    return _lookup(spark, d).by_uid(uid).select("source_path", "doc_uid", "updated_seq")
+
+
 def json_order(spark: SparkSession, d: str) -> DataFrame:
     """Lines of an order by a number in their JSON metadata."""
     t = table(spark, d, "lineitem").select("l_orderkey", F.to_json(F.struct((F.col("l_linenumber") * 4).alias("chunk_index"))).alias("meta"), F.col("l_partkey").cast("string").alias("v"))
@@ -160,6 +177,8 @@ QUERIES = {
     "responses": responses,
     "source_upsert": source_upsert,
     "point_lookup": point_lookup,
+    "path_lookups": path_lookups,
+    "document_lookup": document_lookup,
     "json_order": json_order,
     "pages_appended": pages_appended,
     "indexed_pages": indexed_pages,
@@ -192,6 +211,9 @@ SELECT seq, action, CASE action WHEN 'skipped' THEN '{{"status":"ok","action":"s
 j AS (SELECT path, sha256(path) AS x, st.h AS h0, st.seq AS s0, nw.h AS h1, nw.seq AS s1 FROM st FULL JOIN nw USING (path))
 SELECT path AS source_path, CASE WHEN h0 IS NULL THEN 'new-' ELSE '' END || {_UID} AS doc_uid, coalesce(h1, h0) AS content_hash, coalesce(s1, s0) AS updated_seq FROM j""",
     "point_lookup": f"""WITH {_P} SELECT path AS source_path, arg_max(h, seq) AS content_hash, max(seq) AS updated_seq FROM k WHERE path = 'https://site.example/en/3' GROUP BY path""",
+    "path_lookups": f"""WITH {_P} SELECT path AS source_path, arg_max(h, seq) AS content_hash, max(seq) AS updated_seq FROM k GROUP BY path HAVING bool_or(seq % 20 = 0)""",
+    "document_lookup": f"""WITH {_P}, l AS (SELECT path, sha256(path) AS x, max(seq) AS updated_seq FROM k GROUP BY path)
+SELECT path AS source_path, {_UID} AS doc_uid, updated_seq FROM l WHERE path = 'https://site.example/en/3'""",
     "json_order": """WITH m AS (SELECT l_orderkey, '{"chunk_index":' || (l_linenumber * 4) || '}' AS meta, l_partkey::VARCHAR AS v FROM lineitem)
 SELECT l_orderkey, string_agg(v, ',' ORDER BY (meta->>'$.chunk_index')::INTEGER, v) AS parts FROM m GROUP BY l_orderkey""",
     "pages_appended": f"""WITH {_P}, l AS (SELECT path AS source_path, max(seq) AS updated_seq FROM k GROUP BY path)

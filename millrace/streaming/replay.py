@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch
@@ -15,19 +15,26 @@ from .state import rocksdb
 FILES = 4
 
 
-def landed(df: DataFrame, order: str, files: int = FILES) -> DataFrame:
-    """``df`` as a stream of ``files`` files with ascending ranges of ``order``."""
+def landed(df: DataFrame, order: str, files: int = FILES, part: Column | None = None) -> DataFrame:
+    """``df`` as a stream of ``files`` files with ascending ranges of ``order``, or of
+    a file for each value of ``part`` (a number, not null), in its order."""
     spark = df.sparkSession
     path = scratch(spark, "landed")
-    df.repartitionByRange(files, order).write.parquet(path)
+    if part is None:
+        df.repartitionByRange(files, order).write.parquet(path)
+    else:
+        numbered = df.withColumn("__part", part.cast("long"))
+        numbered.repartition("__part").sortWithinPartitions("__part", order).write.partitionBy("__part").parquet(path)
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = sorted(s.getPath().toString() for s in fs.listStatus(root) if s.getPath().getName().startswith("part-"))
+    found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(path, "part-*" if part is None else "__part=*/part-*"))
+    names = [s.getPath() for s in found]
+    names.sort(key=(lambda p: p.getName()) if part is None else (lambda p: int(p.getParent().getName().split("=")[1])))
     began = int(time.time() * 1000) - 1000 * len(names)
     for i, name in enumerate(names):  # a stream reads the oldest file first
-        fs.setTimes(jvm.org.apache.hadoop.fs.Path(name), began + 1000 * i, -1)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        fs.setTimes(name, began + 1000 * i, -1)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path).select(df.columns)
 
 
 def ticked(df: DataFrame, time: str, seconds: int, **values: int) -> DataFrame:

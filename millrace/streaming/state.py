@@ -26,18 +26,21 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from .steps import Step, dedup_step
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: A batch stores what it changed, not a copy of all (which comes now and then).
+_SETTINGS = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
 
 
 @contextmanager
 def rocksdb(spark: SparkSession) -> Iterator[None]:
     """Queries started here keep their state in RocksDB, which typed state needs."""
-    before = spark.conf.get(_PROVIDER)
-    spark.conf.set(_PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in _SETTINGS}
+    for k, v in _SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(_PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def milliseconds(seconds: float) -> int:
@@ -184,6 +187,12 @@ def debounced(stream: DataFrame, key: str, row_id: str, time: str, late: str, wa
     return by_key(stream, key, time, late, Debounced(key, row_id, wait))
 
 
+def once(stream: DataFrame, keys: list[str], time: str, late: str) -> DataFrame:
+    """Each row once that is delivered again within ``late`` of its time; a key is
+    forgotten after that."""
+    return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
+
+
 def held(spark: SparkSession, checkpoint: str, batch: int | None = None) -> DataFrame:
     """The values that a query keeps, by key, as of its last batch or an earlier one."""
     reader = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "held")
