@@ -43,18 +43,13 @@ def service_app(bundle: Column) -> Column:
 # ---------------------------------------------------------------- cards
 
 
-def _rgba(colour: str, alpha: str) -> str:
-    return f"rgba({', '.join(str(int(colour[i : i + 2], 16)) for i in (1, 3, 5))}, {alpha})"
-
-
 def shown(source: Column) -> Column:
     """(logo, colour, gradient from, gradient to, known) of a source; unknown ones have a default."""
     key = F.lower(F.btrim(source))
     known = key.isin([k for k in rules.SHOWN if k != "default"])
     name = F.when(key.isin(list(rules.SHOWN)), key).otherwise("default")
-    of = lambda i, wrap=lambda x: x: by_map({k: wrap(v[i]) for k, v in rules.SHOWN.items()}, name)
-    start, end = of(1, lambda c: _rgba(c, "0.15")), of(2, lambda c: f"rgba({c}, 0.1)")
-    return F.struct(of(0).alias("logo"), of(1).alias("colour"), start.alias("gradient_from"), end.alias("gradient_to"), F.coalesce(known, F.lit(False)).alias("known"))
+    of = lambda i: by_map({k: v[i] for k, v in rules.SHOWN.items()}, name)
+    return F.struct(of(0).alias("logo"), of(1).alias("colour"), of(2).alias("gradient_from"), of(3).alias("gradient_to"), F.coalesce(known, F.lit(False)).alias("known"))
 
 
 def card(title: Column, source: Column, chunks: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import chat, formats, labels
 from ..operators import talk
 from ..session import table
-from .capture import _BUILT, _built
+from .capture import _BUILT, _built, _pick_sql
 
 
 def chat_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -187,13 +187,22 @@ def chat_distinct(spark: SparkSession, d: str) -> DataFrame:
     return talk.numbered(talk.distinct_messages(c, "room", "at"), "room", "at").select("room", "author", "content", "number")
 
 
-CHAT_TEXTS = ["Monday", "February 3", "May 3, 24", "Maybe", "9:41", "Reply", "Home", "5 p.m.", "Friday night", "Marked", "plain words", "Today"]
+#: Every label, mark, day and month of the fixed lists, and texts that are nearly one.
+CHAT_TEXTS = [
+    *dict.fromkeys([*chat.UI_LABELS, *chat.TEAMS_LABELS, *chat.TIME_MARKS, *chat.TEAMS_MARKS, *chat.DAYS, *chat.MONTHS]),
+    "February 3", "May 3, 24", "Maybe", "9:41", "12:59:59", "1234:5678:9", "1234", "5 p.m.", "Friday night", "Marked", "plain words", "reply", " Home", "March third", "  Monday ", "",
+]
 
 
 def chat_filters(spark: SparkSession, d: str) -> DataFrame:
-    t = F.get(F.array(*map(F.lit, CHAT_TEXTS)), F.pmod("o_orderkey", F.lit(len(CHAT_TEXTS))).cast("int"))
-    return table(spark, d, "orders").select(
-        "o_orderkey", chat.is_ui_text(t).alias("slack_label"), chat.is_ui_text(t, chat.TEAMS_LABELS).alias("teams_label"), chat.looks_like_time(t).alias("slack_time"), chat.looks_like_teams_time(t).alias("teams_time"), chat.is_date_header(t).alias("date_header")
+    """Lines of turns, each line's first three words, and the fixed texts: which of them are
+    labels, times or headers of a day."""
+    c = table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("n"), F.posexplode(F.split("text", "\n")).alias("line", "whole"))
+    fixed = F.get(F.array(*map(F.lit, CHAT_TEXTS)), F.pmod(F.col("n") * 7 + F.col("line"), F.lit(len(CHAT_TEXTS))).cast("int"))
+    texts = F.array(F.col("whole"), F.substring_index("whole", " ", 3), fixed, F.concat(fixed, F.lit(" "), F.col("line").cast("string")))
+    t = F.col("text")
+    return c.select("n", "line", F.posexplode(texts).alias("form", "text")).select(
+        "n", "line", "form", chat.is_ui_text(t).alias("slack_label"), chat.is_ui_text(t, chat.TEAMS_LABELS).alias("teams_label"), chat.looks_like_time(t).alias("slack_time"), chat.looks_like_teams_time(t).alias("teams_time"), chat.is_date_header(t).alias("date_header")
     )
 
 
@@ -290,7 +299,13 @@ SELECT cell, role AS author, CASE WHEN turn % 2 = 0 THEN 'Yesterday at 7' ELSE '
     "chat_distinct": """
 WITH m AS (SELECT conv_id % 25 AS room, role AS author, left(text, 2) AS content, min(conv_id * 100 + turn) AS a FROM conversations GROUP BY ALL)
 SELECT room, author, content, row_number() OVER (PARTITION BY room ORDER BY a)::INTEGER AS number FROM m""",
-    "chat_filters": """
-WITH i AS (SELECT o_orderkey, (o_orderkey % 12)::INTEGER + 1 AS i FROM orders)
-SELECT o_orderkey, i IN (5, 7) AS slack_label, i IN (5, 6) AS teams_label, i IN (2, 3, 4, 10, 12) AS slack_time, i IN (1, 2, 3, 4, 8, 9, 10, 12) AS teams_time, i IN (1, 2, 3, 12) AS date_header FROM i""",
+    "chat_filters": rf"""
+WITH l AS (SELECT conv_id * 100 + turn AS n, unnest(string_split(text, chr(10))) AS whole, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM conversations),
+f AS (SELECT *, {_pick_sql('(n * 7 + line)', CHAT_TEXTS)} AS fixed FROM l),
+x AS (SELECT n, line, unnest([0, 1, 2, 3]) AS form, unnest([whole, array_to_string(string_split(whole, ' ')[1:3], ' '), fixed, fixed || ' ' || line]) AS t FROM f),
+y AS (SELECT *, {_TRIM.format('t')} AS s, length(t) <= 8 AND contains(t, ':') AND translate(t, '0123456789: ', '') = '' AS clock,
+  len(list_filter({chat.TIME_MARKS}, lambda m: contains(t, m))) > 0 AS marked FROM x)
+SELECT n, line::INTEGER AS line, form::INTEGER AS form, t IN {tuple(chat.UI_LABELS)} OR clock AS slack_label, t IN {tuple(chat.TEAMS_LABELS)} OR clock AS teams_label, marked AS slack_time,
+  marked OR contains(s, 'a.m.') OR contains(s, 'p.m.') OR len(list_filter({chat.DAYS}, lambda d: starts_with(s, d))) > 0 AS teams_time,
+  s IN {tuple([*chat.DAYS, 'Today', 'Yesterday'])} OR len(list_filter({chat.MONTHS}, lambda m: starts_with(s, m) AND {_TRIM.format('translate(substr(s, length(m) + 1), $$0123456789,$$, $$$$)')} = '')) > 0 AS date_header FROM y""",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import canonical, labels, privacy, rules, text
-from ..operators import store
+from ..operators import store, toggles
 from ..operators.sequential import sequential
 from ..session import spread, table
 from ..streaming import steps
@@ -93,19 +93,24 @@ def window_scan(spark: SparkSession, d: str) -> DataFrame:
     return w.select("l_orderkey", "l_linenumber", "display_id", "bundle", now.alias("eligible"))
 
 
+#: Every bundle that a fixed table names, and others; and names that hold each part that is looked for.
+APP_BUNDLES = [*dict.fromkeys([*rules.BUNDLE_APPS, *rules.ELECTRON_BUNDLES, *rules.SERVICE_APPS, *BUNDLES, "org.LibreOffice.script", "com.microsoft.word", "com.tinyspeck.slackmacgap2"])]
+APP_NAMES = [*[f"My {part.title()} View" for part, _ in rules.APP_BUNDLES], *[part.upper() for part, _ in rules.APP_BUNDLES], "Plain Tool", "Wor d", "Slack Pages", "Numbers in Excel"]
+
+
 def app_names(spark: SparkSession, d: str) -> DataFrame:
-    b, name = _pick(_key(), BUNDLES), _pick(_key(), APP_NAMES)
+    b, name = _pick(_key(), APP_BUNDLES), F.concat(_pick(_key(), APP_NAMES), F.lit(" "), F.left("o_orderpriority", F.lit(1)))
     return table(spark, d, "orders").select(
         "o_orderkey", labels.app_of_bundle(b).alias("app"), labels.bundle_of_app(name).alias("bundle"), labels.is_electron(b).alias("electron"), labels.service_app(b).alias("service")
     )
 
 
-APP_NAMES = ["Microsoft Word", "My Excel View", "Slack", "Apple Keynote", "Plain Tool", "LibreOffice Writer", "Teams (work)", "TextEdit"]
-SHOWN_KEYS = [" Slack", "gmail", "unknown one", "default", "SPOTIFY", "kiro", "browser ", ""]
+#: Every key as it is, in capitals with blanks about it, and as a part of another.
+SHOWN_KEYS = [form for k in rules.SHOWN for form in (k, f" {k.upper()}  ", f"{k}s")]
 
 
 def source_shown(spark: SparkSession, d: str) -> DataFrame:
-    s = _pick(_key(), SHOWN_KEYS)
+    s = _pick(_key(), [*SHOWN_KEYS, "unknown one", ""])
     return table(spark, d, "orders").select("o_orderkey", labels.shown(s).alias("s")).select("o_orderkey", "s.*")
 
 
@@ -134,6 +139,23 @@ def block_rules(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", privacy.app_blocked(_pick(_key(), BUNDLES), globs).alias("blocked"))
 
 
+#: What is blocked and unblocked while windows are watched: names and patterns.
+TURNED = ["md.obsidian", "com.fig*", "*bank*", "com.apple.keychainaccess", "dev.kiro.app", "com.microsoft.Word", "com.google.*", "us.zoom.xo?"]
+
+
+def block_toggles(spark: SparkSession, d: str) -> DataFrame:
+    """Reads of windows while applications are blocked and unblocked: every fiftieth
+    event is such a change, the others are reads of a user's window."""
+    e = _events(spark, d)
+    is_change = F.col("event_id") % 50 == 0
+    n = F.floor(F.col("event_id") / 50)
+    changes = e.where(is_change).select("at", F.when(n % 3 == 0, "unblock").otherwise("block").alias("kind"), _pick(n * 5 + F.floor(n / 8), TURNED).alias("pattern"))
+    reads = e.where(~is_change).select(F.col("user_id").alias("window"), "event_id", "at")
+    seen = reads.groupBy("window").agg(F.min("at").alias("seen_at"))
+    windows = seen.select("window", _pick(F.col("window"), BUNDLES).alias("bundle"), "seen_at")
+    return toggles.read_blocked(reads, windows, changes, rules.DEFAULT_BLOCKED_GLOBS).select("event_id", "bundle", "blocked")
+
+
 def focus_changes(spark: SparkSession, d: str) -> DataFrame:
     """Per device the windows that got the focus between hourly snapshots. One
     window has it at a time: the one of the last event of the hour."""
@@ -174,12 +196,21 @@ QUERIES = {
     "chunk_meta": chunk_meta,
     "min_length": min_length,
     "block_rules": block_rules,
+    "block_toggles": block_toggles,
     "focus_changes": focus_changes,
     "cache_stats": cache_stats,
     "hash_forms": hash_forms,
 }
 
 
+def _map(values: dict[str, str]) -> str:
+    return "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in values.items()) + "}"
+
+
+def _structs(pairs: list[tuple[str, str]]) -> str:
+    return ", ".join(f"{{'p': '{p}', 'v': '{v}'}}" for p, v in pairs)
+
+
 def _sequence(select: str, key: str, first: str, step: str, out: str) -> str:
     """Rows of a key one after the other. select: n numbers them; step and first give the state and the results."""
     return f"""WITH RECURSIVE e AS ({select}),
@@ -234,18 +265,18 @@ SELECT l_orderkey, l_linenumber, display_id::INTEGER AS display_id, bundle,
   bundle NOT IN ('dev.kiro.app', 'x.viewer-app.y', 'com.mybank.app', 'com.1password.mac', 'org.DaVinciResolve', 'com.apple.keychainaccess', 'com.bitwarden.desktop', 'com.google.Chrome', 'com.operasoftware.Opera')
   AND p % 7 <> 0 AND (p % 5 = 0 OR q % 6 >= 3) AS eligible FROM b""",
     "app_names": f"""
-WITH a AS (SELECT o_orderkey, {_pick_sql('o_orderkey', BUNDLES)} AS b, (o_orderkey % 8)::INTEGER AS n FROM orders)
-SELECT o_orderkey, CASE b WHEN 'com.microsoft.Word' THEN 'word' WHEN 'com.microsoft.teams2' THEN 'teams' WHEN 'com.tinyspeck.slackmacgap' THEN 'slack' ELSE 'unknown' END AS app,
-  ['com.microsoft.Word', 'com.microsoft.Excel', 'com.tinyspeck.slackmacgap', 'com.apple.iWork.Keynote', 'com.unknown.plaintool', 'org.libreoffice.script', 'com.microsoft.teams2', 'com.apple.TextEdit'][n + 1] AS bundle,
-  b IN ('com.tinyspeck.slackmacgap', 'com.microsoft.teams2', 'md.obsidian', 'com.figma.Desktop', 'com.bitwarden.desktop') AS electron,
-  CASE b WHEN 'com.microsoft.Word' THEN 'word' WHEN 'com.microsoft.teams2' THEN 'teams' WHEN 'com.tinyspeck.slackmacgap' THEN 'slack' END AS service FROM a""",
-    "source_shown": """
-WITH s AS (SELECT o_orderkey, (o_orderkey % 8)::INTEGER + 1 AS i FROM orders)
-SELECT o_orderkey, ['slack', 'gmail', 'document', 'document', 'document', 'kiro', 'chrome', 'document'][i] AS logo,
-  ['#4A154B', '#EA4335', '#6B7280', '#6B7280', '#1DB954', '#FF6B35', '#4285F4', '#6B7280'][i] AS colour,
-  ['rgba(74, 21, 75, 0.15)', 'rgba(234, 67, 53, 0.15)', 'rgba(107, 114, 128, 0.15)', 'rgba(107, 114, 128, 0.15)', 'rgba(29, 185, 84, 0.15)', 'rgba(255, 107, 53, 0.15)', 'rgba(66, 133, 244, 0.15)', 'rgba(107, 114, 128, 0.15)'][i] AS gradient_from,
-  ['rgba(54, 197, 240, 0.1)', 'rgba(251, 188, 4, 0.1)', 'rgba(156, 163, 175, 0.1)', 'rgba(156, 163, 175, 0.1)', 'rgba(80, 200, 120, 0.1)', 'rgba(255, 153, 102, 0.1)', 'rgba(234, 67, 53, 0.1)', 'rgba(156, 163, 175, 0.1)'][i] AS gradient_to,
-  [true, true, false, false, true, true, true, false][i] AS known FROM s""",
+WITH a AS (SELECT o_orderkey, {_pick_sql('o_orderkey', APP_BUNDLES)} AS b, {_pick_sql('o_orderkey', APP_NAMES)} || ' ' || o_orderpriority[1] AS n FROM orders),
+k AS (SELECT unnest([{_structs(rules.APP_BUNDLES)}]) AS k, generate_subscripts([{_structs(rules.APP_BUNDLES)}], 1) AS i),
+f AS (SELECT n, arg_min(k.v, i) AS found FROM (SELECT DISTINCT n FROM a) JOIN k ON contains(lower(n), k.p) GROUP BY n)
+SELECT o_orderkey, coalesce(map_extract_value({_map(rules.BUNDLE_APPS)}, b), CASE WHEN b ILIKE '%libreoffice%' THEN 'libreoffice' ELSE 'unknown' END) AS app,
+  coalesce(found, 'com.unknown.' || lower(replace(n, ' ', ''))) AS bundle, b IN {tuple(rules.ELECTRON_BUNDLES)} AS electron, map_extract_value({_map(rules.SERVICE_APPS)}, b) AS service
+FROM a LEFT JOIN f USING (n)""",
+    "source_shown": f"""
+WITH t AS (SELECT * FROM (VALUES {', '.join(str((k, *v)) for k, v in rules.SHOWN.items())}) t(k, logo, colour, gradient_from, gradient_to)),
+s AS (SELECT o_orderkey, lower(trim({_pick_sql('o_orderkey', [*SHOWN_KEYS, 'unknown one', ''])})) AS k FROM orders),
+o AS (SELECT * FROM t WHERE k = 'default')
+SELECT o_orderkey, coalesce(t.logo, o.logo) AS logo, coalesce(t.colour, o.colour) AS colour, coalesce(t.gradient_from, o.gradient_from) AS gradient_from,
+  coalesce(t.gradient_to, o.gradient_to) AS gradient_to, t.k IS NOT NULL AND t.k <> 'default' AS known FROM s LEFT JOIN t ON s.k = t.k, o""",
     "cards": """SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN 'Order ' || o_orderkey ELSE 'Untitled' END AS title, ['Gdocs', 'Jira', 'X'][(o_orderkey % 3)::INTEGER + 1] AS type,
   ['0 chunks', '1 chunk', '2 chunks'][(o_orderkey % 3)::INTEGER + 1] AS chunks, strftime(o_orderdate, '%-m/%-d/%Y, %-I:%M:%S %p') AS shown_time FROM orders""",
     "chunk_meta": r"""
@@ -254,6 +285,13 @@ SELECT doc_id, '{"id":"' || concat_ws('-', substr(x, 1, 8), substr(x, 9, 4), sub
   || ',"header":"' || h || '","chunk_idx":0,"total_chunks":1,"app_id":"com.microsoft.Word","url":"accessibility://My_' || lang || '_Word/' || CASE WHEN doc_id % 2 = 0 THEN 'T' ELSE 'untitled' END
   || '","title":"' || CASE WHEN doc_id % 2 = 0 THEN 'T' ELSE 'untitled' END || '"}' AS meta FROM d""",
     "block_rules": f"""SELECT o_orderkey, {_pick_sql('o_orderkey', BUNDLES)} IN ('dev.kiro.app', 'x.viewer-app.y', 'com.1password.mac', 'org.DaVinciResolve', 'com.bitwarden.desktop', 'md.obsidian', 'com.figma.Desktop') AS blocked FROM orders""",
+    "block_toggles": f"""
+WITH e AS (SELECT user_id AS w, event_id, {_AT} AS tm, event_id // 50 AS n FROM events),
+c AS (SELECT tm, CASE WHEN n % 3 = 0 THEN 'unblock' ELSE 'block' END AS kind, {_pick_sql('(n * 5 + n // 8)', TURNED)} AS pattern FROM e WHERE event_id % 50 = 0),
+g AS (SELECT pattern, kind, tm AS a, lead(tm) OVER (PARTITION BY pattern ORDER BY tm) AS z FROM (SELECT * FROM c UNION ALL SELECT -1, 'block', unnest({rules.DEFAULT_BLOCKED_GLOBS}))),
+s AS (SELECT w, min(tm) AS seen, {_pick_sql('w', BUNDLES)} AS bundle FROM e WHERE event_id % 50 <> 0 GROUP BY w),
+i AS (SELECT w, seen, bundle, bundle IN ('dev.kiro.app', 'x.viewer-app.y', 'org.DaVinciResolve') OR EXISTS (FROM g WHERE kind = 'block' AND bundle GLOB pattern AND a <= seen AND seen < coalesce(z, 1e18)) AS blocked FROM s)
+SELECT event_id, bundle, coalesce((SELECT arg_max(kind, c.tm) = 'block' FROM c WHERE pattern = bundle AND c.tm > seen AND c.tm <= e.tm), blocked) AS blocked FROM e JOIN i USING (w) WHERE event_id % 50 <> 0""",
     "focus_changes": """
 WITH f AS (SELECT user_id % 10 AS device, floor(epoch(ts) / 3600)::BIGINT AS hour, arg_max(user_id, (ts, event_id)) AS w FROM events GROUP BY ALL)
 SELECT device, hour, w AS "window", w % 3 AS display_id FROM f QUALIFY w IS DISTINCT FROM lag(w) OVER (PARTITION BY device ORDER BY hour)""",
