@@ -68,14 +68,22 @@ def without_visual_breaks(text: Column) -> Column:
 
 
 def grid(cells: Column) -> Column:
-    """Rows by tab and newline from structs (row, col, text), in numeric order."""
-    rows = F.array_sort(F.array_distinct(F.transform(cells, lambda c: c["row"])))
+    """Rows by tab and newline from structs (row, col, text), in numeric order. Cells
+    without a text take no place, cells without a row are left out.
 
-    def line(r: Column) -> Column:
-        own = F.array_sort(F.transform(F.filter(cells, lambda c: c["row"] == r), lambda c: F.struct(c["col"], c["text"])))
-        return F.array_join(F.transform(own, lambda c: c["text"]), "\t")
+    Cells are sorted once, those without a text at the end of their row; each puts out
+    its text behind what parts it from the cell before it."""
+    keyed = F.transform(F.filter(cells, lambda c: c["row"].isNotNull()), lambda c: F.struct(c["row"].alias("row"), c["text"].isNull().alias("none"), c["col"].alias("col"), c["text"].alias("text")))
 
-    return F.array_join(F.transform(rows, line), "\n")
+    def joined(s: Column) -> Column:
+        def piece(c: Column, i: Column) -> Column:
+            new = (i == 0) | (F.get(s, i - 1)["row"] != c["row"])
+            between = F.when(i == 0, "").when(new, "\n").when(c["none"], "").otherwise("\t")
+            return F.concat(between, F.coalesce(c["text"].cast("string"), F.lit("")))
+
+        return F.array_join(F.transform(s, piece), "")
+
+    return let(F.array_sort(keyed), joined)
 
 
 def slides(texts: Column, notes: Column) -> Column:

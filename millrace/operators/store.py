@@ -44,6 +44,14 @@ def latest(p: DataFrame) -> DataFrame:
     return p.join(last, ["source_path", "seq"]).select("source_path", *[c for c in p.columns if c != "source_path"], "n_seen", "first_seq")
 
 
+def newest(p: DataFrame, carried: list[str]) -> DataFrame:
+    """(source_path, seq, n_seen, first_seq) and the ``carried`` columns of the last
+    payload of each path. For numbers and names: they go through one aggregation and
+    the payloads are read once, where ``latest`` reads them twice to move fewer texts."""
+    last = p.groupBy("source_path").agg(F.max_by(F.struct("seq", *carried), "seq").alias("last"), F.count("*").alias("n_seen"), F.min("seq").alias("first_seq"))
+    return last.select("source_path", "last.*", "n_seen", "first_seq")
+
+
 def snapshot(p: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sources, live chunks) after all payloads."""
     now = latest(p)

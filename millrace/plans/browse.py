@@ -29,7 +29,7 @@ def action_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def latest_source(spark: SparkSession, d: str) -> DataFrame:
-    return store.latest(_payloads(spark, d)).select("source_path", "seq", "content_hash", "n_seen", "first_seq")
+    return store.newest(_payloads(spark, d), ["content_hash"]).select("source_path", "seq", "content_hash", "n_seen", "first_seq")
 
 
 def _snapshot(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -47,10 +47,14 @@ def live_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def page_sources(spark: SparkSession, d: str, page: int = 1, limit: int = 10) -> DataFrame:
     """A page of sources, newest first, and whether more follow."""
-    sources, _ = _snapshot(spark, d)
+    p = _payloads(spark, d)
+    sources = store.newest(p, ["source"])
     total = sources.agg(F.count("*").alias("total"))
-    rows = sources.select("source_path", "source_type", "chunk_count", "updated_seq").orderBy(F.desc("updated_seq"), "source_path").offset(page * limit).limit(limit)
-    return rows.join(F.broadcast(total)).withColumn("has_more", F.lit(page * limit + limit) < F.col("total"))
+    rows = sources.select("source_path", F.col("source").alias("source_type"), F.col("seq").alias("updated_seq")).orderBy(F.desc("updated_seq"), "source_path").offset(page * limit).limit(limit)
+    # contents are met by the page's rows alone
+    counted = p.select("source_path", F.col("seq").alias("updated_seq"), "content").join(F.broadcast(rows), ["source_path", "updated_seq"])
+    shown = counted.select("source_path", "source_type", text.chunk_count(F.col("content")).alias("chunk_count"), "updated_seq")
+    return shown.join(F.broadcast(total)).withColumn("has_more", F.lit(page * limit + limit) < F.col("total"))
 
 
 def source_preview(spark: SparkSession, d: str) -> DataFrame:

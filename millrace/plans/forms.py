@@ -146,7 +146,7 @@ def difference_hash(spark: SparkSession, d: str) -> DataFrame:
 
 def chat_titles(spark: SparkSession, d: str) -> DataFrame:
     """Messages from the titles of elements, as two applications write them."""
-    body = F.left(F.translate("text", ":", " "), F.lit(40))
+    body = F.translate("text", ":", " ")
     title = F.concat(F.col("role"), F.lit(": "), body, F.lit(" 10:59 AM"))
     c = table(spark, d, "conversations").select("conv_id", "turn", chat.message(title).alias("s"), chat.teams_message(title).alias("t"))
     return c.select("conv_id", "turn", chat.rendered(F.col("s")).alias("slack"), chat.rendered(F.col("t")).alias("teams"))
@@ -155,7 +155,7 @@ def chat_titles(spark: SparkSession, d: str) -> DataFrame:
 def teams_windows(spark: SparkSession, d: str) -> DataFrame:
     """Conversations as the elements of chat windows, and the messages again."""
     c = table(spark, d, "conversations")
-    said = F.left(F.btrim(F.translate("text", "\n", " ")), F.lit(60))
+    said = F.btrim(F.translate("text", "\n", " "))
     minute = F.lpad((F.col("turn") % 60).cast("string"), 2, "0")
     e = lambda role, t: F.struct(F.lit(role).alias("role"), t.alias("text"))
     parts = [
@@ -170,7 +170,7 @@ def teams_windows(spark: SparkSession, d: str) -> DataFrame:
 
 def chat_containers(spark: SparkSession, d: str) -> DataFrame:
     """Messages from rows of elements: a button, a link and texts."""
-    c = table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("cell"), "conv_id", "turn", "role", F.left(F.translate("text", "\n", " "), F.lit(30)).alias("t"))
+    c = table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("cell"), "conv_id", "turn", "role", F.translate("text", "\n", " ").alias("t"))
     n = lambda role, title, description, value: F.struct(F.lit(role).alias("role"), title.alias("title"), description.alias("description"), value.alias("value"))
     none = F.lit(None).cast("string")
     nodes = F.array(
@@ -285,16 +285,16 @@ WITH v AS (SELECT vec_id, list_concat(embedding, embedding)[1:72] AS v FROM embe
 b AS (SELECT vec_id, list_transform(range(0, 64), lambda i: CASE WHEN v[(i // 8) * 9 + i % 8 + 1] > v[(i // 8) * 9 + i % 8 + 2] THEN 1 ELSE 0 END) AS b FROM v)
 SELECT vec_id, array_to_string(list_transform(range(15, -1, -1), lambda q: '0123456789abcdef'[(b[4 * q + 1] + 2 * b[4 * q + 2] + 4 * b[4 * q + 3] + 8 * b[4 * q + 4] + 1)::INTEGER]), '') AS hash_hex FROM b""",
     "chat_titles": r"""
-WITH b AS (SELECT conv_id, turn, role, left(translate(text, ':', ' '), 40) AS b FROM conversations),
+WITH b AS (SELECT conv_id, turn, role, translate(text, ':', ' ') AS b FROM conversations),
 c AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(b, '[.\s]+$', ''), '^\s+', ''), '\s+', ' ', 'g') AS s, regexp_replace(regexp_replace(regexp_replace(b, '[,.\s]+$', ''), '^\s+', ''), '\s+', ' ', 'g') AS t FROM b)
 SELECT conv_id, turn, CASE WHEN strlen(s) >= 3 THEN '[' || role || '] [10:59 AM] ' || s END AS slack, CASE WHEN strlen(t) >= 3 THEN '[' || role || '] [10:59 AM] ' || t END AS teams FROM c""",
     "teams_windows": r"""
-WITH s AS (SELECT conv_id, turn, role, left(trim(translate(text, chr(10), ' ')), 60) AS said FROM conversations),
+WITH s AS (SELECT conv_id, turn, role, trim(translate(text, chr(10), ' ')) AS said FROM conversations),
 m AS (SELECT conv_id, turn * 2 AS o, role AS author, '10:' || lpad((turn % 60)::VARCHAR, 2, '0') || ' AM' AS date, said AS content FROM s WHERE strlen(said) > 2 AND NOT ends_with(said, '...')
   UNION ALL SELECT conv_id, turn * 2 + 1, 'System', turn || ' PM', 'Meeting ended (duration: 5 minutes)' FROM s WHERE turn % 3 = 2)
 SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY o) - 1)::INTEGER AS number, author, date, content FROM m""",
     "chat_containers": r"""
-WITH c AS (SELECT conv_id || '-' || turn AS cell, turn, role, regexp_replace(left(translate(text, chr(10), ' '), 30), '^\s+|\s+$', '', 'g') AS t FROM conversations WHERE turn % 5 <> 4)
+WITH c AS (SELECT conv_id || '-' || turn AS cell, turn, role, regexp_replace(translate(text, chr(10), ' '), '^\s+|\s+$', '', 'g') AS t FROM conversations WHERE turn % 5 <> 4)
 SELECT cell, role AS author, CASE WHEN turn % 2 = 0 THEN 'Yesterday at 7' ELSE 'Unknown' END AS date, CASE WHEN strlen(t) > 2 THEN t || ' more' ELSE 'more' END AS content FROM c""",
     "chat_distinct": """
 WITH m AS (SELECT conv_id % 25 AS room, role AS author, left(text, 2) AS content, min(conv_id * 100 + turn) AS a FROM conversations GROUP BY ALL)

@@ -80,7 +80,15 @@ QUERIES = {
     "generic_page": generic_page,
 }
 
+#: The text of a piece of the given pages: no comments, tags and white space runs.
+_PAGE_TEXT = r"""trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace({}, '(?s)<!--.*?-->', '', 'g'), '<br>', ' ', 'g'), '<[^>]*>', '', 'g'),
+  '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'))"""
+
 ORACLES = {
+    "generic_page": rf"""
+WITH a AS (SELECT page_id, coalesce(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '') AS t, coalesce(regexp_extract(html, '(?s)<article>(.*?)(?:</article>|$)', 1), '') AS m FROM pages),
+c AS (SELECT page_id, {_PAGE_TEXT.format('t')} AS title, left({_PAGE_TEXT.format('m')}, 50000) AS content FROM a)
+SELECT page_id, title, length(content) AS n_chars, sha256(content) AS content_hash FROM c""",
     "change_detect": """
 WITH RECURSIVE g AS (SELECT label, vec_id, list_transform(embedding[1:64], lambda x: greatest(0, least(255, floor((x::DOUBLE + 0.5) * 255)))::BIGINT) AS g FROM embeddings),
 h AS (SELECT label, vec_id, list_sum(list_transform(range(0, 64), lambda i: CASE WHEN g[i + 1] > floor(list_sum(g) / len(g)) THEN (2::HUGEINT ** i)::HUGEINT ELSE 0 END))::HUGEINT::UBIGINT AS h FROM g),
