@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import chat, formats, labels
+from ..functions import chat, formats, labels, markup
 from ..operators import talk
-from ..session import table
+from ..session import spread, table
 from .capture import _BUILT, _built, _pick_sql
 
 
@@ -206,7 +206,36 @@ def chat_filters(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _escaped(text: Column) -> Column:
+    """As text of XML: what XML has no form for becomes a blank."""
+    plain = F.regexp_replace(text, r"[\x00-\x08\x0B-\x1F\uFFFE\uFFFF]", " ")
+    return F.replace(F.replace(F.replace(plain, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def word_xml(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as the XML of word files, a paragraph a line in runs of a word, and their text again."""
+    run = lambda w: F.concat(F.lit('<w:r><w:t xml:space="preserve">'), w, F.lit("</w:t></w:r>"))
+    words = lambda line: F.array_join(F.transform(F.split(line, "(?<= )"), run), "")
+    paragraphs = F.transform(F.split(_escaped(F.col("text")), "\n"), lambda line: F.concat(F.lit("<w:p>"), words(line), F.lit("</w:p>")))
+    xml = F.concat(F.lit('<w:document xmlns:w="urn:w"><w:body>'), F.array_join(paragraphs, ""), F.lit("</w:body></w:document>"))
+    t = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", xml.alias("xml"))
+    return t.select("doc_id", F.sha2(markup.word_text(F.col("xml")), 256).alias("text_hash"))
+
+
+def sheet_xml(spark: SparkSession, d: str) -> DataFrame:
+    """An order's lines as the XML of a sheet with shared strings, out of order, and its grid again."""
+    cell = lambda name, kind, value: F.concat(F.lit(f'<c r="{name}'), F.col("l_linenumber").cast("string"), F.lit(f'"{kind}><v>'), value, F.lit("</v></c>"))
+    flag = F.when(F.col("flag") == "A", "0").when(F.col("flag") == "N", "1").otherwise("2")
+    row = F.concat(F.lit("<row>"), cell("AB", "", F.col("supp")), cell("C", ' t="s"', flag), cell("A", "", F.col("part")), F.lit("</row>"))
+    rows = F.sort_array(F.collect_list(F.struct("l_linenumber", row.alias("x"))), asc=False)
+    g = _lines(spark, d).groupBy("l_orderkey").agg(F.concat(F.lit("<worksheet><sheetData>"), F.array_join(F.transform(rows, lambda r: r["x"]), ""), F.lit("</sheetData></worksheet>")).alias("xml"))
+    strings = markup.shared_strings(F.lit("<sst><si><t>A</t></si><si><t>N</t></si><si><r><t>R</t></r></si></sst>"))
+    return g.select("l_orderkey", formats.grid(markup.sheet_cells(F.col("xml"), strings)).alias("content"))
+
+
 QUERIES = {
+    "word_xml": word_xml,
+    "sheet_xml": sheet_xml,
     "chat_lines": chat_lines,
     "mail_lists": mail_lists,
     "mails": mails,
@@ -237,6 +266,10 @@ _NL = "chr(10)"
 _TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 
 ORACLES = {
+    "word_xml": rf"""
+WITH p AS (SELECT doc_id, string_split(regexp_replace(text, '[\x00-\x08\x0B-\x1F\x{{FFFE}}\x{{FFFF}}]', ' ', 'g'), chr(10)) AS lines FROM documents)
+SELECT doc_id, sha256(array_to_string(list_filter(lines, lambda t: {_TRIM.format('t')} <> ''), chr(10))) AS text_hash FROM p""",
+    "sheet_xml": f"""WITH {_L} SELECT l_orderkey, string_agg(part || chr(9) || flag || chr(9) || supp, {_NL} ORDER BY n) AS content FROM l GROUP BY l_orderkey""",
     "chat_lines": rf"""
 WITH m AS (SELECT conv_id, turn, '[' || CASE WHEN turn % 3 <> 2 THEN role ELSE 'unknown' END || ' ' || strftime(make_timestamp((1700000000 + turn * 3600) * 1000000), '%H:%M') || '] ' || {_TRIM.format('text')} AS x
   FROM conversations WHERE turn % 4 <> 3 AND {_TRIM.format('text')} <> '')
