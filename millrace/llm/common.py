@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import re
+import threading
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,14 +34,27 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-#: Intermediate tables, archives and shards in the order of writing, for ``clear``.
-_written: list[str] = []
+class _Written(threading.local):
+    """Intermediate tables, archives and shards in the order of writing, for
+    ``clear``. Each thread has its own: a run clears nothing of one beside it."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def __len__(self) -> int:
+        return len(self.paths)
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.paths)
+
+
+_written = _Written()
 
 
 def work_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    _written.append(path)
+    _written.paths.append(path)
     return path
 
 
@@ -71,14 +85,14 @@ def mark() -> int:
 
 
 def clear(spark: SparkSession, since: int, keep: int = 0) -> None:
-    """Removes the intermediate tables written since a mark, but for the last
-    ``keep``. Nothing may still be waiting to be worked out from them."""
+    """Removes the intermediate tables that this thread wrote since a mark, but for the
+    last ``keep``. Nothing may still be waiting to be worked out from them."""
     jvm = spark.sparkContext._jvm
-    gone = _written[since : len(_written) - keep]
+    gone = _written.paths[since : len(_written) - keep]
     for path in gone:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    _written[since : len(_written) - keep] = []
+    _written.paths[since : len(_written) - keep] = []
 
 
 def fresh(name: str, columns: list[str]) -> str:
