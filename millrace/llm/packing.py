@@ -12,8 +12,9 @@ and pieces meet in a join on length and rank.
 Tokenising: a text is cut at white space, which the tokenizer's own rules never
 join across, and each different word is put through the tokenizer once a worker
 (two generations of at most ``CACHE`` words are kept). Plain words go to its
-model without the symbols around them. The ids are those of the whole text,
-which the tests hold against the tokenizer.
+model without the symbols around them; bare and in lower case they are words of the
+same table. The ids are those of the whole text, which the tests hold against the
+tokenizer.
 
 Results for odd input: a null or empty text is the end id alone; null and
 repeated ids pass through and each row is packed; pieces of a length are ordered
@@ -39,14 +40,18 @@ from pyspark.sql import Window
 
 from .common import Decisions, Finder, store
 
-CACHE = 150_000
+CACHE = 300_000
+#: Runs of symbols whose ids are kept; of others they are made each time.
+SYMBOLS = 10_000
 
 
 # ---------------------------------------------------------------- tokens
 
 
 #: White space to str.split that the tokenizer takes for symbols.
-_CONTROL = re.compile("[\x1c-\x1f]")
+_CONTROL = "\x1c\x1d\x1e\x1f"
+#: Symbols that may stand around a plain word.
+_SYMBOLS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: A word of letters that normalising leaves alone but for case, between symbols.
 _PLAIN = re.compile(r"([!-&(-/:-@\[-`{-~]*)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
@@ -59,25 +64,9 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class Generations(dict):
-    """A dict that makes missing values and keeps 1 to 2 times ``CACHE`` of them."""
-
-    def __init__(self, make):
-        self.make, self.old = make, {}
-
-    def __missing__(self, key: str) -> bytes:
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= CACHE:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-        return value
-
-
-class WordCache:
-    """Ids of words as little-endian bytes."""
+class WordCache(dict):
+    """Ids of words as little-endian bytes: a table that makes missing values and keeps
+    1 to 2 times ``CACHE`` of them."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -85,39 +74,66 @@ class WordCache:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenize = self.tokenizer.model.tokenize
         self.letters = {b: ord(c) for b, c in byte_letters().items()}
-        self.words = Generations(self._word)
-        self.parts = Generations(self._part)
+        self.symbols: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
-        if _CONTROL.search(text):
+        if any(map(text.__contains__, _CONTROL)):
             return self._whole(text)
-        return b"".join(map(self.words.__getitem__, text.split()))
+        return b"".join(map(self.__getitem__, text.split()))
+
+    def __missing__(self, word: str) -> bytes:
+        value = self.old.get(word)
+        if value is None:
+            # printing ASCII is written as itself
+            value = packed([t.id for t in self.tokenize(word)]) if word.isascii() and word.isalpha() and word.islower() else self._word(word)
+        if len(self) >= CACHE:
+            self.old = dict(self)
+            self.clear()
+        self[word] = value
+        return value
 
     def _whole(self, text: str) -> bytes:
         return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _word(self, word: str) -> bytes:
-        if word.isalpha() and word.isascii():
-            return self.parts[word.lower()]
-        m = _PLAIN.fullmatch(word)
-        if m is None or "<|" in word:
+        if "<|" in word:
             return self._whole(word)
-        before, core, after = m.groups()
-        out = self.parts[core.lower()]
+        core, before = word.rstrip(_SYMBOLS), ""
+        after = word[len(core) :]
+        if not (core.isascii() and core.isalpha()):
+            m = _PLAIN.fullmatch(word)
+            if m is None:
+                return self._whole(word)
+            before, core, after = m.groups()
+        low = core.lower()
+        if low == word:
+            return self._part(word)
+        out = self[low]
         if before:
-            out = self.parts[before] + out
-        return out + self.parts[after] if after else out
+            out = self._symbols(before) + out
+        return out + self._symbols(after) if after else out
+
+    def _symbols(self, run: str) -> bytes:
+        value = self.symbols.get(run)
+        if value is None:
+            value = self._part(run)
+            if len(self.symbols) < SYMBOLS:
+                self.symbols[run] = value
+        return value
 
     def _part(self, part: str) -> bytes:
         """Ids of letters alone in lower case, or of symbols alone."""
-        # printing ASCII is written as itself
         spelt = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
         return packed([t.id for t in self.tokenize(spelt)])
 
 
+_formats = [struct.Struct(f"<{n}I").pack for n in range(64)]
+
+
 def packed(ids: list[int]) -> bytes:
     """Little-endian 32-bit numbers."""
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return _formats[len(ids)](*ids) if len(ids) < 64 else struct.pack(f"<{len(ids)}I", *ids)
 
 
 _caches: dict[str, WordCache] = {}
@@ -134,7 +150,9 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 0,
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         serial = TaskContext.get().partitionId() << 33
-        cache = _caches.get(vocabulary) or _caches.setdefault(vocabulary, WordCache(vocabulary))
+        if vocabulary not in _caches:
+            _caches[vocabulary] = WordCache(vocabulary)
+        cache = _caches[vocabulary]
         for b in batches:
             ids, texts = b.column(0), b.column(1)
             rows: list[tuple[int, int, bytes]] = []
