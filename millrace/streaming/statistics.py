@@ -22,7 +22,7 @@ def changes(spark: SparkSession, checkpoint: str, since: int = 0) -> DataFrame:
     rows = feed.option("readChangeFeed", True).option("changeStartBatchId", since).load()
     put = F.max(F.col("change_type") == "update").alias("put")
     gone = F.max(F.col("change_type") == "delete").alias("gone")
-    return rows.groupBy("key", F.col("batch_id").alias("batch")).agg(put, gone)
+    return rows.groupBy(F.col("user_map_key").alias("key"), F.col("batch_id").alias("batch")).agg(put, gone)
 
 
 def counts(spark: SparkSession, checkpoint: str, since: int = 0) -> DataFrame:
