@@ -5,11 +5,13 @@ Texts are sets of lower-cased words. Rows with equal sets are one class, so that
 copies cost no pairs. Classes that are alive within the same span of time meet by
 words of a prefix: with sets in one order of words, rare ones first, two sets of a
 Jaccard similarity of s or more share a word among the first n - ceil(s * n) + 1 of
-each. Both also have a size in the same or the next step of a scale by 1 / s, and
-the key of the meeting is span, step and word: a word that many sets begin with is
-split by time and size, and what is still skewed, Spark's skew join splits. The
-order of words has the ``FREQUENT`` most frequent at the end, the others by hash;
-any order gives the same result.
+each. The key of the meeting is a window of two spans and the word's hash, for words
+that are in very many sets also a window of two steps of size, a scale by 1 / s: what
+is near in time, and near in size, shares a window. What goes there are hashes and
+sizes, once; equal hashes of other words or classes only propose more pairs. The sets
+themselves go to the proposed pairs as one string, and decide. Words are ordered by
+how often words of their hash bucket occur, then by hash; any order gives the same
+result. Word sets are worked out anew where they are needed and not stored.
 
 The ring of accepted texts is sequential over all rows, as a text counts only if it
 was accepted itself. Only rows that have a similar class near in time can be
@@ -22,12 +24,12 @@ a block says is then what one pass over all rows says.
 from __future__ import annotations
 
 import bisect
-import hashlib
 import math
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,8 +40,8 @@ from pyspark.sql.window import Window
 from ..functions.text import words
 from ..session import scratch
 
-#: Words that come last in the order of words; a bound on what tasks are sent.
-FREQUENT = 10_000
+#: Hash buckets in which words are counted; a bound on what tasks are sent.
+BUCKETS = 1 << 16
 
 
 def _stored(df: DataFrame, name: str) -> DataFrame:
@@ -49,53 +51,78 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def word_sets(rows: DataFrame, content: str) -> DataFrame:
-    """``rows`` with words array<string>, sorted, in the place of ``content``, and class string: a digest of them."""
+    """``rows`` with words array<string>, sorted, in the place of ``content``, and class binary: a digest of them."""
     own = F.array_sort(F.array_distinct(words(F.lower(F.coalesce(F.col(content), F.lit(""))))))
     sets = rows.withColumn("words", own).drop(content)
-    return sets.withColumn("class", F.sha2(F.to_json("words"), 256))
-
-
-def _prefixes(classes: DataFrame, similarity: float) -> DataFrame:
-    """class, span, n (size), step (of size) and word (hash), a row for each word of the prefix."""
-    many = classes.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(FREQUENT)
-    last = {r["w"]: i for i, r in enumerate(many.orderBy("n", F.desc("w")).collect())}  # FREQUENT rows at most
-    schema = T.StructType.fromDDL("class string, span long, n int, step int, word long")
-
-    def place(w: str) -> tuple[int, int]:
-        return last.get(w, -1), int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big", signed=True)
+    return sets.withColumn("class", F.unhex(F.sha2(F.to_json("words"), 256)))
+
+
+def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """window (of spans), step (window of sizes, or -1), word (hash), short (hash of the
+    class) and n (size) for each word of the prefix of ``sets`` (short, span, hashes)."""
+    bucket = F.col("h").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")
+    often = np.zeros(BUCKETS, np.int64)
+    for r in sets.select(F.explode("hashes").alias("h")).groupBy(bucket).count().collect():  # BUCKETS rows at most
+        often[r["bucket"]] = r["count"]
+    many = often.max(initial=0) / 100
+    fields = {"window": pa.int64(), "step": pa.int32(), "word": pa.int32(), "short": pa.int64(), "n": pa.int32()}
+
+    def rows(short: int, span: int, own: np.ndarray) -> np.ndarray:
+        n = len(own)
+        step = int(math.log(n) / -math.log(similarity) + 1e-9)
+        counts = often[own & (BUCKETS - 1)]
+        first = np.lexsort((own, counts))[: n - math.ceil(similarity * n - 1e-9) + 1]
+        word, hot = own[first] >> 32, counts[first] > many
+        cold = word[~hot]
+        keys = [(np.full(len(cold), -1), cold)] + [(np.full(hot.sum(), t), word[hot]) for t in (step, step + 1)]
+        steps, at = (np.concatenate(c) for c in zip(*keys, strict=True))
+        out = np.empty((5, 2 * len(at)), np.int64)
+        out[0], out[1], out[2], out[3], out[4] = np.repeat((span, span + 1), len(at)), np.tile(steps, 2), np.tile(at, 2), short, n
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: dict[str, list] = {f: [] for f in schema.fieldNames()}
-            for c, span, own in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                n = len(own)
+            lists = b.column(2)
+            offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            done: set[tuple[int, int]] = set()
+            out = [np.empty((5, 0), np.int64)]
+            for i, c in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
                 # an empty set is only like itself, which is its class already
-                for _, h in sorted(map(place, own))[: n - math.ceil(similarity * n - 1e-9) + 1]:
-                    for name, value in zip(out, (c, span, n, int(math.log(n) / -math.log(similarity) + 1e-9), h), strict=True):
-                        out[name].append(value)
-            yield pa.RecordBatch.from_pydict(out, pa.schema([("class", pa.string()), ("span", pa.int64()), ("n", pa.int32()), ("step", pa.int32()), ("word", pa.int64())]))
+                if c not in done and offsets[i] < offsets[i + 1]:
+                    done.add(c)
+                    out.append(rows(*c, values[offsets[i] : offsets[i + 1]]))
+            columns = np.concatenate(out, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(columns, fields.values(), strict=True)], names=list(fields))
+
+    return sets.select("short", "span", "hashes").mapInArrow(run, "window long, step int, word int, short long, n int")
+
 
-    return classes.select("class", "span", "words").mapInArrow(run, schema)
+def _proposed(prefix: DataFrame, similarity: float) -> DataFrame:
+    """sa, sb (hashes of classes, sa < sb) that share a word of their prefix in a window, and fit in size."""
+    met = prefix.repartition("window", "step", "word").dropDuplicates(["window", "step", "word", "short"])
+    both = met.withColumnsRenamed({"short": "sa", "n": "na"}).join(met.withColumnsRenamed({"short": "sb", "n": "nb"}), ["window", "step", "word"])
+    fits = (F.col("sa") < F.col("sb")) & (F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-9)
+    return both.where(fits).select("sa", "sb").distinct()
 
 
-def similar_classes(sets: DataFrame, at: str, seconds: float, similarity: float) -> DataFrame:
+def similar_classes(sets: DataFrame, at: str, seconds: float, similarity: float, known: DataFrame | None = None) -> DataFrame:
     """Stored a, b (classes, a < b) and jaccard, of all different word sets of that
     similarity that have rows at most ``seconds`` apart, and perhaps of some that
-    have rows at most three times as far apart."""
+    have rows at most three times as far apart. known: rows with all classes of
+    ``sets``, if there are any that are cheaper to read."""
     span = F.floor(F.col(at) / seconds).cast("long")
-    classes = _stored(sets.groupBy("class", span.alias("span")).agg(F.first("words").alias("words")), "word-classes")
-    prefix = _stored(_prefixes(classes, similarity), "word-prefixes")
-    # rows that near are of one span or the next, sizes of one step or the next
-    one = prefix.withColumn("span", F.explode(F.array(F.col("span"), F.col("span") + 1, F.col("span") - 1)))
-    one = one.withColumn("step", F.explode(F.array(F.col("step"), F.col("step") + 1, F.col("step") - 1))).withColumnsRenamed({"class": "a", "n": "n_a"})
-    met = one.join(prefix.withColumnsRenamed({"class": "b", "n": "n_b"}), ["span", "step", "word"])
-    fits = (F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * similarity - 1e-9)
-    pairs = met.where(fits).select("a", "b").distinct()
-    whole = classes.groupBy("class").agg(F.first("words").alias("words"))
-    both = pairs.join(whole.withColumnsRenamed({"class": "a", "words": "wa"}), "a").join(whole.withColumnsRenamed({"class": "b", "words": "wb"}), "b")
+    hashes = F.transform("words", lambda w: F.xxhash64(w))
+    prefix = _prefixes(sets.select(F.xxhash64("class").alias("short"), span.alias("span"), hashes.alias("hashes")), similarity)
+    named = (sets if known is None else known).select("class").distinct().withColumn("short", F.xxhash64("class"))
+    a, b = named.select(F.col("class").alias("a"), F.col("short").alias("sa")), named.select(F.col("class").alias("b"), F.col("short").alias("sb"))
+    pairs = _proposed(prefix, similarity).join(a, "sa").join(b, "sb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    alike = a.join(b, F.col("sa") == F.col("sb")).where("a < b").select("a", "b")  # two classes of one hash
+    whole = sets.groupBy("class").agg(F.first(F.array_join("words", " ")).alias("words"))
+    both = pairs.unionByName(alike).join(whole.withColumnsRenamed({"class": "a", "words": "wa"}), "a").join(whole.withColumnsRenamed({"class": "b", "words": "wb"}), "b")
+    split = both.select("a", "b", F.split("wa", " ").alias("wa"), F.split("wb", " ").alias("wb"))
     common = F.size(F.array_intersect("wa", "wb"))
     jaccard = common / (F.size("wa") + F.size("wb") - common)
-    return _stored(both.select("a", "b", jaccard.alias("jaccard")).where(F.col("jaccard") >= similarity), "similar-classes")
+    return _stored(split.select("a", "b", jaccard.alias("jaccard")).where(F.col("jaccard") >= similarity), "similar-classes")
 
 
 def _neighbours(pairs: DataFrame) -> DataFrame:
@@ -125,9 +152,9 @@ def links_in_time(rows: DataFrame, row_id: str, at: str, content: str, seconds:
     n_links: the other rows at most ``seconds`` before or after it whose sets
     resemble its own. Null texts are empty; empty sets are alike. Rows without a
     time take no part."""
-    sets = _stored(word_sets(_timed(rows.select(row_id, at, content).where(F.col(at).isNotNull()), at), content), "word-sets")
-    thin = sets.select(row_id, "us", "class")
-    links = _links(thin, row_id, similar_classes(sets, at, seconds, similarity), int(seconds * 1_000_000))
+    sets = word_sets(_timed(rows.select(row_id, at, content).where(F.col(at).isNotNull()), at), content)
+    thin = _stored(sets.select(row_id, "us", "class"), "word-classes")
+    links = _links(thin, row_id, similar_classes(sets, at, seconds, similarity, thin), int(seconds * 1_000_000))
     least = thin.groupBy("class").agg(F.min(row_id).alias("class_id"))
     return links.join(least, "class").select(row_id, "class_id", "n_links")
 
