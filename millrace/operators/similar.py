@@ -52,7 +52,7 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
 
 def word_sets(rows: DataFrame, content: str) -> DataFrame:
     """``rows`` with words array<string>, sorted, in the place of ``content``, and class binary: a digest of them."""
-    own = F.array_sort(F.array_distinct(words(F.lower(F.coalesce(F.col(content), F.lit(""))))))
+    own = F.sort_array(F.array_distinct(words(F.lower(F.coalesce(F.col(content), F.lit(""))))))
     sets = rows.withColumn("words", own).drop(content)
     return sets.withColumn("class", F.unhex(F.sha2(F.to_json("words"), 256)))
 
